@@ -116,13 +116,22 @@ def lower(part: Slice) -> np.ndarray:
     return _LOWER[part.data]
 
 
+class SpanHasher:
+    """64-bit hashes of spans of ``data``; equal bytes have equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        self._total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=self._total[1:])
+        self._back = _power(_INVERSE, n + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self._total[end] - self._total[start]) * self._back[start]
+        return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=total[1:])
-    h = (total[end] - total[start]) * _power(_INVERSE, n + 1)[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+    return SpanHasher(data)(start, end)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
