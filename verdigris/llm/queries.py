@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, mixing, near_dup, sharding, toxicity
+from verdigris.llm import decontaminate, html_text, language, mixing, near_dup, quality, sharding, toxicity, url_filter, warc
+
+URL_RULES = [
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, folder, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,6 +41,23 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    shown = html_text.extract_text(_table(spark, folder, "pages").select("page_id", "html"))
+    return shown.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.rate(docs, quality.train(docs, _table(spark, folder, "labels")))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    found = language.predict(docs, language.train(docs.where(~held)), ["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     labels = _table(spark, folder, "labels").where(toxicity.learnable())
@@ -39,12 +69,42 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
-QUERIES = (op2_sharding, op3_near_dup, op4_mixing, op8_toxicity, op9_decontamination)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.archive(_table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = (op1_url_filter, op2_sharding, op3_near_dup, op4_mixing, op5_html_text, op6_quality, op7_language, op8_toxicity, op9_decontamination, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in QUERIES}
 
 
+def _url_sql() -> str:
+    """The rules one by one: of those that fit, the longest."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    ranked = sorted(URL_RULES, key=lambda r: -len(r.text))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ranked)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ranked)
+    return f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM split"""
+
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND head <> page_id THEN head END AS refers_to
+FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": _url_sql(), "op10_warc": _WARC_SQL}
