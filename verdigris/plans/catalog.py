@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import scorecards
+from verdigris.plans import entities, scorecards
 
 FLAGSHIP = "agg_client_comparison"
-MODULES = (scorecards,)
+MODULES = (scorecards, entities)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
