@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import entities, scorecards
+from verdigris.plans import entities, retrieval, scorecards
 
 FLAGSHIP = "agg_client_comparison"
-MODULES = (scorecards, entities)
+MODULES = (scorecards, entities, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
