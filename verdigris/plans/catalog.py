@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import entities, retrieval, scorecards
+from verdigris.plans import entities, evaluation, retrieval, scorecards
 
 FLAGSHIP = "agg_client_comparison"
-MODULES = (scorecards, entities, retrieval)
+MODULES = (scorecards, entities, retrieval, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

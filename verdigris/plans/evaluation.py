@@ -1,0 +1,160 @@
+"""Queries that score answers. An assistant's turn answers the user's turn before it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.functions import similarity as S
+from verdigris.functions import stages as G
+from verdigris.sources.tables import table
+
+_EXTRA = (
+    " [Source 1] and [2], see [Source 9].",
+    " I cannot provide that. I'm sorry, unfortunately.",
+    " Mail jo.doe@example.org or call 555-123-4567.",
+    " Unfortunately that is all.",
+    " We will hack the server. 123-45-6789",
+)
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """conv_id, turn, query, response, context, chunks; responses get citations, refusals and personal data in turn."""
+    c = table(spark, folder, "conversations")
+    mine = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("said"))
+    asked = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    extra = F.element_at(F.array(*[F.lit(x) for x in _EXTRA]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    response = F.when(F.col("turn") % 9 == 1, extra).otherwise(F.concat("said", extra))
+    out = mine.join(asked, ["conv_id", "turn"]).withColumn("response", response)
+    return out.select("conv_id", "turn", "query", "response", F.concat_ws(" ", "query", F.substring("said", 1, 120)).alias("context"), F.array(F.col("query"), F.substring("said", 1, 200), F.substring("said", 50, 300)).alias("chunks"))
+
+
+def _sql_list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+ANSWERS = f"""
+WITH pairs AS (
+  SELECT a.conv_id, a.turn, u.text AS query, a.text AS said, {_sql_list(_EXTRA)}[(a.conv_id + a.turn) % 5 + 1] AS extra
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user'),
+answers AS (
+  SELECT conv_id, turn, query, CASE WHEN turn % 9 = 1 THEN extra ELSE said || extra END AS response, query || ' ' || substr(said, 1, 120) AS context,
+         [query, substr(said, 1, 200), substr(said, 50, 300)] AS chunks FROM pairs)
+"""
+
+
+def _words(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(trim(regexp_replace(lower({x}), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+def _grams(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({x}) - 1), lambda i: array_to_string({x}[i:i + 2], ' ')))"
+
+
+def faithfulness(spark: SparkSession, folder: str) -> DataFrame:
+    a = answers(spark, folder).withColumn("score", F.round(G.faithfulness(F.col("response"), F.col("context")), 6))
+    return a.select("conv_id", "turn", "score", (F.col("score") >= 0.4).alias("passed"))
+
+
+def context_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    a = answers(spark, folder).withColumn("score", F.round(G.context_relevance(F.col("query"), F.col("chunks")), 6))
+    return a.select("conv_id", "turn", "score", (F.col("score") >= 0.35).alias("passed"))
+
+
+def answer_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    keywords = F.when(F.col("turn") % 4 == 1, F.slice(S.tokens(F.col("query")), 1, 3)).otherwise(F.array().cast("array<string>"))
+    return answers(spark, folder).select("conv_id", "turn", F.round(G.answer_relevance(F.col("query"), F.col("response"), keywords), 6).alias("score"))
+
+
+def citation(spark: SparkSession, folder: str) -> DataFrame:
+    a = answers(spark, folder)
+    return a.select("conv_id", "turn", F.array_join(F.array_sort(G.citations(F.col("response"))), ",").alias("cited"), F.round(G.citation_score(F.col("response"), F.lit(5)), 6).alias("score"))
+
+
+def policy(spark: SparkSession, folder: str) -> DataFrame:
+    a = answers(spark, folder).withColumn("found", G.violations(F.col("response")))
+    return a.select("conv_id", "turn", F.array_join(F.array_sort(F.transform("found", lambda v: v["kind"])), ",").alias("kinds"), F.round(G.policy_score(F.col("found")), 6).alias("score"), (F.size("found") == 0).alias("passed"))
+
+
+def rejection(spark: SparkSession, folder: str) -> DataFrame:
+    return answers(spark, folder).select("conv_id", "turn", G.rejection_class(F.col("response")).alias("behaviour"))
+
+
+def source_policy(spark: SparkSession, folder: str) -> DataFrame:
+    a = answers(spark, folder)
+    return a.select("conv_id", "turn", G.source_policy_violation(F.col("response"), F.col("query"), F.lit("no_use")).alias("violated"))
+
+
+def pii_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("lang", *[F.regexp_count("text", F.lit(p)).alias(k) for p, k in G.PII]).groupBy("lang").agg(*[F.sum(k).alias(k) for _, k in G.PII])
+
+
+def ngram_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """How many distinct five-word runs each document shares with the benchmark: a join on the runs."""
+    runs = lambda df, key: df.select(F.col(key), F.explode(S.word_ngrams(S.tokens(F.col("text")), 5)).alias("run"))
+    bench = runs(table(spark, folder, "benchmark"), "item_id")
+    shared = runs(table(spark, folder, "documents"), "doc_id").join(bench, "run")
+    return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+
+
+def content_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per distinct text: the first 16 hex digits of its hash, how many rows have it and the first of them."""
+    docs = table(spark, folder, "documents").select("doc_id", F.substring(F.sha2(F.col("text"), 256), 1, 16).alias("content_hash"))
+    return docs.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def pack_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The weighted mean of the stages that aren't gates, and the verdict: no failed gate, and a mean of 0.3 or more."""
+    a = answers(spark, folder)
+    r, c = F.col("response"), F.col("context")
+    s = a.select("conv_id", "turn", G.faithfulness(r, c).alias("f"), G.citation_score(r, F.lit(5)).alias("c"), G.context_relevance(F.col("query"), F.col("chunks")).alias("x"), (F.size(G.violations(r)) == 0).alias("gate"))
+    mean = (0.25 * F.col("f") + 0.1 * F.col("c") + 0.15 * F.col("x")) / 0.5
+    return s.select("conv_id", "turn", F.round(mean, 6).alias("score"), (F.col("gate") & (F.round(mean, 6) >= 0.3)).alias("passed"))
+
+
+def _rx(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_COUNT = " + ".join(f"CAST(regexp_matches(lower(response), '{_rx(p)}') AS INT)" for p in (*G.REJECTION, "|".join(G.CUTOFF), "|".join(G.INVENTED)))
+_KINDS = ", ".join(f"CASE WHEN regexp_matches(response, '(?i){_rx(p)}') THEN '{k}' END" for p, k in (*G.PII, *G.PROHIBITED))
+_WEIGHT = "list_sum(list_transform(kinds, lambda k: CASE WHEN k IN ('violence', 'security') THEN 1.0 ELSE 0.8 END))"
+_CITED = "list_distinct(" + " || ".join(f"regexp_extract_all(response, '{_rx(p)}', 1)" for p in G.CITATIONS) + ")"
+_SCORED = ANSWERS.rstrip() + f""",
+t AS (SELECT *, {_words('query')} AS q, {_words('response')} AS r, {_words('context')} AS c, {_CITED} AS cited,
+             list_filter([{_KINDS}], lambda k: k IS NOT NULL) AS kinds,
+             len(list_filter(regexp_split_to_array(response, '[.!?]+'), lambda s: length(trim(s)) > 20)) AS sentences FROM answers),
+g AS (SELECT *, {_grams('r')} AS gr, {_grams('c')} AS gc, list_distinct(q) AS qd, list_distinct(r) AS rd FROM t),
+s AS (SELECT *, CASE WHEN len(r) < 3 THEN 1.0 ELSE len(list_intersect(gr, gc)) / len(gr) END AS faithful,
+             (SELECT avg(least(1.0, 2 * coalesce(len(list_intersect(qd, list_distinct({_words('chunk')}))) / nullif(len(qd), 0), 0))) FROM (SELECT unnest(chunks) AS chunk)) AS relevant,
+             CASE WHEN len(cited) = 0 THEN 0.0 ELSE 0.4 + 0.3 * len(list_filter(cited, lambda x: CAST(x AS BIGINT) BETWEEN 1 AND 5)) / len(cited) + 0.3 * least(1.0, len(cited) / greatest(1, sentences)) END AS citing,
+             CASE WHEN len(kinds) = 0 THEN 1.0 ELSE greatest(0.0, 1 - {_WEIGHT} / len(kinds)) END AS policy,
+             coalesce(len(list_intersect(qd, rd)) / nullif(len(qd), 0), 0) AS overlap FROM g)
+"""
+
+QUERIES = {
+    "stage_faithfulness": (faithfulness, _SCORED + "SELECT conv_id, turn, round(faithful, 6) AS score, round(faithful, 6) >= 0.4 AS passed FROM s"),
+    "stage_context_relevance": (context_relevance, _SCORED + "SELECT conv_id, turn, round(relevant, 6) AS score, round(relevant, 6) >= 0.35 AS passed FROM s"),
+    "stage_answer_relevance": (
+        answer_relevance,
+        _SCORED
+        + "SELECT conv_id, turn, round(CASE WHEN length(response) < 20 THEN 0.3 WHEN turn % 4 = 1 AND len(q) > 0 THEN 0.5 * len(list_filter(q[1:3], lambda k: contains(lower(response), lower(k)))) / len(q[1:3]) + 0.3 * overlap + least(0.2, length(response) / 500.0) ELSE least(1.0, 0.8 * overlap + least(0.2, length(response) / 500.0)) END, 6) AS score FROM s",
+    ),
+    "stage_citation": (citation, _SCORED + "SELECT conv_id, turn, array_to_string(list_sort(cited), ',') AS cited, round(citing, 6) AS score FROM s"),
+    "stage_policy": (policy, _SCORED + "SELECT conv_id, turn, array_to_string(list_sort(kinds), ',') AS kinds, round(policy, 6) AS score, len(kinds) = 0 AS passed FROM s"),
+    "stage_rejection": (
+        rejection,
+        ANSWERS.rstrip() + f", n AS (SELECT *, {_COUNT} AS n FROM answers) SELECT conv_id, turn, CASE WHEN n >= 2 OR (n >= 1 AND length(response) < 100) THEN 'reject' WHEN n >= 1 AND length(response) > 200 THEN 'partial' ELSE 'answer' END AS behaviour FROM n",
+    ),
+    "stage_source_policy": (source_policy, _SCORED + "SELECT conv_id, turn, coalesce(len(list_intersect(qd, rd)) / nullif(len(qd), 0), 0) > 0.3 AS violated FROM s"),
+    "pack_rag_score": (pack_scores, _SCORED + "SELECT conv_id, turn, round((0.25 * faithful + 0.1 * citing + 0.15 * relevant) / 0.5, 6) AS score, len(kinds) = 0 AND round((0.25 * faithful + 0.1 * citing + 0.15 * relevant) / 0.5, 6) >= 0.3 AS passed FROM s"),
+    "pii_detect": (pii_counts, "SELECT lang, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{_rx(p)}'))) AS BIGINT) AS {k}" for p, k in G.PII) + " FROM documents GROUP BY 1"),
+    "ngram_overlap": (
+        ngram_overlap,
+        f"WITH d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM (SELECT doc_id, {_words('text')} AS w FROM documents)), "
+        f"b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM (SELECT item_id, {_words('text')} AS w FROM benchmark)) "
+        "SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (run) GROUP BY 1, 2",
+    ),
+    "testcase_hash": (content_hash, "SELECT substr(sha256(text), 1, 16) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1"),
+}
