@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import entities, evaluation, retrieval, scorecards
+from verdigris.plans import entities, evaluation, retrieval, rules, scorecards
 
 FLAGSHIP = "agg_client_comparison"
-MODULES = (scorecards, entities, retrieval, evaluation)
+MODULES = (scorecards, entities, retrieval, evaluation, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
