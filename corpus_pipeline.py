@@ -26,7 +26,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop documents that the classifier scores as toxic; it learns from the labelled documents outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.learnable())
     model = toxicity.fit_toxicity(docs, labels)
-    return toxicity.score_toxicity(docs, model, docs.columns).where(F.col("score") < TOXIC).select(docs.columns)
+    return toxicity.score_toxicity(docs, model, docs.columns, score_col="__toxicity").where(F.col("__toxicity") < TOXIC).select(docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

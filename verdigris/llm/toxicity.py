@@ -200,15 +200,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: s
     return Model(ascending, weights, intercept)
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Returns the columns ``keep`` of docs and ``score`` double from 0 to 1, higher where label 1 is likelier.
+def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Returns the columns ``keep`` of docs, without ``score_col``, and ``score_col`` double from 0 to 1, higher where label 1 is
+    likelier.
 
     A null or empty text has the score of a text without any mined term. Rows are neither dropped nor merged.
     """
+    keep = [c for c in keep if c != score_col]
     carried = [c for c in keep if c != text_col]
     plain = docs.select(*carried, F.col(text_col).cast("string").alias("__text"))
     text_type = docs.schema[text_col].dataType.simpleString()
-    out = docs.select(*carried).schema.add("__text", "string").add("score", "double")
+    out = docs.select(*carried).schema.add("__text", "string").add(score_col, "double")
     with_text = text_col in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str
                 yield pa.RecordBatch.from_arrays([*cut, own, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], out.names)
 
     scored = plain.mapInArrow(run, out)
-    return scored.select(*[F.col("__text").cast(text_type).alias(c) if c == text_col else F.col(c) for c in keep], "score")
+    return scored.select(*[F.col("__text").cast(text_type).alias(c) if c == text_col else F.col(c) for c in keep], score_col)
 
 
 def learnable(id_col: str = "doc_id", folds: int = 5, held: int = 0) -> Column:
