@@ -89,7 +89,7 @@ QUERIES = {
         entity_validate,
         "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'no_name' END, CASE WHEN c_custkey % 11 = 0 THEN 'no_source' END, CASE WHEN c_custkey % 3 = 1 THEN 'lei' END) AS errors, concat_ws(',', CASE WHEN c_custkey % 4 = 1 THEN 'figi' END, CASE WHEN c_custkey % 5 = 0 THEN 'ticker' END, CASE WHEN c_custkey % 6 = 0 THEN 'country' END, CASE WHEN c_custkey % 7 = 1 THEN 'placeholder' END) AS warnings, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 3 <> 1 AS valid FROM customer",
     ),
-    "domain_route": (domain_route, "SELECT o_orderkey, ['screening', 'price', 'price', 'unknown', 'price'][o_orderkey % 5 + 1] AS domain, [0.9, 0.7, 0.9, 0.0, 0.7][o_orderkey % 5 + 1] AS score FROM orders"),
+    "domain_route": (domain_route, "SELECT o_orderkey, ['screening', 'unknown', 'price', 'unknown', 'price'][o_orderkey % 5 + 1] AS domain, [0.9, 0.5, 0.9, 0.0, 0.9][o_orderkey % 5 + 1] AS score FROM orders"),
     "time_range_detect": (time_range, "SELECT o_orderkey, [NULL, '-1Y', '-3Y', NULL, '-6M'][o_orderkey % 5 + 1] AS start, [NULL, '0D', '0D', NULL, '0D'][o_orderkey % 5 + 1] AS \"end\", [NULL, 'W', 'D', NULL, 'D'][o_orderkey % 5 + 1] AS freq FROM orders"),
     "fields_detect": (fields_detect, "SELECT o_orderkey, ['P', 'PC', 'MV,DY', 'P', 'P'][o_orderkey % 5 + 1] AS fields FROM orders"),
 }

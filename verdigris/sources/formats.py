@@ -56,7 +56,7 @@ def field_codes(markdown: Column) -> Column:
     pattern = F.lit(r"\|\s*([^|]+?)\s*\|\s*`([^`]+)`\s*\|\s*([^|]+?)\s*\|")
     zipped = F.arrays_zip(*[F.regexp_extract_all(markdown, pattern, i).alias(n) for i, n in ((1, "hint"), (2, "code"), (3, "description"))])
     kept = F.filter(zipped, lambda r: ~F.lower(r["hint"]).isin(*_HEADERS))
-    return F.transform(kept, lambda r: F.struct(F.transform(F.split(r["hint"], ","), F.trim).alias("hints"), r["code"].alias("code"), r["description"].alias("description")))
+    return F.transform(kept, lambda r: F.struct(F.transform(F.split(r["hint"], ","), lambda h: F.trim(h)).alias("hints"), r["code"].alias("code"), r["description"].alias("description")))
 
 
 def query_examples(markdown: Column) -> Column:
@@ -64,7 +64,7 @@ def query_examples(markdown: Column) -> Column:
     highest level named before the question."""
     pattern = r'(?s)\*\*Q\d+:\*\*\s*"([^"]+)"\s*```python\s*(get_data\([^`]+?)\s*```'
     queries, calls = (F.regexp_extract_all(markdown, F.lit(pattern), i) for i in (1, 2))
-    before = lambda q: F.substring_index(markdown, F.concat(F.lit('"'), q, F.lit('"')), 1)
+    before = lambda q: F.call_function("substring_index", markdown, F.concat(F.lit('"'), q, F.lit('"')), F.lit(1))
     levels = lambda q: F.transform(F.regexp_extract_all(before(q), F.lit(r"Level ([1-5])"), 1), lambda x: x.cast("int"))
     return F.zip_with(queries, calls, lambda q, c: F.struct(F.trim(q).alias("query"), c.alias("call"), F.coalesce(F.array_max(levels(q)), F.lit(1)).alias("complexity")))
 
