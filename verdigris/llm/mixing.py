@@ -85,7 +85,7 @@ def mix(measured: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     epochs = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     left = F.col("target") - epochs * F.col("source_size")
     within = F.col("before") - F.col("start")
-    copies = epochs + F.when(within + F.col("size") / 2 <= left, 1).otherwise(0)
+    copies = epochs + F.when((within + F.col("size") / 2 <= left) & (left >= 0.5), 1).otherwise(0)  # under half a word nothing is left to fill
     return joined.select("id", "source", "size", "source_size", "target", F.coalesce(copies, F.lit(0)).cast("long").alias("copies"))
 
 
