@@ -104,7 +104,8 @@ def prefix_missing(rows: DataFrame, content: str, marker: str, header: Column, d
 
 
 def add_json_keys(rows: DataFrame, json: str, values: dict[str, Column]) -> DataFrame:
-    """Add keys to a flat JSON object of strings or numbers where they are missing; keys that are there stay."""
+    """Add keys to a flat JSON object of strings or numbers where they are missing; keys that are there
+    stay, and all values become strings."""
     have = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
     add = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]))
     return rows.withColumn(json, F.to_json(F.map_concat(F.map_filter(add, lambda k, _: ~F.map_contains_key(have, k)), have)))
