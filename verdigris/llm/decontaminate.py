@@ -39,11 +39,13 @@ _END[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
 class Templates:
     """width: tokens of a window. share: part of an item's windows that a document must hold. broadcast_windows: up to so
     many distinct window hashes are sent to executors (8 bytes each) to drop others before the join; with more, all windows
-    are joined by a shuffle. A window in which fewer than half of the tokens are literal is matched by its own words."""
+    are joined by a shuffle. broadcast_rows: up to so many windows of items, repeats counted, are joined by a broadcast
+    (about 100 bytes each). A window in which fewer than half of the tokens are literal is matched by its own words."""
 
     width: int = 8
     share: float = 0.4
     broadcast_windows: int = 4_000_000
+    broadcast_rows: int = 500_000
 
 
 def _fold(part: W.Slice) -> np.ndarray:
@@ -151,7 +153,7 @@ def contaminated(docs: DataFrame, items: DataFrame, templates: Templates = Templ
     wanted = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64).view(np.uint64)) if small else None
     own = _windows_of(plain(docs, id_col, text_col), templates.width, wanted)
     side = bench.select("hash", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("of").alias("item_of"), F.col("slots").alias("item_slots"))
-    hits = own.join(F.broadcast(side) if small else side, "hash")
+    hits = own.join(F.broadcast(side) if small and bench.count() <= templates.broadcast_rows else side, "hash")
     hits = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_of", "slots", "item_slots")
     hits = scratch.materialize(hits.distinct(), "hits")
     run = ["id", "item", "shift"]
