@@ -80,3 +80,41 @@ def test_components(spark):
     real = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in real}
+
+
+def test_dense_region(spark):
+    """Pages of one template, about 0.7 alike, of which some pairs are 0.8 or more: far more than the reach in every run."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        own = [f"p{i}x{k}" for k in range(17)]
+        rows.append((len(rows), " ".join(template + own)))
+        if i % 12 == 0:
+            rows.append((len(rows), " ".join(template + own[:10] + [f"q{i}x{k}" for k in range(7)])))
+    group = [f"g{k}" for k in range(100)]
+    rows += [(len(rows) + k, " ".join(group[:k] + ["other"] + group[k + 1 :])) for k in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for reach in (1, 8):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, forest=Forest(reach=reach)).collect()}
+        assert got == brute(rows, 5)
+
+
+def test_across_partitions(spark):
+    """With few orders, alike documents on both sides of a boundary are found as well."""
+    rows = []
+    for i in range(60):
+        words = [f"d{i}w{k}" for k in range(400)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, forest=Forest(trees=2, least_depth=1, key_depth=2)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 2 for i, _ in rows}

@@ -7,7 +7,8 @@ region. Candidates are confirmed on the full shingle sets, and classes joined by
 
 Two rounds keep large groups cheap. The first confirms only direct neighbours, which ties up groups of thousands of near
 copies with at most one candidate a member and order. The second looks further back, but only at documents of other
-components.
+components. Runs of equal prefixes that are longer than it looks back, or that a boundary of two range partitions cuts, are
+finished exactly, by a prefix-filter join on their documents' rarest shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm import scratch
@@ -32,7 +34,7 @@ class Forest:
 
     A pair of similarity s shares a prefix of ``least_depth`` in some tree but for (1 - s**least_depth)**trees: 0.000003
     at 0.8 with the values here. ``reach`` is how far back the second round looks for another component's documents with
-    such a prefix; where a region holds more, its order brings those with longer common prefixes within reach.
+    such a prefix; longer runs are joined by shingles, a hot shingle's documents in blocks of ``block``.
     """
 
     width: int = 5
@@ -42,6 +44,7 @@ class Forest:
     key_depth: int = 10
     more: int = 288
     reach: int = 32
+    block: int = 256
     slack: float = 3.7
     seed: int = 20260101
 
@@ -116,12 +119,34 @@ def _orders(classes: DataFrame, forest: Forest) -> DataFrame:
     )
 
 
-def _neighbours(forest: Forest, reach: int) -> Callable:
+#: What _neighbours gives: pairs (a, b) without a run, or a document a of component b in a run.
+_FOUND = "a long, b long, run binary, place long"
+
+
+def _neighbours(forest: Forest, reach: int, runs: bool) -> Callable:
     """Over sorted rows (tree, key, id, component[, sketch]): pairs at most ``reach`` apart that share ``least_depth`` values
-    of a tree's order, belong to different components, and have sketches that agree well enough."""
+    of a tree's order, belong to different components, and have sketches that agree well enough.
+
+    Besides, what these pairs leave open. With ``runs``: all documents of a run of equal prefixes longer than the reach
+    that has several components (place -1), and those of a partition's first and last run (place: the partition).
+    Without: a partition's first and last document (place: their order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_key, kept_id, kept_sketch = np.zeros((0, 1 + forest.key_depth), np.uint32), np.zeros((0, 2), np.int64), np.zeros((0, forest.functions), np.uint8)
+        part = TaskContext.get().partitionId()
+        held: list[np.ndarray] = []  # ids of the run that the next batch may go on with
+        held_prefix, first_run, last = b"", True, None
+
+        def members(prefix: bytes, ids: np.ndarray, place: int) -> pa.RecordBatch:
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([prefix] * n, pa.binary()), pa.array(np.full(n, place))], ["a", "b", "run", "place"])
+
+        def closed(prefix: bytes, ids: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
+            if len(ids) > reach + 1 and (ids[:, 1] != ids[0, 1]).any():
+                yield members(prefix, ids, -1)
+            if edge:
+                yield members(prefix, ids, part)
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -129,6 +154,24 @@ def _neighbours(forest: Forest, reach: int) -> Callable:
             key = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(n, forest.key_depth)
             key = np.column_stack([np.asarray(batch.column(0)).astype(np.uint32), key.astype(np.uint32)])
             ids = np.column_stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))])
+            own = np.ascontiguousarray(key[:, : 1 + forest.least_depth])
+            if not runs:
+                if last is None:
+                    yield members(own[0].tobytes(), ids[:1], 2 * part)
+                last = own[-1].tobytes(), ids[-1:]
+            else:
+                starts = np.concatenate(([0], np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1, [n]))
+                sizes = np.diff(starts)
+                ends = {0, len(sizes) - 1}
+                for i in sorted(ends | set(np.flatnonzero(sizes > reach + 1).tolist())):
+                    prefix, mine = own[starts[i]].tobytes(), ids[starts[i] : starts[i + 1]]
+                    if i in ends:
+                        if held and prefix != held_prefix:
+                            yield from closed(held_prefix, np.concatenate(held), first_run)
+                            held, first_run = [], False
+                        held, held_prefix = [*held, mine], prefix
+                    else:
+                        yield from closed(prefix, mine, False)
             key, ids, new = np.concatenate([kept_key, key]), np.concatenate([kept_id, ids]), len(kept_key)
             sketch = None
             if batch.num_columns > 4:
@@ -151,11 +194,80 @@ def _neighbours(forest: Forest, reach: int) -> Callable:
             kept_key, kept_id = key[-reach:], ids[-reach:]
             if found:
                 pairs = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary()), pa.nulls(len(pairs), pa.int64())], ["a", "b", "run", "place"])
+        if held:
+            yield from closed(held_prefix, np.concatenate(held), True)
+        if last is not None:
+            yield members(*last, 2 * part + 1)
 
     return run
 
 
+def _across(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of direct neighbours, those on either side of a partition's boundary included."""
+    before = F.lag("a").over(Window.partitionBy("run").orderBy("place"))  # two rows a partition
+    over = found.where("run IS NOT NULL").select("a", before.alias("before")).where("before <> a")
+    return found.where("run IS NULL").select("a", "b").union(over.select(F.least("a", "before"), F.greatest("a", "before"))).distinct()
+
+
+def _unfinished(found: DataFrame) -> DataFrame:
+    """The ids of documents in runs of several components that are longer than the reach or go over a boundary."""
+    edge = found.where("place >= 0")
+    cut = edge.groupBy("run").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.min("b").alias("b"), F.max("b").alias("c")).where("p <> q AND b <> c").select("run")
+    return found.where("place < 0").select(F.col("a").alias("id")).union(edge.join(F.broadcast(cut), "run", "left_semi").select("a")).distinct()  # cut: at most a run for each partition
+
+
+#: Shingles are counted in so many buckets; only the order of a prefix depends on the counts.
+_BUCKETS = 1 << 20
+
+
+def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
+    """members: (id, component, text, sketch). All pairs of different components that can be alike by ``percent``: sets so
+    alike share one of their |x| - ceil(percent * |x| / 100) + 1 rarest shingles, in any order that holds for all of them.
+    Of a shingle's documents, those of its most frequent component are never paired with each other. The sketch sifts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BUCKETS, np.int64)
+        for batch in batches:
+            for part in W.slices(batch.column(0)):
+                np.add.at(total, (_sets(part, forest.width)[0] % np.uint64(_BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    counted = members.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(_BUCKETS, np.int32)
+    often[counted.column(0).to_numpy()] = np.minimum(counted.column(1).to_numpy(), np.iinfo(np.int32).max)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch.column(2)):
+                hashes, bounds = _sets(part, forest.width)
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(part.rows), n)
+                order = np.lexsort((hashes, often[(hashes % np.uint64(_BUCKETS)).astype(np.int64)], row))
+                keep = order[np.arange(len(order)) - bounds[row] < (n - (forest.percent * n + 99) // 100 + 1)[row]]
+                at = pa.array(part.first + row[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[keep]])], ["hash", "id", "component", "n"])
+
+    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long"), "postings")
+    shares = postings.groupBy("hash", "component").agg(F.count("*").alias("m"))
+    hot = shares.groupBy("hash").agg(F.max_by("component", "m").alias("main"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    keyed = scratch.materialize(postings.join(hot.select("hash", "main", F.ceil(F.col("total") / forest.block).alias("blocks")), "hash"), "keyed")
+    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "main")
+    both = left.join(right, ["hash", "block"]).where(f"cx <> cy AND (cy = main OR x < y) AND 100 * least(nx, ny) >= {forest.percent} * greatest(nx, ny)")
+    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= forest.least_agreement))
+
+    side = lambda name: members.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(sift, "a long, b long")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     """pairs (a, b) whose shingle sets have 100 * intersection >= percent * union; texts: (id, text), ids unique."""
 
@@ -201,16 +313,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         table.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes"
     )
     heads = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"), F.first("sketch").alias("sketch")).withColumn("component", F.col("id"))
-    pairs_of = "a long, b long"
-    close = scratch.materialize(_orders(heads.drop("sketch"), forest).mapInArrow(_neighbours(forest, 1), pairs_of).distinct(), "close")
+    direct = scratch.materialize(_orders(heads.drop("sketch"), forest).mapInArrow(_neighbours(forest, 1, False), _FOUND).distinct(), "direct")
+    close = scratch.materialize(_across(direct), "close")
     involved = scratch.materialize(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct(), "involved")
     texts = scratch.materialize(plain.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     links = scratch.materialize(_confirm(close, texts, forest), "links")
     tied = connected_components(links)
     rest = heads.drop("component").join(involved, "id", "left_semi").join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = _orders(rest, forest).mapInArrow(_neighbours(forest, forest.reach), pairs_of).distinct()
-    more = scratch.materialize(_confirm(second, texts, forest), "links")
+    second = scratch.materialize(_orders(rest, forest).mapInArrow(_neighbours(forest, forest.reach, True), _FOUND), "second")
+    dense = scratch.materialize(rest.select("id", "component", "sketch").join(_unfinished(second), "id", "left_semi").join(texts, "id"), "dense")
+    beyond = second.where("run IS NULL").select("a", "b")
+    if not dense.isEmpty():
+        beyond = beyond.union(_dense_pairs(dense, forest))
+    more = scratch.materialize(_confirm(beyond.distinct(), texts, forest), "links")
     final = connected_components(links.union(more))
 
     grouped = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
