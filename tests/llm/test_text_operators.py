@@ -121,3 +121,10 @@ def test_html(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
     assert got[1].startswith("Hi & bye") and got[2] is None and got[3] == ""
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_cells_without_table():
+    assert html_text.render("<p>a</p><td>b</td><th>c</th> d<caption>e</caption>") == "a\n\nbc de"
+    assert html_text.render("<table><tr><td>a</table></table><td>b<td>c<p>d") == "a\n\nbc\n\nd"
+    assert html_text.render("<td>x<table><tr><td>y<td>z</table>w") == "x\n\ny  z\n\nw"
+    assert html_text.render("<table><td>a<td><b>b</td></table><div><td>c</div>") == "a  b\n\nc"

@@ -302,6 +302,8 @@ def render(page: str | None) -> str:
                     c.stop(2)
                 continue
             table = above.table if above else None
+            if name in CELLS and table is None:  # a browser ignores the tag and shows the text
+                continue
             new = Open(name, hidden, invisible, c, table, name == "pre" or bool(above and above.pre), above.listed if above else None, name == "li" or bool(above and above.in_item))
             if name == "table":
                 new.table = Table(c)
