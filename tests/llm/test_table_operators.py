@@ -112,6 +112,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_runs_short_items_and_changed_values(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    copied = "so 12 apples and then the baker took his basket to the shop where 12 people stood in a line and they all sang"
+    docs = [(1, "before " + " ".join(long.split()[200:400]) + " after"), (2, "a b c " + " ".join(long.split()[10:25])), (3, "they said that green tea helps here and now and again"), (4, copied.replace("12 people", "13 people"))]
+    items = [(10, long), (11, "Green tea helps!"), (12, copied)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for t in (decontaminate.Templates(), decontaminate.Templates(broadcast_windows=0)):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(d, b, t).collect()}
+        assert {(1, 10), (3, 11), (4, 12)} == set(got)
+        assert got[1, 10]["windows"] == 193 and not got[4, 12]["reparameterised"]
+
+
 def test_warc_round_trip(spark):
     long = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20 + "</p>"
     pages = [(5, "http://b.org/x", long), (3, "http://www.a.org/y?q#f", long), (9, "http://b.org/x", long), (1, None, None), (2, "http://c.org\r\nX: y", ""), (4, "http://c.org/", "short"), (6, "http://c.org/", "short"), (None, "u://v", long)]

@@ -2,8 +2,8 @@
 
 Numbers, units after numbers, and names (capitalised words inside a sentence, but not in a run of upper-case words) become
 typed placeholders. Windows of the resulting templates are hash-joined between documents and benchmark items, so that a
-question asked again with other numbers or names still joins. An alignment counts only if its slots are consistent: one
-value of the item stands for one value of the document throughout.
+question asked again with other numbers or names still joins. Windows with other values than the item's count only if
+their alignment's slots are consistent: one value of the item stands for one value of the document throughout.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm import scratch
@@ -37,13 +37,16 @@ _END[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
 
 @dataclass(frozen=True)
 class Templates:
-    """width: tokens of a window. share: part of an item's windows that a document must hold. broadcast_windows: up to so
+    """width: tokens of a window. share: part of an item's windows that a document must hold. run: or so many
+    windows of it in a row, 20 tokens with the values here. An item shorter than a window is one window of its own length.
+    broadcast_windows: up to so
     many distinct window hashes are sent to executors (8 bytes each) to drop others before the join; with more, all windows
     are joined by a shuffle. broadcast_rows: up to so many windows of items, repeats counted, are joined by a broadcast
     (about 100 bytes each). A window in which fewer than half of the tokens are literal is matched by its own words."""
 
     width: int = 8
     share: float = 0.4
+    run: int = 13
     broadcast_windows: int = 4_000_000
     broadcast_rows: int = 500_000
 
@@ -117,53 +120,66 @@ def _unit_hashes() -> np.ndarray:
     return W.span_hashes(data, end - [len(u) for u in UNITS], end)
 
 
-def _windows_of(rows: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
-    """rows: (id, text). A row for each window: id, hash, at, of (windows of the text), slots array<long>."""
+def _windows_of(rows: DataFrame, widths: list[int], wanted: np.ndarray | None, own: bool = False) -> DataFrame:
+    """rows: (id, text). A row for each window of each width: id, hash, at, of (windows of the text), width, slots
+    array<long>. With ``own``, of all widths but the largest only windows that are a whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch.column(1)):
-                hashes, bounds, values = template_windows(part, width)
-                sizes = np.diff(bounds)
-                row = np.repeat(np.arange(part.rows), sizes)
-                keep = np.arange(len(hashes))
-                if wanted is not None:
-                    keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else keep[:0]
-                slots = pa.ListArray.from_arrays(pa.array((np.arange(len(keep) + 1) * width).astype(np.int32)), pa.array(values[keep].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(part.first + row[keep])), pa.array(hashes[keep].view(np.int64)), pa.array((np.arange(len(hashes)) - bounds[:-1][row])[keep]), pa.array(sizes[row][keep].astype(np.int64)), slots],
-                    ["id", "hash", "at", "of", "slots"],
-                )
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, at long, of long, slots array<long>")
+                tokens = np.diff(template_windows(part, 1)[1]) if own else None
+                for width in widths:
+                    hashes, bounds, values = template_windows(part, width)
+                    sizes = np.diff(bounds)
+                    row = np.repeat(np.arange(part.rows), sizes)
+                    keep = np.arange(len(hashes))
+                    if own and width < max(widths):
+                        keep = np.flatnonzero(tokens[row] == width)
+                    if wanted is not None:
+                        keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else keep[:0]
+                    slots = pa.ListArray.from_arrays(pa.array((np.arange(len(keep) + 1) * width).astype(np.int32)), pa.array(values[keep].view(np.int64).ravel()))
+                    at = (np.arange(len(hashes)) - bounds[:-1][row])[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(part.first + row[keep])), pa.array(hashes[keep].view(np.int64)), pa.array(at), pa.array(sizes[row][keep].astype(np.int64)), pa.array(np.full(len(keep), width)), slots],
+                        ["id", "hash", "at", "of", "width", "slots"],
+                    )
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, at long, of long, width long, slots array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, templates: Templates = Templates(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs of a document and a benchmark item of which the document holds ``templates.share`` of the windows or more.
+    """Pairs of a document and a benchmark item of which the document holds ``templates.share`` of the windows or more, or
+    ``templates.run`` of them in a row.
 
-    Returns id_col, item_col, windows long (of the item, found in the document by consistent alignments), item_windows
-    long, reparameterised boolean (a slot has another value than in the item). A text shorter than a window is one window.
+    Returns id_col, item_col, windows long (of the item, found in the document as they are or by consistent alignments), item_windows
+    long, reparameterised boolean (a slot has another value than in the item).
     Null and empty texts match nothing; rows with a null id are ignored. Repeated rows give the pair once. Empty tables
     give an empty result. Other columns are ignored.
     """
     plain = lambda df, key, text: df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    bench = scratch.materialize(_windows_of(plain(items, item_col, item_text), templates.width, None), "items")
+    bench = scratch.materialize(_windows_of(plain(items, item_col, item_text), list(range(1, templates.width + 1)), None, own=True), "items")
+    widths = sorted({templates.width, *(r[0] for r in bench.select("width").distinct().collect())})
     distinct = bench.select("hash").distinct()
     small = distinct.count() <= templates.broadcast_windows
     wanted = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64).view(np.uint64)) if small else None
-    own = _windows_of(plain(docs, id_col, text_col), templates.width, wanted)
+    own = _windows_of(plain(docs, id_col, text_col), widths, wanted)
     side = bench.select("hash", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("of").alias("item_of"), F.col("slots").alias("item_slots"))
     hits = own.join(F.broadcast(side) if small and bench.count() <= templates.broadcast_rows else side, "hash")
     hits = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_of", "slots", "item_slots")
     hits = scratch.materialize(hits.distinct(), "hits")
     run = ["id", "item", "shift"]
     pairs = hits.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*run, F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).where("theirs <> 0 AND ours <> 0").distinct()
-    values = pairs.groupBy(*run, "theirs").agg(F.count("*").alias("n"), F.max(F.col("ours") != F.col("theirs")).alias("other"))
-    judged = values.groupBy(*run).agg(F.max("n").alias("most"), F.max("other").alias("other"))
-    good = hits.join(judged, run, "left").where("most IS NULL OR most = 1")
+    values = pairs.groupBy(*run, "theirs").agg(F.count("*").alias("n"))
+    judged = values.groupBy(*run).agg(F.max("n").alias("most"))
+    other = F.exists(F.arrays_zip("item_slots", "slots"), lambda s: (s["item_slots"] != 0) & (s["slots"] != 0) & (s["item_slots"] != s["slots"]))
+    good = hits.withColumn("other", other).join(judged, run, "left").where("most IS NULL OR most = 1 OR NOT other")
+    kept = good.groupBy(*run, "item_at").agg(F.max("item_of").alias("item_of"), F.min("other").alias("other"))
+    row = kept.withColumn("row", F.col("item_at") - F.row_number().over(Window.partitionBy(*run).orderBy("item_at")))
+    rows = row.groupBy(*run, "row").agg(F.count("*").alias("long"), F.collect_list("item_at").alias("ats"), F.max("item_of").alias("item_of"), F.max("other").alias("other"))
     return (
-        good.groupBy("id", "item")
-        .agg(F.countDistinct("item_at").alias("windows"), F.max("item_of").alias("item_windows"), F.coalesce(F.max("other"), F.lit(False)).alias("reparameterised"))
-        .where(F.col("windows") >= templates.share * F.col("item_windows"))
+        rows.withColumn("item_at", F.explode("ats"))
+        .groupBy("id", "item")
+        .agg(F.countDistinct("item_at").alias("windows"), F.max("item_of").alias("item_windows"), F.max("other").alias("reparameterised"), F.max("long").alias("long"))
+        .where((F.col("windows") >= templates.share * F.col("item_windows")) | (F.col("long") >= templates.run))
         .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "windows", "item_windows", "reparameterised")
     )
