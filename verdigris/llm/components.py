@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels and pointer jumping, all in joins and aggregates."""
+"""Connected components of an edge table by hooking roots and pointer jumping, all in joins and aggregates."""
 
 from __future__ import annotations
 
@@ -12,21 +12,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (a long, b long), any order, repeats and loops allowed. Returns (id, component): each node that occurs in
     an edge once, with the smallest id that it reaches. No edges, no rows; edges with a null end are ignored.
 
-    Each pass takes the smallest label among a node's neighbours and then the label of that label, so paths shorten by
-    more than half; passes end when no label changes. Labels are written to the shared folder after each pass, which cuts
-    lineage. The neighbours' minimum is combined before the shuffle, so a node with many edges is no hot key.
+    Each pass takes the label of every node's label, and the smallest of these among a node's neighbours; the node and its
+    label, a root as a rule, both take that if it is smaller. So whole trees are hooked at once, and a chain of any length
+    takes a logarithmic number of passes. Passes end when no label changes. Labels are written to the shared folder after
+    each pass, which cuts lineage. Minima are combined before the shuffle, so a node with many edges is no hot key.
     """
     both = scratch.materialize(
         edges.select("a", "b").union(edges.select("b", "a")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges"
     )
     labels = scratch.materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("component").alias("beyond"))
-        step = scratch.materialize(
-            lower.join(jump, "label", "left").select("id", F.coalesce(F.least("label", "beyond"), "label").alias("component"), F.col("old")), "labels"
-        )
+        beyond = labels.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
+        seen = labels.join(beyond, "component").select("id", "component", F.least("component", "beyond").alias("beyond"))
+        near = both.join(seen.select(F.col("id").alias("b"), "beyond"), "b").groupBy(F.col("a").alias("id")).agg(F.min("beyond").alias("m"))
+        offers = seen.join(near, "id").select(F.explode(F.array(F.struct("id", F.least("beyond", "m").alias("to"), F.col("component").alias("old")), F.struct(F.col("component").alias("id"), F.col("m").alias("to"), F.lit(None).cast("long").alias("old")))).alias("o"))
+        step = scratch.materialize(offers.select("o.*").groupBy("id").agg(F.min("to").alias("component"), F.max("old").alias("old")), "labels")
         labels = step.select("id", "component")
         if step.where("component <> old").isEmpty():
             return labels

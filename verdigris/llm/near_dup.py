@@ -5,10 +5,11 @@ several sorted orders ("trees"), each by its own sequence of MinHash values. Nei
 enough prefix are candidates: where a region is dense its neighbours share a longer prefix, so the depth adapts to the
 region. Candidates are confirmed on the full shingle sets, and classes joined by confirmed links form components.
 
-Two rounds keep large groups cheap. The first confirms only direct neighbours, which ties up groups of thousands of near
-copies with at most one candidate a member and order. The second looks further back, but only at documents of other
-components. Runs of equal prefixes that are longer than it looks back, or that a boundary of two range partitions cuts, are
-finished exactly, by a prefix-filter join on their documents' rarest shingles.
+Rounds keep large groups cheap, since documents that a round has tied into one component are never paired again. The first
+round confirms direct neighbours of a few orders, which ties up most of a group of thousands of near copies with a link or
+two a member. The second takes direct neighbours of all orders that are still in different components. The third looks
+further back, in those runs of equal prefixes that the second leaves open. Runs that are longer than it looks back, or that
+a boundary of two range partitions cuts, are finished exactly, by a prefix-filter join on their documents' rarest shingles.
 """
 
 from __future__ import annotations
@@ -30,22 +31,27 @@ from verdigris.llm.components import connected_components
 @dataclass(frozen=True)
 class Forest:
     """trees x least_depth MinHash functions make the orders; a tree's order goes on with the next trees' functions. With
-    ``more`` functions they make the sketch, a byte of each value, by which candidates are sifted.
+    ``more`` functions they make the sketch, two bits of each value, by which candidates are sifted: a pair at exactly
+    ``percent`` has ``slack`` standard deviations to spare, and is lost once in three million cases with 5.
 
     A pair of similarity s shares a prefix of ``least_depth`` in some tree but for (1 - s**least_depth)**trees: 0.000003
-    at 0.8 with the values here. ``reach`` is how far back the second round looks for another component's documents with
-    such a prefix; longer runs are joined by shingles, a hot shingle's documents in blocks of ``block``.
+    at 0.8 with the values here. The first round pairs neighbours of ``first_trees`` orders. ``reach`` is how far back the
+    third round looks for another component's documents with such a prefix; longer runs are joined by shingles, a hot
+    shingle's documents in blocks of ``block``. The sets that most rows share, ``hot_sets`` at most, reach their rows by a
+    broadcast, so that no task gets all copies of a text.
     """
 
     width: int = 5
     percent: int = 80
     trees: int = 24
+    first_trees: int = 3
     least_depth: int = 4
     key_depth: int = 10
     more: int = 288
     reach: int = 32
     block: int = 256
-    slack: float = 3.7
+    hot_sets: int = 10_000
+    slack: float = 5.0
     seed: int = 20260101
 
     @property
@@ -54,7 +60,8 @@ class Forest:
 
     @property
     def least_agreement(self) -> float:
-        p = self.percent / 100
+        """Of the sketches' two-bit fields, how many agree at least; unlike values agree in one field of four."""
+        p = self.percent / 100 + (1 - self.percent / 100) / 4
         return p - self.slack * (p * (1 - p) / self.functions) ** 0.5
 
 
@@ -70,10 +77,27 @@ def _sets(part: W.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
     return W.distinct(*W.windows(hashes, w.bounds, width, short=True))
 
 
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """The lowest two bits of every value, four values a byte."""
+    low = np.zeros((len(sig), -(-sig.shape[1] // 4) * 4), np.uint8)
+    low[:, : sig.shape[1]] = sig & np.uint32(3)
+    return low[:, 0::4] | low[:, 1::4] << 2 | low[:, 2::4] << 4 | low[:, 3::4] << 6
+
+
+#: How many of a byte's four fields are zero.
+_ZEROS = sum((np.arange(256) >> shift & 3 == 0).astype(np.int64) for shift in (0, 2, 4, 6))
+
+
+def _agree(x: np.ndarray, y: np.ndarray, forest: Forest) -> np.ndarray:
+    """Whether packed sketches, a row each, agree well enough."""
+    padding = x.shape[1] * 4 - forest.functions
+    return _ZEROS[x ^ y].sum(axis=1) - padding >= forest.least_agreement * forest.functions
+
+
 def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
     """docs: (id long, text string). Returns (id, n_shingles long, set_a long, set_b long, signature binary, sketch binary);
     a document without words has n_shingles 0 and null signatures. The signature has the orders' functions in big-endian
-    form, the sketch a byte of every function."""
+    form, the sketch two bits of every function."""
     ordered = forest.trees * forest.least_depth
     mult, add = _functions(forest)
 
@@ -97,7 +121,7 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
                         sig[:, k] = np.minimum.reduceat(value, at)
                 cells: list[bytes | None] = [None] * part.rows
                 sketches: list[bytes | None] = [None] * part.rows
-                for i, row, low in zip(full.tolist(), sig[:, :ordered].astype(">u4"), sig.astype(np.uint8), strict=True):
+                for i, row, low in zip(full.tolist(), sig[:, :ordered].astype(">u4"), _packed(sig), strict=True):
                     cells[i], sketches[i] = row.tobytes(), low.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, part.rows), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(cells, pa.binary()), pa.array(sketches, pa.binary())],
@@ -119,7 +143,8 @@ def _orders(classes: DataFrame, forest: Forest) -> DataFrame:
     )
 
 
-#: What _neighbours gives: pairs (a, b) without a run, or a document a of component b in a run.
+#: What _neighbours gives: pairs (a, b) without a run, or a document a of component b in a run. A pair (a, a) says only
+#: that a has a neighbour.
 _FOUND = "a long, b long, run binary, place long"
 
 
@@ -129,10 +154,11 @@ def _neighbours(forest: Forest, reach: int, runs: bool) -> Callable:
 
     Besides, what these pairs leave open. With ``runs``: all documents of a run of equal prefixes longer than the reach
     that has several components (place -1), and those of a partition's first and last run (place: the partition).
-    Without: a partition's first and last document (place: their order)."""
+    Without: a partition's first and last document (place: their order); and of orders beyond the first trees no pairs, only
+    the documents that have a neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key, kept_id, kept_sketch = np.zeros((0, 1 + forest.key_depth), np.uint32), np.zeros((0, 2), np.int64), np.zeros((0, forest.functions), np.uint8)
+        kept_key, kept_id, kept_sketch = np.zeros((0, 1 + forest.key_depth), np.uint32), np.zeros((0, 2), np.int64), np.zeros((0, -(-forest.functions // 4)), np.uint8)
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []  # ids of the run that the next batch may go on with
         held_prefix, first_run, last = b"", True, None
@@ -188,12 +214,14 @@ def _neighbours(forest: Forest, reach: int, runs: bool) -> Callable:
                 ok &= ids[here, 1] != ids[there, 1]
                 if sketch is not None:
                     near = np.flatnonzero(ok)
-                    agree = (sketch[here][near] == sketch[there][near]).mean(axis=1)
-                    ok[near[agree < forest.least_agreement]] = False
+                    ok[near[~_agree(sketch[here][near], sketch[there][near], forest)]] = False
                 found.append(np.column_stack([np.minimum(ids[there, 0][ok], ids[here, 0][ok]), np.maximum(ids[there, 0][ok], ids[here, 0][ok])]))
             kept_key, kept_id = key[-reach:], ids[-reach:]
             if found:
                 pairs = np.concatenate(found)
+                if not runs:
+                    tree = key[max(new, 1) :, 0][ok]
+                    pairs = np.concatenate([pairs[tree < forest.first_trees], np.repeat(np.unique(pairs[tree >= forest.first_trees]), 2).reshape(-1, 2)])
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary()), pa.nulls(len(pairs), pa.int64())], ["a", "b", "run", "place"])
         if held:
             yield from closed(held_prefix, np.concatenate(held), True)
@@ -217,14 +245,20 @@ def _unfinished(found: DataFrame) -> DataFrame:
     return found.where("place < 0").select(F.col("a").alias("id")).union(edge.join(F.broadcast(cut), "run", "left_semi").select("a")).distinct()  # cut: at most a run for each partition
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 #: Shingles are counted in so many buckets; only the order of a prefix depends on the counts.
 _BUCKETS = 1 << 20
 
 
 def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
-    """members: (id, component, text, sketch). All pairs of different components that can be alike by ``percent``: sets so
+    """members: (id, component, text). All pairs of different components that can be alike by ``percent``: sets so
     alike share one of their |x| - ceil(percent * |x| / 100) + 1 rarest shingles, in any order that holds for all of them.
-    Of a shingle's documents, those of its most frequent component are never paired with each other. The sketch sifts."""
+    What stands behind the shared shingle
+    on either side bounds how many more can be shared. Of a shingle's documents, those of its most frequent component are
+    never paired with each other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BUCKETS, np.int64)
@@ -245,27 +279,34 @@ def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(part.rows), n)
                 order = np.lexsort((hashes, often[(hashes % np.uint64(_BUCKETS)).astype(np.int64)], row))
-                keep = order[np.arange(len(order)) - bounds[row] < (n - (forest.percent * n + 99) // 100 + 1)[row]]
-                at = pa.array(part.first + row[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[keep]])], ["hash", "id", "component", "n"])
+                behind = n[row] - 1 - (np.arange(len(order)) - bounds[row])
+                early = behind >= ((forest.percent * n + 99) // 100 - 1)[row]
+                keep = order[early]
+                at = pa.array(part.first + row[early])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[early]]), pa.array(behind[early])], ["hash", "id", "component", "n", "behind"])
 
-    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long"), "postings")
+    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long, behind long"), "postings")
     shares = postings.groupBy("hash", "component").agg(F.count("*").alias("m"))
     hot = shares.groupBy("hash").agg(F.max_by("component", "m").alias("main"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     keyed = scratch.materialize(postings.join(hot.select("hash", "main", F.ceil(F.col("total") / forest.block).alias("blocks")), "hash"), "keyed")
-    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "main")
-    both = left.join(right, ["hash", "block"]).where(f"cx <> cy AND (cy = main OR x < y) AND 100 * least(nx, ny) >= {forest.percent} * greatest(nx, ny)")
-    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
+    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"), "main")
+    enough = f"100 * least(nx, ny) >= {forest.percent} * greatest(nx, ny) AND {100 + forest.percent} * (1 + least(bx, by)) >= {forest.percent} * (nx + ny)"
+    both = left.join(right, ["hash", "block"]).where(f"cx <> cy AND (cy = main OR x < y) AND {enough}")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sift(pairs: DataFrame, heads: DataFrame, forest: Forest) -> DataFrame:
+    """The pairs (a, b) whose sketches agree well enough; heads: (id, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= forest.least_agreement))
+                yield batch.select(["a", "b"]).filter(pa.array(_agree(x, y, forest)))
 
-    side = lambda name: members.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(sift, "a long, b long")
+    side = lambda name: heads.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
@@ -310,26 +351,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     table = scratch.materialize(signatures(plain, forest), "signatures")
     classes = scratch.materialize(
-        table.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes"
+        table.where("id IS NOT NULL AND n_shingles > 0")
+        .groupBy("set_a", "set_b", "n_shingles")
+        .agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")),
+        "classes",
     )
-    heads = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"), F.first("sketch").alias("sketch")).withColumn("component", F.col("id"))
-    direct = scratch.materialize(_orders(heads.drop("sketch"), forest).mapInArrow(_neighbours(forest, 1, False), _FOUND).distinct(), "direct")
-    close = scratch.materialize(_across(direct), "close")
-    involved = scratch.materialize(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct(), "involved")
-    texts = scratch.materialize(plain.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    links = scratch.materialize(_confirm(close, texts, forest), "links")
-    tied = connected_components(links)
-    rest = heads.drop("component").join(involved, "id", "left_semi").join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = scratch.materialize(_orders(rest, forest).mapInArrow(_neighbours(forest, forest.reach, True), _FOUND), "second")
-    dense = scratch.materialize(rest.select("id", "component", "sketch").join(_unfinished(second), "id", "left_semi").join(texts, "id"), "dense")
-    beyond = second.where("run IS NULL").select("a", "b")
+    heads = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+
+    first = scratch.materialize(_orders(heads.select("id", "signature", F.col("id").alias("component")), forest).mapInArrow(_neighbours(forest, 1, False), _FOUND).distinct(), "first")
+    near = scratch.materialize(_across(first), "near")
+    involved = scratch.materialize(heads.join(_ends(near), "id", "left_semi"), "involved")
+    texts = scratch.materialize(plain.join(involved.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return scratch.materialize(_confirm(pairs, texts, forest), "links")
+
+    def tied_by(links: DataFrame, of: DataFrame) -> DataFrame:
+        return of.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    close = scratch.materialize(_sift(near.where("a <> b"), involved, forest), "close")
+    links = confirmed(close)
+    second = scratch.materialize(_orders(tied_by(links, involved.drop("sketch")), forest).mapInArrow(_neighbours(forest, 1, True), _FOUND).distinct(), "second")
+    fresh = second.where("run IS NULL").select("a", "b").join(near, ["a", "b"], "left_anti")
+    closer = scratch.materialize(_sift(fresh, involved, forest), "close")
+    links = links.union(confirmed(closer))
+    left = scratch.materialize(tied_by(links, involved.join(_unfinished(second), "id", "left_semi")), "left")
+    third = scratch.materialize(_orders(left, forest).mapInArrow(_neighbours(forest, forest.reach, True), _FOUND).distinct(), "third")
+    beyond = third.where("run IS NULL").select("a", "b")
+    dense = scratch.materialize(left.select("id", "component").join(_unfinished(third), "id", "left_semi").join(texts, "id"), "dense")
     if not dense.isEmpty():
-        beyond = beyond.union(_dense_pairs(dense, forest))
-    more = scratch.materialize(_confirm(beyond.distinct(), texts, forest), "links")
-    final = connected_components(links.union(more))
-
-    grouped = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = table.select("id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b", "n_shingles"], "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+        beyond = beyond.union(_sift(_dense_pairs(dense, forest), involved, forest))
+    known = close.union(closer)
+    links = links.union(confirmed(beyond.distinct().join(known, ["a", "b"], "left_anti")))
+
+    sets = ["set_a", "set_b", "n_shingles"]
+    groups = classes.join(connected_components(links).withColumnRenamed("id", "rep"), "rep", "left")
+    groups = scratch.materialize(groups.select(*sets, "rows", F.coalesce("component", "rep").alias("component_id")), "groups")
+    hot = groups.orderBy(F.desc("rows"), *sets).limit(forest.hot_sets).drop("rows")
+    rows = table.where("id IS NOT NULL AND n_shingles > 0").select("id", *sets)
+    many = rows.join(F.broadcast(hot), sets)  # at most hot_sets rows
+    few = rows.join(F.broadcast(hot), sets, "left_anti").join(groups.drop("rows"), sets)
+    none = table.where("id IS NULL OR n_shingles = 0").select("id", *sets, F.col("id").alias("component_id"))
+    out = many.unionByName(few).unionByName(none)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component_id").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
