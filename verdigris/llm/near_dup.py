@@ -37,7 +37,8 @@ class Forest:
     A pair of similarity s shares a prefix of ``least_depth`` in some tree but for (1 - s**least_depth)**trees: 0.000003
     at 0.8 with the values here. The first round pairs neighbours of ``first_trees`` orders. ``reach`` is how far back the
     third round looks for another component's documents with such a prefix; longer runs are joined by shingles, a hot
-    shingle's documents in blocks of ``block``. The sets that most rows share, ``hot_sets`` at most, reach their rows by a
+    shingle's documents in blocks of ``block``. Up to ``broadcast_ids`` ids of documents with candidates are sent to the texts,
+    which else are shuffled. The sets that most rows share, ``hot_sets`` at most, reach their rows by a
     broadcast, so that no task gets all copies of a text.
     """
 
@@ -51,6 +52,7 @@ class Forest:
     reach: int = 32
     block: int = 256
     hot_sets: int = 10_000
+    broadcast_ids: int = 1_000_000
     slack: float = 5.0
     seed: int = 20260101
 
@@ -257,7 +259,8 @@ def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
     """members: (id, component, text). All pairs of different components that can be alike by ``percent``: sets so
     alike share one of their |x| - ceil(percent * |x| / 100) + 1 rarest shingles, in any order that holds for all of them.
     What stands behind the shared shingle
-    on either side bounds how many more can be shared. Of a shingle's documents, those of its most frequent component are
+    on either side bounds how many more can be shared; and so does the number of rarest shingles that both have, since of the
+    one set's others at most all are shared. Of a shingle's documents, those of its most frequent component are
     never paired with each other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +286,24 @@ def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
                 early = behind >= ((forest.percent * n + 99) // 100 - 1)[row]
                 keep = order[early]
                 at = pa.array(part.first + row[early])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[early]]), pa.array(behind[early])], ["hash", "id", "component", "n", "behind"])
+                at_doc = np.concatenate(([0], np.cumsum(np.bincount(row[early], minlength=part.rows))))
+                own = (hashes[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)  # shortened: a chance match only adds
+                among = np.repeat(at_doc[:-1], np.diff(at_doc)), np.repeat(np.diff(at_doc), np.diff(at_doc))
+                offsets = np.concatenate(([0], np.cumsum(among[1])))
+                rare = own[np.repeat(among[0] - offsets[:-1], among[1]) + np.arange(offsets[-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[early]]), pa.array(behind[early]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rare))],
+                    ["hash", "id", "component", "n", "behind", "rare"],
+                )
 
-    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long, behind long"), "postings")
+    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long, behind long, rare array<int>"), "postings")
     shares = postings.groupBy("hash", "component").agg(F.count("*").alias("m"))
     hot = shares.groupBy("hash").agg(F.max_by("component", "m").alias("main"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     keyed = scratch.materialize(postings.join(hot.select("hash", "main", F.ceil(F.col("total") / forest.block).alias("blocks")), "hash"), "keyed")
-    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
-    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"), "main")
+    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"), F.col("rare").alias("rx"))
+    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"), F.col("rare").alias("ry"), "main")
     enough = f"100 * least(nx, ny) >= {forest.percent} * greatest(nx, ny) AND {100 + forest.percent} * (1 + least(bx, by)) >= {forest.percent} * (nx + ny)"
+    enough += f" AND {100 + forest.percent} * (size(array_intersect(rx, ry)) + greatest(nx - size(rx), ny - size(ry))) >= {forest.percent} * (nx + ny)"
     both = left.join(right, ["hash", "block"]).where(f"cx <> cy AND (cy = main OR x < y) AND {enough}")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -310,7 +322,8 @@ def _sift(pairs: DataFrame, heads: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
-    """pairs (a, b) whose shingle sets have 100 * intersection >= percent * union; texts: (id, text), ids unique."""
+    """pairs (a, b) whose shingle sets have 100 * intersection >= percent * union; texts: (id, text), ids unique. Texts that
+    are written in buckets by id are read where they are; a pair carries one of its two texts through a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,6 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text. Rows with a null id keep n_shingles, and have a null component and kept false. Other columns are ignored. An
     empty table gives an empty result.
     """
+    since = scratch.mark(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     table = scratch.materialize(signatures(plain, forest), "signatures")
     classes = scratch.materialize(
@@ -361,7 +375,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = scratch.materialize(_orders(heads.select("id", "signature", F.col("id").alias("component")), forest).mapInArrow(_neighbours(forest, 1, False), _FOUND).distinct(), "first")
     near = scratch.materialize(_across(first), "near")
     involved = scratch.materialize(heads.join(_ends(near), "id", "left_semi"), "involved")
-    texts = scratch.materialize(plain.join(involved.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    ids = involved.select("id")
+    mine = plain.join(F.broadcast(ids) if ids.limit(forest.broadcast_ids + 1).count() <= forest.broadcast_ids else ids, "id", "left_semi")
+    texts = scratch.bucketed(mine, "id", "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return scratch.materialize(_confirm(pairs, texts, forest), "links")
@@ -393,4 +409,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = rows.join(F.broadcast(hot), sets, "left_anti").join(groups.drop("rows"), sets)
     none = table.where("id IS NULL OR n_shingles = 0").select("id", *sets, F.col("id").alias("component_id"))
     out = many.unionByName(few).unionByName(none)
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component_id").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return scratch.settle(out, "near_duplicates", since)

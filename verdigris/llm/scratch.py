@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, notebooks) a local one is made.
-A written table cuts lineage and survives lost executors; ``clear`` removes what this session wrote.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this one process (tests,
+notebooks) a local one is made; on a cluster that is an error.
+A written table cuts lineage and survives lost executors. ``settle`` removes what led to a result, ``clear`` all that this
+session wrote.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
+_tables: dict[str, str] = {}  # names of bucketed tables by path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     current = context._jsc.sc().getCheckpointDir()
+    if current.isEmpty() and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if current.isEmpty():
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="verdigris-"))
         current = context._jsc.sc().getCheckpointDir()
@@ -41,12 +46,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` in buckets by ``key``, one row a key, and return it read back: joins on that column don't shuffle it again.
+    There are as many buckets as shuffle partitions."""
+    spark = df.sparkSession
+    path, n = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _tables[path] = f"{name}_{uuid.uuid4().hex}"
+    unique = df.repartition(n, key).dropDuplicates([key])
+    unique.write.bucketBy(n, key).option("path", path).saveAsTable(_tables[path])
+    return spark.table(_tables[path])
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables this session has written so far, for ``settle``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Materialize a result and delete the tables that were written for it after ``mark`` gave ``since``."""
+    spark = df.sparkSession
+    out = materialize(df, name)
+    paths = _written[spark.sparkContext.applicationId]
+    _delete(spark, paths[since:-1])
+    del paths[since:-1]
+    return out
+
+
 def clear(spark: SparkSession) -> int:
     """Delete every table that this session has written; their DataFrames can't be read afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-    return len(paths)
