@@ -100,14 +100,16 @@ def test_decontamination(spark):
     item = "If Anna Meyer buys 12 apples for 3.50 euros and sells 5 of them to Ben at the market, how many apples does Anna keep until the end of the long week in July, and why would Anna give the rest of them away to her friends?"
     other = item.replace("Anna", "Clara").replace("Meyer", "Brook").replace("12", "40").replace("3.50", "9").replace("July", "May")
     mixed = other.replace("why would Clara give", "why would Peter give")
+    again = "When Tom had 7 coins then Tom gave 7 coins to a man who gave 7 coins to a boy who gave Tom 7 coins back again"
+    jumbled = "When Ann had 3 coins then Bea gave 4 coins to a man who gave 5 coins to a boy who gave Cleo 6 coins back again"
     plain = "the cat sat on the mat while a dog ran over the hill and nobody saw it come back home again"
-    docs = [(1, "Well then. " + item + " Bye."), (2, "So. " + other + " Ok."), (3, plain.upper()), (4, "nothing of that kind is in this text at all, not even one window of it"), (5, None), (6, ""), (7, "only, short"), (8, "x " + mixed), (None, item), (1, "Well then. " + item + " Bye.")]
-    items = [(10, item), (11, plain), (12, "Only short!"), (13, None), (14, ""), (10, item)]
+    docs = [(1, "Well then. " + item + " Bye."), (2, "So. " + other + " Ok."), (3, plain.upper()), (4, "nothing of that kind is in this text at all, not even one window of it"), (5, None), (6, ""), (7, "only, short"), (8, "x " + mixed), (9, jumbled), (None, item), (1, "Well then. " + item + " Bye.")]
+    items = [(10, item), (15, again), (11, plain), (12, "Only short!"), (13, None), (14, ""), (10, item)]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("z"))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     for t in (decontaminate.Templates(), decontaminate.Templates(broadcast_windows=0)):
         got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(d, b, t).collect()}
-        assert {(1, 10), (2, 10), (3, 11), (7, 12)} == set(got)
+        assert {(1, 10), (2, 10), (3, 11), (7, 12), (8, 10)} == set(got)  # 8: one slot of ten stands for another value; 9: most do
         assert not got[1, 10]["reparameterised"] and got[2, 10]["reparameterised"] and got[1, 10]["windows"] == got[1, 10]["item_windows"]
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
@@ -124,6 +126,41 @@ def test_decontamination_runs_short_items_and_changed_values(spark):
         assert got[1, 10]["windows"] == 193 and not got[4, 12]["reparameterised"]
 
 
+def test_decontamination_of_questions_full_of_slots(spark):
+    """Half of the tokens are slots; twins have other values everywhere, some of them equal by accident."""
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdgkmt" for b in "aeiou" for c in ("n", "r", "st", "lk")]
+    names = [w.capitalize() for w in rng.sample(words, 40)]
+    units = ["kg", "euros", "hours", "km", "days"]
+    value = {"n": lambda: str(rng.choice([rng.randrange(2, 30), rng.randrange(100, 999)])), "p": lambda: rng.choice(names), "u": lambda: rng.choice(units)}
+
+    def template(size):
+        out = []
+        while len(out) < size:
+            out += rng.choice([["w"], ["w", "w"], ["n"], ["n", "u"], ["p"]])
+        return [(k, rng.choice(words)) for k in out]
+
+    def told(t):
+        return " ".join(["so", *(w if k == "w" else value[k]() for k, w in t), "then"])
+
+    templates = [template(rng.choice([12, 18, 30, 55])) for _ in range(60)]
+    items = [(i, told(t)) for i, t in enumerate(templates)]
+    twins = [(i, "before that all " + told(t) + " and after that") for i, t in enumerate(templates)]
+    clean = [(1000 + i, " ".join(told(template(20)) for _ in range(4))) for i in range(80)]
+    numbers = [(2000 + i, " ".join(value["n"]() for _ in range(300))) for i in range(5)]
+    d, b = spark.createDataFrame(twins + clean + numbers, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert sum((i, i) in found for i, _ in items) >= 0.95 * len(items)
+    assert all(i == j for i, j in found)
+
+
+def test_decontamination_of_numbers(spark):
+    items = [(1, "12 + 30 = 42, and 5 * 6 = 30, so 42 - 30 = 12"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "Compute 12 plus 5 times 3 minus 4")]
+    docs = [(1, "x 7 + 35 = 42, and 5 * 7 = 35, so 42 - 35 = 7 y"), (2, "before 1 2 3 4 5 6 7 8 9 10 11 12 after"), (3, "5 6 8 1 3 2 9 7 4 4 1 2 8"), (4, "Now: compute 9 plus 8 times 2 minus 1.")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_warc_round_trip(spark):
     long = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20 + "</p>"
     pages = [(5, "http://b.org/x", long), (3, "http://www.a.org/y?q#f", long), (9, "http://b.org/x", long), (1, None, None), (2, "http://c.org\r\nX: y", ""), (4, "http://c.org/", "short"), (6, "http://c.org/", "short"), (None, "u://v", long)]

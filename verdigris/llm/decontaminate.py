@@ -2,8 +2,12 @@
 
 Numbers, units after numbers, and names (capitalised words inside a sentence, but not in a run of upper-case words) become
 typed placeholders. Windows of the resulting templates are hash-joined between documents and benchmark items, so that a
-question asked again with other numbers or names still joins. Windows with other values than the item's count only if
-their alignment's slots are consistent: one value of the item stands for one value of the document throughout.
+question asked again with other numbers or names still joins. A window goes on until it holds some literal tokens, so that
+questions made of numbers are matched by longer windows. Windows with other values than the item's only count if their
+alignment's slots are consistent, but for a few coincidences: one value of the item stands for one value of the document.
+
+Names are known by Latin capitals, units by a list of English, German, French and Spanish words; a name in another script
+is a literal.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from verdigris.llm import words as W
 UNITS = (
     "mm cm m km g kg mg lb lbs oz l ml s ms h min mile miles metre metres meter meters litre litres liter liters gram grams "
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro "
-    "euros pound pounds percent degrees"
+    "euros pound pounds percent degrees sekunden minuten stunde stunden tag tage woche wochen monat monate jahr jahre prozent "
+    "grad heure heures jour jours semaine semaines mois an ans secondes hora horas día días semana semanas mes meses año años "
+    "segundos minutos"
 ).split()
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
@@ -37,20 +43,35 @@ _END[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
 
 @dataclass(frozen=True)
 class Templates:
-    """width: tokens of a window. share: part of an item's windows that a document must hold. run: or so many
-    windows of it in a row, 20 tokens with the values here. An item shorter than a window is one window of its own length.
-    broadcast_windows: up to so
-    many distinct window hashes are sent to executors (8 bytes each) to drop others before the join; with more, all windows
-    are joined by a shuffle. broadcast_rows: up to so many windows of items, repeats counted, are joined by a broadcast
-    (about 100 bytes each). A window in which fewer than half of the tokens are literal is matched by its own words."""
+    """width: tokens of a window at least; it goes on until ``literals`` of its tokens are literal. share: part of an item's
+    windows that a document must hold. run: or so many windows of it in a row, 20 tokens with the values here. An item
+    without any such window is one window: of its own length, if it is shorter than ``width`` or has two literals or more;
+    else its windows are matched by their own words. coincidences: of an alignment's slots, so many may stand for another
+    value than that which the item's value stands for mostly. broadcast_windows: up to so many distinct window hashes are
+    sent to executors (8 bytes each) to drop others before the join; with more, all windows are joined by a shuffle, each
+    side's hot hashes dealt out over ``salts`` tasks. broadcast_rows: up to so many of the items' windows are joined by a
+    broadcast (about 100 bytes each)."""
 
     width: int = 8
+    literals: int = 4
     share: float = 0.4
     run: int = 13
+    coincidences: float = 0.25
+    salts: int = 16
     broadcast_windows: int = 4_000_000
     broadcast_rows: int = 500_000
 
 
+@dataclass
+class Tokens:
+    """A slice's tokens in order: template hashes, hashes of their own (folded) bytes, and slot values (0: literal)."""
+
+    template: np.ndarray
+    own: np.ndarray
+    slots: np.ndarray
+    bounds: np.ndarray  # tokens of each document
+
+
 def _fold(part: W.Slice) -> np.ndarray:
     """Lower-cased A-Z and Latin-1 capitals of two-byte sequences."""
     data = W.lower(part).copy()
@@ -64,8 +85,7 @@ def _running(mask: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
 
 
-def template_windows(part: W.Slice, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes, their bounds by document, and each window's slot values (0 where a token is literal)."""
+def tokens(part: W.Slice) -> Tokens:
     data = part.data
     inside = _ALNUM[data]
     if len(data) > 2:  # 3.5 and 1,000 are one token
@@ -75,7 +95,7 @@ def template_windows(part: W.Slice, width: int) -> tuple[np.ndarray, np.ndarray,
     folded = _fold(part)
     literal = W.span_hashes(folded, spans.start, spans.end)
     if not n:
-        return literal, np.zeros(part.rows + 1, np.int64), np.zeros((0, width), np.uint64)
+        return Tokens(literal, literal, literal, np.zeros(part.rows + 1, np.int64))
     digits, ends = _running(_DIGIT[data]), _running(_END[data])
     has_digit = digits[spans.end] > digits[spans.start]
     number = has_digit & _DIGIT[data[spans.start]]
@@ -100,18 +120,54 @@ def template_windows(part: W.Slice, width: int) -> tuple[np.ndarray, np.ndarray,
     kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
     template = np.where(kind > 0, W.mix(kind.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), literal)
     slots = np.where(kind > 0, literal | np.uint64(1), np.uint64(0))
-    hashes, bounds = W.windows(template, spans.bounds, width, short=True)
-    exact, _ = W.windows(literal, spans.bounds, width, short=True)
-    counts = np.diff(spans.bounds)
-    sizes = np.diff(bounds)
-    first = np.repeat(spans.bounds[:-1], sizes) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
-    reach = np.repeat(np.minimum(counts, width), sizes)
-    at = first[:, None] + np.arange(width)
-    within = np.arange(width) < reach[:, None]
-    values = np.where(within, slots[np.minimum(at, n - 1)], np.uint64(0))
-    plain = within.sum(axis=1) - (values != 0).sum(axis=1)
-    few = 2 * plain < reach
-    return np.where(few, exact ^ np.uint64(0x6A09E667F3BCC909), hashes), bounds, values
+    return Tokens(template, literal, slots, spans.bounds)
+
+
+@dataclass
+class Windows:
+    """Windows of a slice's documents, in order: their tokens are first .. last - 1 of the slice."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    row: np.ndarray
+
+
+def _hashed(values: np.ndarray, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit hashes of runs of values; equal runs of one kind are alike wherever they stand."""
+    return W.RunHasher(values)(first, last) ^ W.mix(np.array([kind], dtype=np.uint64))[0]
+
+
+def template_windows(t: Tokens, width: int, literals: int) -> Windows:
+    """The shortest windows from each token on that have ``width`` tokens and ``literals`` literals within the document."""
+    n = len(t.template)
+    plain = np.flatnonzero(t.slots == 0)
+    first = np.arange(n)
+    nth = np.searchsorted(plain, first) + literals - 1
+    enough = np.where(nth < len(plain), plain[np.minimum(nth, max(len(plain) - 1, 0))] + 1 if len(plain) else n + 1, n + 1)
+    last = np.maximum(first + width, enough)
+    row = np.repeat(np.arange(len(t.bounds) - 1), np.diff(t.bounds))
+    fits = last <= t.bounds[row + 1]
+    first, last, row = first[fits], last[fits], row[fits]
+    return Windows(_hashed(t.template, first, last, 1), first, last, row)
+
+
+def exact_windows(t: Tokens, width: int) -> Windows:
+    """All runs of ``width`` tokens, by their own words."""
+    return _fixed(t, t.own, width, 2)
+
+
+def whole_windows(t: Tokens, width: int) -> Windows:
+    """All runs of ``width`` tokens, by their template: where items of just this length may stand."""
+    return _fixed(t, t.template, width, 3)
+
+
+def _fixed(t: Tokens, values: np.ndarray, width: int, kind: int) -> Windows:
+    first = np.arange(len(values))
+    row = np.repeat(np.arange(len(t.bounds) - 1), np.diff(t.bounds))
+    fits = first + width <= t.bounds[row + 1]
+    first, row = first[fits], row[fits]
+    return Windows(_hashed(values, first, first + width, kind), first, first + width, row)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -120,31 +176,66 @@ def _unit_hashes() -> np.ndarray:
     return W.span_hashes(data, end - [len(u) for u in UNITS], end)
 
 
-def _windows_of(rows: DataFrame, widths: list[int], wanted: np.ndarray | None, own: bool = False) -> DataFrame:
-    """rows: (id, text). A row for each window of each width: id, hash, at, of (windows of the text), width, slots
-    array<long>. With ``own``, of all widths but the largest only windows that are a whole text."""
+_HITS = "hash long, at long, of long, slots array<long>"
+
+
+def _batch(ids: pa.Array, part: W.Slice, t: Tokens, found: Windows, keep: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+    """Rows of the windows ``keep``: the document's id, hash, place in the document, its number of windows, slot values."""
+    first, sizes = found.first[keep], (found.last - found.first)[keep]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])
+    slots = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(t.slots[at].view(np.int64)))
+    row = found.row[keep]
+    columns = [ids.take(pa.array(part.first + row)), pa.array(found.hashes[keep].view(np.int64)), pa.array(first - t.bounds[row]), pa.array(of[row].astype(np.int64)), slots]
+    return pa.RecordBatch.from_arrays(columns, ["id", "hash", "at", "of", "slots"])
+
+
+def _item_windows(items: DataFrame, templates: Templates) -> DataFrame:
+    """items: (id, text). A row for each window: id, hash, at, of, slots, and length: of a window that is a whole item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch.column(1)):
+                t = tokens(part)
+                size = np.diff(t.bounds)
+                usual = template_windows(t, templates.width, templates.literals)
+                count = np.bincount(usual.row, minlength=part.rows)
+                literal = np.add.reduceat(np.append(t.slots == 0, False).astype(np.int64), t.bounds[:-1]) * (size > 0)
+                whole = (size > 0) & (count == 0) & ((size < templates.width) | (literal >= 2))
+                poor = (size > 0) & (count == 0) & ~whole
+                yield from _with_length(_batch(batch.column(0), part, t, usual, np.arange(len(usual.hashes)), count), 0)
+                own = exact_windows(t, templates.width)
+                yield from _with_length(_batch(batch.column(0), part, t, own, np.flatnonzero(poor[own.row]), np.bincount(own.row, minlength=part.rows)), -1)
+                for length in np.unique(size[whole]).tolist():
+                    of_length = whole_windows(t, length)
+                    keep = np.flatnonzero(whole[of_length.row] & (size[of_length.row] == length))
+                    yield from _with_length(_batch(batch.column(0), part, t, of_length, keep, np.ones(part.rows)), length)
+
+    return items.mapInArrow(run, f"id {items.schema['id'].dataType.simpleString()}, {_HITS}, length int")
+
+
+def _with_length(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, length, np.int32))], [*batch.schema.names, "length"])
+
+
+def _document_windows(docs: DataFrame, templates: Templates, lengths: list[int], wanted: np.ndarray | None) -> DataFrame:
+    """docs: (id, text). A row for each window: id, hash, at, of, slots; of all kinds that items have, and with ``wanted``,
+    hashes in ascending order, only of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch.column(1)):
-                tokens = np.diff(template_windows(part, 1)[1]) if own else None
-                for width in widths:
-                    hashes, bounds, values = template_windows(part, width)
-                    sizes = np.diff(bounds)
-                    row = np.repeat(np.arange(part.rows), sizes)
-                    keep = np.arange(len(hashes))
-                    if own and width < max(widths):
-                        keep = np.flatnonzero(tokens[row] == width)
+                t = tokens(part)
+                for length in lengths:
+                    found = template_windows(t, templates.width, templates.literals) if length == 0 else exact_windows(t, templates.width) if length < 0 else whole_windows(t, length)
+                    keep = np.arange(len(found.hashes))
                     if wanted is not None:
-                        keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else keep[:0]
-                    slots = pa.ListArray.from_arrays(pa.array((np.arange(len(keep) + 1) * width).astype(np.int32)), pa.array(values[keep].view(np.int64).ravel()))
-                    at = (np.arange(len(hashes)) - bounds[:-1][row])[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(part.first + row[keep])), pa.array(hashes[keep].view(np.int64)), pa.array(at), pa.array(sizes[row][keep].astype(np.int64)), pa.array(np.full(len(keep), width)), slots],
-                        ["id", "hash", "at", "of", "width", "slots"],
-                    )
+                        keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, found.hashes), len(wanted) - 1)] == found.hashes) if len(wanted) else keep[:0]
+                    if len(keep):
+                        yield _batch(batch.column(0), part, t, found, keep, np.bincount(found.row, minlength=part.rows))
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, at long, of long, width long, slots array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {_HITS}")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, templates: Templates = Templates(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -157,22 +248,27 @@ def contaminated(docs: DataFrame, items: DataFrame, templates: Templates = Templ
     give an empty result. Other columns are ignored.
     """
     plain = lambda df, key, text: df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    bench = scratch.materialize(_windows_of(plain(items, item_col, item_text), list(range(1, templates.width + 1)), None, own=True), "items")
-    widths = sorted({templates.width, *(r[0] for r in bench.select("width").distinct().collect())})
+    bench = scratch.materialize(_item_windows(plain(items, item_col, item_text), templates), "items")
+    lengths = sorted(r[0] for r in bench.select("length").distinct().collect())  # as many as short items have lengths
     distinct = bench.select("hash").distinct()
     small = distinct.count() <= templates.broadcast_windows
-    wanted = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64).view(np.uint64)) if small else None
-    own = _windows_of(plain(docs, id_col, text_col), widths, wanted)
+    wanted = np.sort(distinct.toArrow().column(0).to_numpy().view(np.uint64)) if small else None
+    own = _document_windows(plain(docs, id_col, text_col), templates, lengths, wanted)
     side = bench.select("hash", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("of").alias("item_of"), F.col("slots").alias("item_slots"))
-    hits = own.join(F.broadcast(side) if small and bench.count() <= templates.broadcast_rows else side, "hash")
+    if small and bench.count() <= templates.broadcast_rows:
+        hits = own.join(F.broadcast(side), "hash")
+    else:
+        dealt = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(templates.salts - 1))))
+        hits = own.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(templates.salts)).cast("int")).join(dealt, ["hash", "salt"])
     hits = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_of", "slots", "item_slots")
     hits = scratch.materialize(hits.distinct(), "hits")
     run = ["id", "item", "shift"]
-    pairs = hits.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*run, F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).where("theirs <> 0 AND ours <> 0").distinct()
-    values = pairs.groupBy(*run, "theirs").agg(F.count("*").alias("n"))
-    judged = values.groupBy(*run).agg(F.max("n").alias("most"))
+    slots = hits.select(*run, "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("i", "s"))
+    slots = slots.select(*run, (F.col("item_at") + F.col("i")).alias("place"), F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).where("theirs <> 0 AND ours <> 0").distinct()
+    values = slots.groupBy(*run, "theirs", "ours").agg(F.count("*").alias("n")).groupBy(*run, "theirs").agg(F.max("n").alias("agree"), F.sum("n").alias("n"))
+    judged = values.groupBy(*run).agg((F.sum("n") - F.sum("agree")).alias("odd"), F.sum("n").alias("n"))
     other = F.exists(F.arrays_zip("item_slots", "slots"), lambda s: (s["item_slots"] != 0) & (s["slots"] != 0) & (s["item_slots"] != s["slots"]))
-    good = hits.withColumn("other", other).join(judged, run, "left").where("most IS NULL OR most = 1 OR NOT other")
+    good = hits.withColumn("other", other).join(judged, run, "left").where(f"odd IS NULL OR odd <= {templates.coincidences} * n OR NOT other")
     kept = good.groupBy(*run, "item_at").agg(F.max("item_of").alias("item_of"), F.min("other").alias("other"))
     row = kept.withColumn("row", F.col("item_at") - F.row_number().over(Window.partitionBy(*run).orderBy("item_at")))
     rows = row.groupBy(*run, "row").agg(F.count("*").alias("long"), F.collect_list("item_at").alias("ats"), F.max("item_of").alias("item_of"), F.max("other").alias("other"))
