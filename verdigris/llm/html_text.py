@@ -1,15 +1,19 @@
 """All visible text of HTML pages, laid out: blocks apart, list items marked and indented, table cells aligned.
 
 A scan yields tags and text; a tree builder closes elements that end tags leave out; the renderer follows what is open.
-Nothing recurses, so depth is no matter, and each page is read once.
+Nothing recurses, and open elements are counted by name, so depth is no matter, and each page is read once. Style sheets in
+the page hide and show by simple selectors, as they would on a screen.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +31,9 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figur
 LISTS = frozenset("ul ol menu".split())
 INDENTED = LISTS | {"blockquote", "dd"}
 CELLS = frozenset("td th caption".split())
+#: Elements out of which only the end tags of the second set reach.
+SCOPES = CELLS | {"table"}
+OUTWARD = frozenset("tr table thead tbody tfoot body html".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup select legend".split()) | {"hr"}
 #: A start tag ends these open elements, up to the nearest of the second set.
 IMPLIED = {
@@ -49,8 +56,10 @@ WIDEST = 60
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
+_SIMPLE = re.compile(r"(?:[a-z][\w-]*|\*)?(?:[.#][\w-]+)*")
+_PART = re.compile(r"[.#]?[\w-]+|\*")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -161,22 +170,55 @@ class Canvas:
         return self.lines
 
 
+@dataclass
+class Cell:
+    lines: list[str]
+    columns: int
+    rows: int
+
+
 @dataclass
 class Table:
     outer: Canvas
-    rows: list[list[list[str]]] = field(default_factory=list)
+    rows: list[list[Cell]] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
 
-    def lines(self) -> list[str]:
-        widths: list[int] = []
+    def _placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """(first column, column after the last, lines) of each row's cells; columns that a cell of a row above still takes are
+        passed over."""
+        out, taken = [], {}
         for row in self.rows:
-            for i, cell in enumerate(row):
-                widths += [0] * (i + 1 - len(widths))
-                widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= WIDEST)])
+            column, placed, below = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+            for cell in row:
+                while column in taken:
+                    column += 1
+                placed.append((column, column + cell.columns, cell.lines))
+                if cell.rows > 1:
+                    below.update(dict.fromkeys(range(column, column + cell.columns), cell.rows - 1))
+                column += cell.columns
+            out.append(placed)
+            taken = below
+        return out
+
+    def lines(self) -> list[str]:
+        """Columns begin where cells begin; a cell over several of them takes their room and widens none."""
+        placed = self._placed()
+        edges = sorted({first for row in placed for first, _, _ in row})
+        widths = [0] * len(edges)
+        for row in placed:
+            for first, after, cell in row:
+                i = bisect_left(edges, first)
+                if bisect_left(edges, after) == i + 1:
+                    widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= WIDEST)])
+        offsets = list(accumulate((w + 2 for w in widths), initial=0))
         out = list(self.notes)
-        for row in self.rows:
-            for k in range(max((len(cell) for cell in row), default=0)):
-                out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+        for row in placed:
+            for k in range(max((len(cell) for _, _, cell in row), default=0)):
+                line = ""
+                for n, (first, _, cell) in enumerate(row):
+                    at = offsets[bisect_left(edges, first)]
+                    line = (line.ljust(at) if len(line) + 2 <= at or not n else line + "  ") + (cell[k] if k < len(cell) else "")
+                out.append(line.rstrip())
         return out
 
 
@@ -193,22 +235,82 @@ class Open:
     listed: "Open | None"  # the innermost list, itself included
     in_item: bool
     count: int | None = None  # of an ordered list: the next number
+    spans: tuple[int, int] = (1, 1)  # of a cell: columns and rows
 
 
-def hidden_selectors(sheet: str) -> set[str]:
-    """The simple selectors (tag, .class, #id) to which a style sheet gives display: none or hidden visibility."""
-    out: set[str] = set()
-    for selectors, body in _RULE.findall(sheet):
-        if _HIDING.search(body.lower()):
-            out.update(s for s in (x.strip().lower() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s))
-    return out
+@dataclass
+class Sheet:
+    """Rules on display and visibility, by one part of their selectors, which are a tag, classes and an id of one element.
+    Selectors with combinators, pseudo-classes or attributes are left out."""
+
+    rules: dict[str, list[tuple[frozenset[str], tuple, str, str]]] = field(default_factory=dict)
+    count: int = 0
+
+    def add(self, css: str) -> None:
+        css, shown, at = _COMMENT.sub(" ", css).lower(), [True], 0
+        for brace in re.finditer(r"[{};]", css):
+            head, at = css[at : brace.start()], brace.end()
+            if brace[0] == "{":
+                head = head.strip()
+                if head.startswith("@"):  # a block of rules for some media, or one that has no rules
+                    media = re.match(r"@media\s+(.*)", head, re.S)
+                    fits = head.startswith("@supports") or (media is not None and any(not re.match(r"\s*(only\s+)?(print|speech)\b|\s*not\s+(all|screen)\b", m) for m in media[1].split(",")))
+                    shown.append(shown[-1] and fits)
+                    self._head = None
+                else:
+                    shown.append(shown[-1])
+                    self._head = head if shown[-1] else None
+                    self._body: list[str] = []
+            elif brace[0] == ";":
+                if getattr(self, "_head", None):
+                    self._body.append(head)
+            else:
+                if getattr(self, "_head", None):
+                    self._rule(self._head, [*self._body, head])
+                self._head = None
+                if len(shown) > 1:
+                    shown.pop()
+
+    def _rule(self, selectors: str, body: list[str]) -> None:
+        stated = [m for d in body if (m := _DECLARATION.fullmatch(d.strip()))]
+        for selector in (x.strip() for x in selectors.split(",")) if stated else ():
+            if not selector or not _SIMPLE.fullmatch(selector):
+                continue
+            parts = frozenset(_PART.findall(selector))
+            weight = sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), sum(p[0] not in "#.*" for p in parts)
+            self.count += 1
+            for m in stated:
+                self.rules.setdefault(max(parts), []).append((parts, (bool(m[3]), *weight, self.count), m[1], m[2]))
+
+    def value(self, own: set[str], name: str) -> tuple[tuple, str] | None:
+        """The strongest rule's weight and value for an element of these parts."""
+        fitting = [(weight, value) for part in own for parts, weight, what, value in self.rules.get(part, ()) if what == name and parts <= own]
+        return max(fitting, default=None)
+
+
+def _styled(sheet: Sheet, own: set[str], style: str, name: str) -> str | None:
+    """The value of a property after the cascade; the style attribute wins over all rules that aren't important."""
+    inline = None
+    for m in (m for d in style.split(";") if (m := _DECLARATION.fullmatch(d.strip()))):
+        if m[1] == name and (m[3] or inline is None or not inline[0]):
+            inline = bool(m[3]), m[2]
+    ruled = sheet.value(own, name) if sheet.rules else None
+    if inline is not None and (ruled is None or inline[0] or not ruled[0][0]):
+        return inline[1]
+    return ruled[1] if ruled is not None else None
+
+
+def _span(given: str | None, most: int) -> int:
+    return min(most, max(1, int(given))) if given and re.fullmatch(r"\d{1,9}", given.strip()) else 1
 
 
 def render(page: str | None) -> str:
     """The visible text of one page; null and empty pages give an empty text."""
     stack: list[Open] = []
     root = Canvas()
-    hidden_by_sheet: set[str] = set()
+    sheet = Sheet()
+    scopes: list[Counter[str]] = [Counter()]  # open elements by name, in the page and in each open table and cell
+    total: Counter[str] = Counter()
 
     def canvas() -> Canvas:
         return stack[-1].canvas if stack else root
@@ -216,6 +318,10 @@ def render(page: str | None) -> str:
     def close(at: int) -> None:
         while len(stack) > at:
             o = stack.pop()
+            if o.name in SCOPES:
+                scopes.pop()
+            scopes[-1][o.name] -= 1
+            total[o.name] -= 1
             above = stack[-1] if stack else None
             c = canvas()
             if o.name in CELLS:
@@ -225,7 +331,7 @@ def render(page: str | None) -> str:
                     else:
                         if not above.table.rows:
                             above.table.rows.append([])
-                        above.table.rows[-1].append(o.canvas.text())
+                        above.table.rows[-1].append(Cell(o.canvas.text(), *o.spans))
             elif o.name == "table":
                 if not o.hidden and o.table is not None:
                     c.block(o.table.lines(), 2)
@@ -241,6 +347,8 @@ def render(page: str | None) -> str:
 
     def find(names: frozenset[str], until: frozenset[str]) -> int | None:
         found = None
+        if not any(total[n] for n in names):
+            return None
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].name in until:
                 break
@@ -263,14 +371,16 @@ def render(page: str | None) -> str:
                 c.write(text)
         elif kind == "raw":
             if name == "style":
-                hidden_by_sheet |= hidden_selectors(rest)
+                sheet.add(rest)
             elif name == "textarea" and not stack[-1].hidden:
                 canvas().keep(html.unescape(rest))
         elif kind == "end":
             if name == "br":
                 canvas().stop(1)
                 continue
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name or (stack[i].name in ("td", "th", "caption", "table") and name not in ("tr", "table", "thead", "tbody", "tfoot", "body", "html"))), None)
+            if not (total if name in OUTWARD else scopes[-1])[name] and not (stack and stack[-1].name == name):
+                continue
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name or (stack[i].name in SCOPES and name not in OUTWARD)), None)
             if at is not None and stack[at].name == name:
                 close(at)
         else:
@@ -285,13 +395,11 @@ def render(page: str | None) -> str:
             above = stack[-1] if stack else None
             given = attributes(rest) if rest.strip(" /\n\t") else {}
             style = given.get("style", "").lower()
-            hidden = name in UNSEEN or "hidden" in given or bool(re.search(r"display\s*:\s*none", style)) or bool(above and above.hidden)
-            invisible = bool(above and above.invisible)
-            if "visibility" in style:
-                invisible = bool(re.search(r"visibility\s*:\s*(hidden|collapse)", style)) or (invisible and "visible" not in style)
-            if hidden_by_sheet and not hidden:
-                own = {name, "#" + given.get("id", "").lower(), *("." + x.lower() for x in given.get("class", "").split())}
-                hidden = not own.isdisjoint(hidden_by_sheet)
+            own = {name, "*", "#" + given.get("id", "").lower(), *("." + x.lower() for x in given.get("class", "").split())} if sheet.rules else set()
+            display = _styled(sheet, own, style, "display") if style or own else None
+            hidden = name in UNSEEN or bool(above and above.hidden) or (display == "none" if display else "hidden" in given)
+            visibility = _styled(sheet, own, style, "visibility") if style or own else None
+            invisible = visibility in ("hidden", "collapse") if visibility and visibility != "inherit" else bool(above and above.invisible)
             c = canvas()
             if name in VOID:
                 if not hidden and name == "br":
@@ -310,6 +418,7 @@ def render(page: str | None) -> str:
                 c.stop(2)
             elif name in CELLS:
                 new.canvas = Canvas()
+                new.spans = _span(given.get("colspan"), 1000), _span(given.get("rowspan"), 65534)
                 new.in_item = False
                 new.listed = None
             elif name == "tr":
@@ -329,6 +438,10 @@ def render(page: str | None) -> str:
                 if new.listed is not None and new.listed.count is not None:
                     c.mark, new.listed.count = f"{new.listed.count}. ", new.listed.count + 1
             stack.append(new)
+            scopes[-1][name] += 1
+            total[name] += 1
+            if name in SCOPES:
+                scopes.append(Counter())
     close(0)
     return "\n".join(root.text()).strip("\n")
 
