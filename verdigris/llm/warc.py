@@ -1,9 +1,10 @@
 """WARC archives from pages, read back into one ordered capture index.
 
 Records are written by Spark's text sink: a record is a row and the record separator is the line separator, so any file
-system that Spark writes to will do. Reading follows Content-Length, so payloads may hold separators. Each file's index
-is a run sorted by URL key and time; range partitions then merge their parts of all runs with a loser tree, which gives
-one global order of captures.
+system that Spark writes to will do. Rows of like size are written together, so that a file's bytes are bounded by its
+number of records. Reading follows Content-Length, so payloads may hold separators. Each file's index is a run sorted by URL
+key and time; range partitions of a bounded number of rows then merge their parts of all runs with a loser tree, which
+gives one global order of captures.
 """
 
 from __future__ import annotations
@@ -19,6 +20,12 @@ from verdigris.llm import scratch
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
+#: Up to so many groups of equal payloads (about 100 bytes each) are sent to all executors, the largest ones first.
+BROADCAST_GROUPS = 200_000
+#: A file's records hold about so many bytes at most, and a task merges so many rows of the index.
+FILE_BYTES, MERGE_ROWS = 1 << 30, 250_000
+#: Payloads of up to so many bytes, and up to sixteen times as many and so on, go to files of their own.
+_SMALL, _CLASSES = 100 << 10, 5
 _EPOCH = 1_600_000_000
 _INDEX = "url_key string, captured_at string, page_id long, file string, offset long, length long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -30,7 +37,7 @@ def _header(name: str, value: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
-    """(record string): a WARC/1.1 response or revisit for each row.
+    """(record string, class int): a WARC/1.1 response or revisit for each row, and the class of its payload's size.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, the one with the smallest id is the response, and rows of
     other ids revisit it. A null payload is empty. A null id is never referred to, and revisits where an id exists. A null
@@ -42,8 +49,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"),
         F.date_format(F.coalesce(when, F.timestamp_seconds(F.lit(_EPOCH))), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
     )
-    heads = rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL").drop("n")
-    joined = rows.join(heads, "digest", "left")
+    heads = rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL")
+    heads = scratch.materialize(heads, "heads")
+    joined = _with_heads(rows, heads)
     again = F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
@@ -59,12 +67,33 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _header("Content-Length", F.octet_length(block)),
     ]
-    return joined.select(F.concat(*lines, F.lit("\r\n"), block).alias("record"))
-
-
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = 10_000, **columns: str) -> None:
-    """Write gzipped WARC files of at most ``records_per_file`` records; the separator ends every record."""
-    records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
+    place = sum(((F.col("bytes") > (_SMALL << 4 * k)).cast("int") for k in range(_CLASSES - 1)), F.lit(0))
+    return joined.select(F.concat(*lines, F.lit("\r\n"), block).alias("record"), place.alias("class"))
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Add ``head`` to the rows of a digest that has one. The groups with most rows are sent to the rows, so payloads stay
+    where they are and no task gets all copies of a page; only what is beyond BROADCAST_GROUPS is joined by a shuffle."""
+    few = heads.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    hot = heads if few else scratch.materialize(heads.orderBy(F.desc("n"), "digest").limit(BROADCAST_GROUPS), "hot")
+    joined = rows.join(F.broadcast(hot.select("digest", "head")), "digest", "left")
+    if few:
+        return joined
+    rest = heads.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select(F.col("digest").alias("__digest"), F.col("head").alias("__head"))
+    dealt = F.when(F.col("head").isNull() & (F.col("bytes") >= LEAST_REVISIT), F.col("digest")).otherwise(F.concat(F.lit("-"), F.rand(1).cast("string")))
+    return joined.withColumn("__key", dealt).join(rest, F.col("__key") == F.col("__digest"), "left").withColumn("head", F.coalesce("head", "__head"))
+
+
+def write_archives(pages: DataFrame, folder: str, records_per_file: int = 10_000, html_col: str = "html", **columns: str) -> None:
+    """Write gzipped WARC files of at most ``records_per_file`` records and, for payloads of up to 6 MB, about FILE_BYTES
+    unpacked; larger payloads are written sixteen times as large a class at a time. The separator ends every record."""
+    size = F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit("")))
+    place = sum(((size > (_SMALL << 4 * k)).cast("int") for k in range(_CLASSES - 1)), F.lit(0))
+    found = sorted(r[0] for r in pages.select(place.alias("c")).distinct().collect())  # at most _CLASSES
+    rows = records(pages, html_col=html_col, **columns)
+    for c in found or [0]:
+        most = max(1, min(records_per_file, FILE_BYTES // (_SMALL << 4 * c)))
+        rows.where(F.col("class") == c).select("record").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(folder)
 
 
 def _pieces(content: bytes) -> Iterator[bytes]:
@@ -197,10 +226,11 @@ def merge_runs(index: DataFrame) -> DataFrame:
     """All runs in one order of (url_key, captured_at, page_id, file, offset): partitions in that order, rows within them.
 
     Range partitions on the whole order split a URL that is captured very often. A task sorts its rows by run and merges
-    the runs; it holds the index rows of one partition, never payloads.
+    the runs; it holds the index rows of one partition, about MERGE_ROWS, never payloads.
     """
     keys = ["url_key", "captured_at", "page_id", "file", "offset"]
-    parts = index.repartitionByRange(*keys).sortWithinPartitions("file", *keys[:3], "offset")
+    index = scratch.materialize(index, "runs")
+    parts = index.repartitionByRange(max(1, -(-index.count() // MERGE_ROWS)), *keys).sortWithinPartitions("file", *keys[:3], "offset")
     names = index.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
