@@ -90,12 +90,11 @@ def mix(measured: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def ranked_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """Give the sources, by code point with null last, the weights in turn. sources: a row a source; a sort of few rows."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    """Give the sources, by code point with null last, the weights in turn. sources: a row a source; their ranks are counted
+    over range partitions, so that there may be as many sources as web domains."""
+    ranked = global_prefix(sources, [F.col("source").isNull(), F.coalesce("source", F.lit(""))], {}, "__rank")
     choices = F.array(*[F.lit(float(w)) for w in weights])
-    return sources.withColumn("weight", F.element_at(choices, (rank % len(weights) + 1).cast("int")))
+    return ranked.withColumn("weight", F.element_at(choices, (F.col("__rank") % len(weights) + 1).cast("int"))).drop("__rank")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:

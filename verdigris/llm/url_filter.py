@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: A pickled trie of up to so many bytes is sent to every executor; beyond it the rules are joined by a shuffle.
+#: Rules whose trie takes up to about so many bytes are sent to every executor, where each worker builds the trie once;
+#: beyond it the rules are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a node with its entry above it, roughly.
+_NODE_BYTES = 500
+_tries: dict[int, "Node"] = {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,6 +66,20 @@ def build_trie(rules: list[Rule]) -> Node:
     return root
 
 
+def trie_bytes(rules: list[Rule]) -> int:
+    """About how much memory the rules' trie takes at most: a node for each label and segment, and the texts."""
+    return sum(_NODE_BYTES * (2 + r.host.count(".") + r.path.count("/")) + 4 * len(r.text) for r in rules)
+
+
+def _shared_trie(shared: Broadcast) -> Node:
+    """The trie of broadcast rules, built once in a worker process."""
+    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = build_trie([Rule(*r) for r in shared.value])
+    return _tries[key]
+
+
 def longest_match(root: Node, host: str, path: str) -> Rule | None:
     """The winning rule among those whose host is ``host`` or a parent domain of it and whose path begins ``path``."""
     best: Rule | None = None
@@ -104,15 +122,14 @@ def judge(urls: DataFrame, rules: list[Rule], url_col: str = "url", default: str
     if bad:
         raise ValueError(f"rules need a host and a verdict of allow or block: {bad[:3]}")
     split = host_and_path(urls.drop("rule", "verdict"), url_col)
-    packed = pickle.dumps(build_trie(rules))
-    if len(packed) > broadcast_bytes:
+    if trie_bytes(rules) > broadcast_bytes:
         return _judge_by_join(split, rules, default)
-    shared = urls.sparkSession.sparkContext.broadcast(packed)
+    shared = urls.sparkSession.sparkContext.broadcast([(r.host, r.path, r.verdict) for r in rules])
     names = split.columns
     host_at, path_at = names.index("host"), names.index("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = pickle.loads(shared.value)
+        root = _shared_trie(shared)
         for batch in batches:
             found = [longest_match(root, h, p) for h, p in zip(batch.column(host_at).to_pylist(), batch.column(path_at).to_pylist(), strict=True)]
             rule = pa.array([r.text if r else None for r in found], pa.string())
@@ -129,7 +146,8 @@ def _judge_by_join(split: DataFrame, rules: list[Rule], default: str) -> DataFra
     spark = split.sparkSession
     rows = [(r.host + "/" * bool(r.path) + "/".join(r.path.split("/")[1:-1]) + ("/" if r.path.count("/") > 1 else ""), r.path, r.text, r.verdict, len(r.host)) for r in rules]
     table = spark.createDataFrame(rows, "anchor string, rule_path string, rule string, verdict string, host_length int")
-    pairs = split.select("host", "path").distinct()
+    hosted = split.where("host <> ''")
+    pairs = hosted.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     parts = F.split("path", "/")
@@ -138,5 +156,5 @@ def _judge_by_join(split: DataFrame, rules: list[Rule], default: str) -> DataFra
     hits = exploded.withColumn("anchor", F.concat("domain", "prefix")).join(table, "anchor").where(F.col("path").startswith(F.col("rule_path")))
     order = F.struct(F.length("rule"), F.col("host_length"), (F.col("verdict") == "block").cast("int"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    out = split.join(best, ["host", "path"], "left")
-    return out.select(*split.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = hosted.join(best, ["host", "path"], "left").select(*split.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out.union(split.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))  # no rule is without a host
