@@ -39,10 +39,13 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Fit:
-    """sample_rows bounds the labelled documents that the field is fitted on, chosen by a hash of their id; their line
-    features are collected. shrink is the ridge on all weights."""
+    """sample_rows and sample_lines bound the labelled documents that the field is fitted on, chosen by a hash of their id, and
+    their lines; their line features are collected. A line that follows ``contexts`` different lines or more over all
+    documents is boilerplate wherever it stands. shrink is the ridge on all weights."""
 
     sample_rows: int = 3000
+    sample_lines: int = 200_000
+    contexts: int = 4
     shrink: float = 2.0
     steps: int = 120
 
@@ -65,6 +68,7 @@ class Measured:
     bounds: np.ndarray  # lines of each document
     features: np.ndarray  # [line, feature], 0 or 1
     line_words: np.ndarray
+    line_hashes: np.ndarray
 
 
 def _repeats(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +104,8 @@ def measure(part: W.Slice) -> Measured:
     n_words = np.bincount(of, minlength=len(lines.start))
     real = n_words > 0
     start, end, row, n = lines.start[real], lines.end[real], lines.row[real], n_words[real]
-    _, before = _repeats(hasher(start, end), row)
+    line_hash = hasher(start, end)
+    _, before = _repeats(line_hash, row)
 
     def share(mask: np.ndarray, of_what: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
@@ -112,7 +117,8 @@ def measure(part: W.Slice) -> Measured:
     solid = np.maximum(share(~W._SPACE[data], 1), 1)
     symbols, letters = share(_SYMBOL[data], solid), share(_LETTER[data] & begins, solid)
     length = share(~W._SPACE[data] & begins, n)
-    last = np.array([data[e - 1 - int(np.argmax(~W._SPACE[data[start[i] : e]][::-1]))] for i, e in enumerate(end)], dtype=np.uint8) if len(end) else np.zeros(0, np.uint8)
+    solid_at = np.maximum.accumulate(np.where(W._SPACE[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    last = data[solid_at[end - 1]] if len(end) else np.zeros(0, np.uint8)
     bounds = np.searchsorted(row, np.arange(part.rows + 1))
     opening, closing = np.zeros(len(n), bool), np.zeros(len(n), bool)
     full = bounds[1:] > bounds[:-1]
@@ -127,7 +133,7 @@ def measure(part: W.Slice) -> Measured:
     ).astype(np.float32)
     dup = np.bincount(row, weights=before, minlength=part.rows).astype(np.int64)
     repeat = np.bincount(words.row, weights=covered, minlength=part.rows).astype(np.int64)
-    return Measured(np.diff(words.bounds), part.per_row(begins & ~W._SPACE[data]), part.per_row(_SYMBOL[data]), dup, repeat, bounds, features, n)
+    return Measured(np.diff(words.bounds), part.per_row(begins & ~W._SPACE[data]), part.per_row(_SYMBOL[data]), dup, repeat, bounds, features, n, line_hash)
 
 
 def _steps(bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,28 +200,66 @@ def fit_field(features: np.ndarray, states: np.ndarray, bounds: np.ndarray, fit:
     return Field(emission, transition)
 
 
+def _spread(docs: DataFrame, text_col: str, wanted: np.ndarray) -> dict[int, int]:
+    """Of the lines with the hashes ``wanted`` (ascending): after how many different lines each stands, over all documents. A
+    copy of a document adds nothing, so this tells lines that sites share from lines of texts that were copied."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch.column(0)):
+                m = measure(part)
+                h = m.line_hashes
+                before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+                before[m.bounds[:-1][np.diff(m.bounds) > 0]] = 0
+                hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                pairs = np.unique(np.column_stack([h[hit], before[hit]]), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["line", "before"])
+
+    pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "line long, before long").distinct()
+    counted = pairs.groupBy("line").agg(F.count("*").alias("n")).toArrow()  # at most sample_lines rows
+    return dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
+
+
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Fit the field on at most ``fit.sample_rows`` labelled documents: every line of a document of quality 1 counts as
-    content, of quality 0 as boilerplate. Without rows of both labels the field marks every line as content."""
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["__id"])
+    """Fit the field on at most ``fit.sample_rows`` labelled documents with at most ``fit.sample_lines`` lines altogether.
+
+    Lines of a document of quality 0 count as boilerplate; of those of quality 1, the ones that stand after
+    ``fit.contexts`` different lines or more over all documents, and the others as content. Without rows of both labels the
+    field marks every line as content."""
+    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropDuplicates(["__id"])
     chosen = scratch.materialize(chosen.orderBy(F.xxhash64(F.lit(5), "__id"), "__id").limit(fit.sample_rows), "sampled")
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).cast("string").alias("text"), "label")
+    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("__label").alias("label"))
+    breaks = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))), F.lit(0)).cast("long")
+    sized = sample.groupBy("id").agg(F.max(breaks + 1).alias("n")).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(fit.sample_rows).collect()
+    total, fitting = 0, []
+    for r in sized:
+        if total + r["n"] <= fit.sample_lines:
+            total += r["n"]
+            fitting.append((r["id"],))
+    kept = docs.sparkSession.createDataFrame(fitting, sample.select("id").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch.column(1)):
                 m = measure(part)
-                cells = [np.packbits(m.features[a:b].astype(bool), axis=1).tobytes() for a, b in zip(m.bounds[:-1], m.bounds[1:], strict=True)]
+                ends = list(zip(m.bounds[:-1], m.bounds[1:], strict=True))
+                cells = [np.packbits(m.features[a:b].astype(bool), axis=1).tobytes() for a, b in ends]
+                hashes = [m.line_hashes[a:b].tobytes() for a, b in ends]
                 cut = [batch.column(i).slice(part.first, part.rows) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*cut, pa.array(cells, pa.binary())], ["id", "label", "lines"])
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(cells, pa.binary()), pa.array(hashes, pa.binary())], ["id", "label", "lines", "hashes"])
 
-    rows = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, label int, lines binary").orderBy("id").limit(fit.sample_rows).collect()
+    bounded = sample.join(F.broadcast(kept), "id").select("id", "text", "label")  # at most sample_rows ids
+    measured = bounded.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, label int, lines binary, hashes binary")
+    rows = measured.orderBy("id", "hashes").limit(fit.sample_rows).collect()
     width = (len(FEATURES) + 7) // 8
     lines = [np.unpackbits(np.frombuffer(r["lines"], np.uint8).reshape(-1, width), axis=1)[:, : len(FEATURES)] for r in rows]
     sizes = [len(x) for x in lines]
     if len({r["label"] for r in rows}) < 2 or not sum(sizes):
         return Field(np.array([[0.0, 1.0]] + [[0.0, 0.0]] * (len(FEATURES) - 1)), np.zeros((2, 2)))
-    states = np.repeat([r["label"] for r in rows], sizes)
+    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+    spread = _spread(docs, text_col, np.unique(hashes))
+    shared = np.array([spread.get(h, 0) >= fit.contexts for h in hashes.view(np.int64).tolist()])
+    states = np.repeat([r["label"] for r in rows], sizes) * ~shared
     return fit_field(np.concatenate(lines).astype(float), states, np.concatenate(([0], np.cumsum(sizes))), fit)
 
 

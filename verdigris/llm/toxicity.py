@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Many voters (lexicons of mined words, patterns of mined word beginnings, absence of both) vote on a bounded sample of
-documents. A generative model with a latent class estimates each voter's accuracy and how strongly voters depend on each
-other; its posterior probabilities are the labels that a linear classifier over the mined terms is trained on. Scoring is
-one pass over whole texts.
+Many voters (lexicons of mined words, patterns of mined word beginnings, absence of both, and the human label) vote on a
+bounded sample of documents. A generative model with a latent class estimates each voter's accuracy, the human's as well,
+and which voters depend on each other; its posterior probabilities are the labels that a linear classifier over the mined
+terms is trained on. Scoring is one pass over whole texts.
 """
 
 from __future__ import annotations
@@ -119,35 +119,60 @@ def _votes(counts: np.ndarray, length: np.ndarray, precise: np.ndarray, rank: np
     return np.column_stack(columns).astype(np.int64)
 
 
+def _groups(related: np.ndarray, least: float = 0.4, most: int = 5) -> list[list[int]]:
+    """Voters that depend on each other, from the most closely related pair on, in groups of at most ``most``; the last voter,
+    the human, stays alone."""
+    m = len(related)
+    of, groups = list(range(m)), {i: [i] for i in range(m)}
+    pairs = sorted(((related[i, j], i, j) for i in range(m - 1) for j in range(i) if related[i, j] >= least), reverse=True)
+    for _, i, j in pairs:
+        a, b = of[i], of[j]
+        if a != b and len(groups[a]) + len(groups[b]) <= most:
+            groups[a] += groups.pop(b)
+            for k in groups[a]:
+                of[k] = a
+    return list(groups.values())
+
+
 def label_model(votes: np.ndarray, annotator: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A latent-class model of voters that may abstain, fitted by expectation maximisation.
 
-    votes: -1, 0 or 1 per document and voter. annotator: one more voter, who never abstains, is the first guess of the
-    classes, and errs in one case of a hundred. Returns the posterior of class 1, each voter's probabilities [voter, class, vote + 1], and the voters'
-    correlations beyond what the class explains. A voter counts 1 / (1 + its positive correlations with the others), so
-    voters that copy each other count about once.
+    votes: -1, 0 or 1 per document and voter. annotator: one more voter, who never abstains; the classes are first guessed
+    from that, and its accuracy is estimated like any other's, from how it agrees with them. Returns the posterior of class
+    1, each voter's probabilities [voter, class, vote + 1], and the voters' correlations beyond what the class explains.
+
+    Voters that are related within the first guess of the classes vote as one group, whose patterns of votes have
+    probabilities of their own; patterns that were seldom seen are drawn towards what independent voters would give. Were
+    voters taken as independent at first, many copies of one would make the classes their own.
     """
     all_votes = np.column_stack([votes, annotator]) + 1
     n, m = all_votes.shape
     seen = np.stack([(all_votes == v) for v in range(3)], axis=2).astype(float)
     q = np.where(annotator == 1, 0.9, 0.1).astype(float)
-    power, related = np.ones(m), np.zeros((m, m))
-    theta = np.zeros((m, 2, 3))
+    trust = np.full((m, 2, 3), 0.5)
+    trust[-1] = [[1e-3, 4.5, 0.5], [1e-3, 0.5, 4.5]]
+    theta, related = np.zeros((m, 2, 3)), np.zeros((m, m))
+    groups: list[list[int]] | None = None
+    patterns: list[tuple[np.ndarray, np.ndarray]] = []  # of each group: a document's pattern, and the patterns
     for step in range(passes):
         both = np.column_stack([1 - q, q])
-        theta = np.einsum("nc,nmv->mcv", both, seen) + 0.5
+        theta = np.einsum("nc,nmv->mcv", both, seen) + trust
         theta /= theta.sum(axis=2, keepdims=True)
-        theta[-1] = [[1e-3, 0.989, 0.01], [1e-3, 0.01, 0.989]]
-        prior = both.mean(axis=0)
-        if step % 5 == 4:
+        logs = np.repeat(np.log(np.maximum(both.mean(axis=0), 1e-9))[None], n, axis=0)
+        if groups is None:
             fired = (all_votes != 0) * np.where(all_votes == 2, 1.0, -1.0)
             rest = fired - np.einsum("nc,mc->nm", both, theta[:, :, 2] - theta[:, :, 1])
             scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
             related = rest.T @ rest / n / np.outer(scale, scale)
             np.fill_diagonal(related, 0.0)
-            power = 1 / (1 + np.maximum(related, 0).sum(axis=1))
-            power[-1] = 1.0
-        logs = np.einsum("nmv,mcv,m->nc", seen, np.log(theta), power) + np.log(np.maximum(prior, 1e-9))
+            groups = _groups(related)
+            patterns = [np.unique(all_votes[:, g], axis=0, return_inverse=True) for g in groups]
+        for g, (kinds, back) in zip(groups, patterns, strict=True):
+            back = back.reshape(-1)
+            alone = np.prod([theta[v][:, kinds[:, i]] for i, v in enumerate(g)], axis=0)  # [class, pattern]
+            counted = np.column_stack([np.bincount(back, weights=both[:, c], minlength=len(kinds)) for c in (0, 1)]).T
+            joint = counted + 4 * alone / alone.sum(axis=1, keepdims=True)
+            logs += np.log(joint / joint.sum(axis=1, keepdims=True))[:, back].T
         q = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
     return q, theta, related
 
@@ -173,10 +198,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: s
     Only the sampled ids and labels are sent to the executors. Without rows of both labels the model knows no terms and
     scores every text with the share of label 1.
     """
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
+    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(fit.sample_rows)
     chosen = scratch.materialize(chosen, "sampled")
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).cast("string").alias("text"), "label")
+    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("__label").alias("label"))
     sample = scratch.materialize(sample, "sample")
     hashes, length, precise = _mine(sample, fit)
     order = np.argsort(hashes)
