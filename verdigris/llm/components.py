@@ -23,7 +23,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     geometrically. When no edge is left, the passes' choices are followed back. Choices are combined before the shuffle, so a
     node with many edges is no hot key there, and what the passes write to the shared folder cuts lineage.
     """
-    ends = lambda rows, a, b: rows.where(f"{a} <> {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().mapInArrow(_stars, "a long, b long")
+    few = max(1, -(-edges.count() // _EDGES))  # tasks that hold all edges
+
+    def ends(rows: DataFrame, a: str, b: str) -> DataFrame:
+        pairs = rows.where(f"{a} <> {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        return pairs.coalesce(few).mapInArrow(_stars, "a long, b long")
+
     left = scratch.materialize(ends(edges, "a", "b"), "edges")
     passes: list[DataFrame] = []
     while not left.isEmpty():
@@ -51,7 +56,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 #: Edges that a task handles at once.
-_EDGES = 4_000_000
+_EDGES = 1_000_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

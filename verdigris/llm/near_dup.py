@@ -44,12 +44,12 @@ class Forest:
 
     width: int = 5
     percent: int = 80
-    trees: int = 24
+    trees: int = 24  # up to 255
     first_trees: int = 3
     least_depth: int = 4
     key_depth: int = 10
     more: int = 288
-    reach: int = 32
+    reach: int = 8
     block: int = 256
     hot_sets: int = 10_000
     broadcast_ids: int = 1_000_000
@@ -133,12 +133,13 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature binary, sketch binary")
 
 
-def _orders(classes: DataFrame, forest: Forest) -> DataFrame:
-    """classes: (id, signature, component, sketch; the last may be left out). A row for each class and tree, sorted within range partitions of a tree's
-    order. The id ends the order, so that a long run of equal keys is split between partitions."""
+def _orders(classes: DataFrame, forest: Forest, places: DataFrame | None = None) -> DataFrame:
+    """classes: (id, signature, component, sketch; the last may be left out). A row for each class and tree, or for each of
+    ``places`` (id, tree), sorted within range partitions of a tree's order. The id ends the order, so that a long run of
+    equal keys is split between partitions."""
     own, deep = forest.least_depth * 4, forest.key_depth * 4
     return (
-        classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(forest.trees)])))
+        (classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(forest.trees)]))) if places is None else classes.join(places, "id"))
         .select("tree", F.expr(f"substring(concat(signature, signature), tree * {own} + 1, {deep})").alias("key"), "id", "component", *[c for c in classes.columns if c == "sketch"])
         .repartitionByRange("tree", "key", "id")
         .sortWithinPartitions("tree", "key", "id")
@@ -241,10 +242,12 @@ def _across(found: DataFrame) -> DataFrame:
 
 
 def _unfinished(found: DataFrame) -> DataFrame:
-    """The ids of documents in runs of several components that are longer than the reach or go over a boundary."""
+    """(id, tree) of documents in runs of several components that are longer than the reach or go over a boundary."""
+    tree = F.conv(F.hex(F.substring("run", 1, 1)), 16, 10).cast("int").alias("tree")  # a run begins with its tree's number, low byte first
     edge = found.where("place >= 0")
     cut = edge.groupBy("run").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.min("b").alias("b"), F.max("b").alias("c")).where("p <> q AND b <> c").select("run")
-    return found.where("place < 0").select(F.col("a").alias("id")).union(edge.join(F.broadcast(cut), "run", "left_semi").select("a")).distinct()  # cut: at most a run for each partition
+    over = edge.join(F.broadcast(cut), "run", "left_semi")  # cut: at most a run for each partition
+    return found.where("place < 0").select(F.col("a").alias("id"), tree).union(over.select("a", tree)).distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -391,10 +394,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fresh = second.where("run IS NULL").select("a", "b").join(near, ["a", "b"], "left_anti")
     closer = scratch.materialize(_sift(fresh, involved, forest), "close")
     links = links.union(confirmed(closer))
-    left = scratch.materialize(tied_by(links, involved.join(_unfinished(second), "id", "left_semi")), "left")
-    third = scratch.materialize(_orders(left, forest).mapInArrow(_neighbours(forest, forest.reach, True), _FOUND).distinct(), "third")
+    places = scratch.materialize(_unfinished(second), "places")
+    left = scratch.materialize(tied_by(links, involved.join(places.select("id").distinct(), "id", "left_semi")), "left")
+    third = scratch.materialize(_orders(left, forest, places).mapInArrow(_neighbours(forest, forest.reach, True), _FOUND).distinct(), "third")
     beyond = third.where("run IS NULL").select("a", "b")
-    dense = scratch.materialize(left.select("id", "component").join(_unfinished(third), "id", "left_semi").join(texts, "id"), "dense")
+    dense = scratch.materialize(left.select("id", "component").join(_unfinished(third).select("id").distinct(), "id", "left_semi").join(texts, "id"), "dense")
     if not dense.isEmpty():
         beyond = beyond.union(_sift(_dense_pairs(dense, forest), involved, forest))
     known = close.union(closer)
