@@ -55,6 +55,17 @@ def resolve(expr: Column, on: Column, end_month: int = 12) -> Column:
     )
 
 
+def is_expression(expr: Column) -> Column:
+    """Whether a text has the form of a date expression, even if no such date exists."""
+    text = F.trim(expr)
+    return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in (ISO, DAYS, MONTHS, YEARS, FISCAL_YEAR, FISCAL_QUARTER))), F.lit(False))
+
+
+def equivalent(a: Column, b: Column, on: Column, end_month: int = 12) -> Column:
+    """Whether both resolve, and to the same day."""
+    return F.coalesce(resolve(a, on, end_month) == resolve(b, on, end_month), F.lit(False))
+
+
 def normalized(expr: Column, on: Column, end_month: int = 12) -> Column:
     """The resolved date as text, or the expression where it doesn't resolve."""
     return F.coalesce(resolve(expr, on, end_month).cast("string"), expr)

@@ -35,6 +35,25 @@ def hit_rate(expected: Column, retrieved: Column) -> Column:
     return F.arrays_overlap(expected, retrieved).cast("double")
 
 
+def found_recall(hits: Column, n_expected: Column, k: int) -> Column:
+    """As recall_at_k, from whether each rank is a hit and how many items were expected."""
+    return _ratio(F.size(F.filter(F.slice(hits, 1, k), lambda h: h)), n_expected)
+
+
+def found_precision(hits: Column, k: int) -> Column:
+    return _ratio(F.size(F.filter(F.slice(hits, 1, k), lambda h: h)), F.least(F.size(hits), F.lit(k)))
+
+
+def found_mrr(hits: Column) -> Column:
+    return F.coalesce(1.0 / F.nullif(F.array_position(hits, True), F.lit(0)), F.lit(0.0))
+
+
+def found_ndcg(hits: Column, n_expected: Column, k: int) -> Column:
+    best = F.least(n_expected.cast("int"), F.lit(k))
+    gain = lambda flags: F.aggregate(F.transform(flags, lambda h, i: F.when(h, 1.0 / F.log2(i + 2.0)).otherwise(0.0)), F.lit(0.0), lambda s, g: s + g)
+    return _ratio(gain(F.slice(hits, 1, k)), gain(F.array_repeat(F.lit(True), F.greatest(best, F.lit(0)))))
+
+
 def ndcg_at_k(expected: Column, retrieved: Column, k: int) -> Column:
     """Binary gains, discount log2(rank + 1); the ideal has the distinct expected ids first. Repeated hits each count."""
     gains = F.transform(F.slice(retrieved, 1, k), lambda x, i: F.when(F.array_contains(expected, x), 1.0 / F.log2(i + 2.0)).otherwise(0.0))

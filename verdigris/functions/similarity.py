@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it in a lambda, which would else compute it anew
+    for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Scalar product of two arrays of numbers, in double precision; arrays of different lengths give null."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,9 +36,11 @@ def tokens(text: Column) -> Column:
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    """The distinct runs of n words, joined by blanks; none where there are fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of n words, joined by blanks; none where there are fewer words. The words are zipped with
+    themselves, moved by one to n - 1 places, so a long text costs time in proportion to its length."""
+    moved = [F.slice(words, i + 1, F.greatest(F.size(words) - (n - 1), F.lit(0))) for i in range(n)]
+    zipped = F.arrays_zip(*[m.alias(f"w{i}") for i, m in enumerate(moved)])
+    return F.array_distinct(F.transform(zipped, lambda s: F.concat_ws(" ", *[s.getField(f"w{i}") for i in range(n)])))
 
 
 def trigrams(text: Column) -> Column:

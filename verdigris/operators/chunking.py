@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: From coarse to fine: how a text falls into units, and what joins them again.
@@ -70,6 +70,37 @@ def chunk(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int = 8
     return plain.mapInArrow(run, schema)
 
 
+def sections(df: DataFrame, key: str, section: str, text: str, prefix: Column | None = None, size: int = 4000, overlap: int = 800, least: int = 200) -> DataFrame:
+    """Chunks of sections of filings: chunk_id (key_section_number), key, section, chunk_no, chunk, char_start, char_end and
+    n_chunks. With ``prefix``, a text column that goes before each chunk, there is that much less room, but at least twice
+    ``least``. Positions are those of the chunk's beginning in the text, looked for from the end of the one before less the
+    overlap, and found by its first 100 characters. Sections shorter than ``least`` have no chunks.
+    """
+    plain = df.select(F.col(key), F.col(section), F.col(text).cast("string").alias("__text"), (F.lit("") if prefix is None else F.coalesce(prefix, F.lit(""))).alias("__prefix"))
+    schema = df.select(key, section).schema.add("chunk_no", "integer").add("chunk", "string").add("char_start", "integer").add("char_end", "integer").add("n_chunks", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, str, int, int, int]] = []
+            for i, (value, head) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if value is None or len(value) < least:
+                    continue
+                parts = list(split_text(value, max(size - len(head), 2 * least) if head else size, overlap, least))
+                begin = 0
+                for n, part in enumerate(parts):
+                    at = value.find(part[:100], begin)
+                    at = begin if at < 0 else at
+                    rows.append((i, n, head + part, at, at + len(part), len(parts)))
+                    begin = max(begin, at + len(part) - overlap)
+            own, *rest = zip(*rows, strict=True) if rows else [()] * 6
+            take = pa.array(own, pa.int64())
+            columns = [pa.array(c, pa.string() if k == 1 else pa.int32()) for k, c in enumerate(rest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], schema.names)
+
+    cut = plain.mapInArrow(run, schema)
+    return cut.select(F.concat_ws("_", F.col(key).cast("string"), F.col(section), F.col("chunk_no").cast("string")).alias("chunk_id"), *schema.names)
+
+
 def hierarchy(df: DataFrame, key: str, text: str, parent: tuple[int, int, int] = (4000, 0, 200), child: tuple[int, int, int] = (512, 64, 50)) -> DataFrame:
     """Parents (level 0) and their children (level 1): id, parent_id, level, chunk. Ids are key_n and key_n_m."""
     big = chunk(df, key, text, *parent).withColumn("id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_no").cast("string")))

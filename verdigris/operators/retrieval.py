@@ -20,7 +20,7 @@ def top_k(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
 def vector_scores(queries: DataFrame, items: DataFrame, least: float | None = None) -> DataFrame:
     """(qid, id, score): cosine of every query with every item, or those of ``least`` or more. queries: (qid, vector), a
     stated set that is sent to all executors in blocks of at most BLOCK rows; items: (id, vector), which stay where they
-    are. Null vectors are left out."""
+    are. Null vectors and vectors of another length than the query's are left out; one without length scores 0."""
     queries = queries.where("vector IS NOT NULL")
     n = queries.count()
     blocks = [queries] if n <= BLOCK else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // (BLOCK // 2)))) == i) for i in range(-(-n // (BLOCK // 2)))]
@@ -29,12 +29,27 @@ def vector_scores(queries: DataFrame, items: DataFrame, least: float | None = No
     for block in blocks:
         q = F.broadcast(block.select("qid", F.col("vector").alias("query"), S.norm(F.col("vector")).alias("query_norm")))
         size = F.col("item_norm") * F.col("query_norm")
-        score = F.when((size == 0) | (F.size("vector") != F.size("query")), 0.0).otherwise(S.dot(F.col("vector"), F.col("query")) / size)
+        score = F.when(size == 0, 0.0).otherwise(S.dot(F.col("vector"), F.col("query")) / size)
         part = norms.join(q, F.size("vector") == F.size("query")).select("qid", "id", score.alias("score"))
         out = part if out is None else out.union(part)
     return out if least is None else out.where(F.col("score") >= least)
 
 
+def shared_runs(docs: DataFrame, items: DataFrame, key: str, item_key: str, n: int, small: int = 1_000_000) -> DataFrame:
+    """(key, item_key, shared): how many distinct runs of n words each document shares with each item; pairs without any are
+    left out. Both have a column ``text``. Up to ``small`` runs of items are sent to all executors, so that the documents'
+    runs meet them where they are; with more, documents' runs that no item has are dropped by their 64-bit hash before the
+    join on the runs themselves."""
+    runs = lambda df, k: df.select(F.col(k), F.explode(S.word_ngrams(S.tokens(F.col("text")), n)).alias("run"))
+    theirs, mine = runs(items, item_key), runs(docs, key)
+    if theirs.limit(small + 1).count() <= small:
+        theirs = F.broadcast(theirs)
+    else:
+        hashes = theirs.select(F.xxhash64("run").alias("hash")).distinct()
+        mine = mine.withColumn("hash", F.xxhash64("run")).join(hashes, "hash", "left_semi").drop("hash")
+    return mine.join(theirs, "run").groupBy(key, item_key).agg(F.count("*").alias("shared"))
+
+
 def inverted_index(docs: DataFrame) -> DataFrame:
     """docs: (id, text). A row for each document and distinct word: word, id, tf, doc_len."""
     words = docs.select("id", S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", "")).alias("words"))
@@ -62,6 +77,72 @@ def fuse(vectors: DataFrame, keywords: DataFrame, weight: float = 0.7, least: fl
     return both.select("qid", "id", score.alias("score")).where(F.col("score") >= least)
 
 
+def hybrid(queries: DataFrame, items: DataFrame, index: DataFrame, limit: int = 10, weight: float = 0.7, least: float = 0.5) -> DataFrame:
+    """The ``limit`` best items of each query by vectors and words together: (qid, id, score, rank). queries: (qid, vector,
+    text); items: (id, vector), those that the filters on type, domain or ticker leave; index: of all texts. Each list goes
+    in with twice the limit; a missing score is 0, and a sum below ``least`` isn't shown."""
+    near = top_k(vector_scores(queries.select("qid", "vector"), items.select("id", "vector")), "qid", "score", "id", 2 * limit)
+    found = keyword(queries.select("qid", "text"), items.select("id"), index, 2 * limit)
+    return _ranked(fuse(near, found, weight, least), limit)
+
+
+def keyword(queries: DataFrame, items: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best items that hold all words of a query: (qid, id, score, rank), the score from 0 to 1."""
+    sizes = index.select("id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
+    found = keyword_scores(queries, index, sizes["n"], sizes["mean"] or 1.0).join(items, "id", "left_semi")
+    return _ranked(found.select("qid", "id", (F.col("score") / (1 + F.col("score"))).alias("score")), limit)
+
+
+def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+    """Scores that differ only beyond nine digits are ties, which the smaller id wins."""
+    return top_k(scored.withColumn("__near", F.round("score", 9)), "qid", "__near", "id", limit).drop("__near")
+
+
+#: Which type a preset searches, how many it shows, and from which score.
+PRESETS = {"field_codes": ("field_code", 5, 0.3), "examples": ("query_example", 3, 0.4)}
+
+
+def preset(name: str, queries: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
+    """Hybrid search for one type of items; queries without a vector take the keyword half alone."""
+    kind, limit, least = PRESETS[name]
+    mine = items.where(F.col("type") == kind)
+    by_both = hybrid(queries.where("vector IS NOT NULL"), mine, index, limit, least=least)
+    return by_both.unionByName(keyword(queries.where("vector IS NULL").select("qid", "text"), mine.select("id"), index, limit))
+
+
+def small_to_big(queries: DataFrame, children: DataFrame, index: DataFrame, limit: int = 10, child_limit: int = 30, least: float = 0.0, weight: float = 0.7) -> DataFrame:
+    """(qid, id, is_parent, score, matched, rank): the best parents of the ``child_limit`` best children of ``least`` or more,
+    scored by vectors and words; for queries without such a parent, the children. children: (id, parent, vector); those
+    without a parent are left out."""
+    kids = children.where("parent IS NOT NULL").select("id", "parent", "vector")
+    near = vector_scores(queries.select("qid", "vector"), kids.select("id", "vector"))
+    sizes = index.select("id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
+    words = keyword_scores(queries.select("qid", "text"), index, sizes["n"], sizes["mean"] or 1.0).select("qid", "id", (F.col("score") / (1 + F.col("score"))).alias("k"))
+    both = near.join(words, ["qid", "id"], "left").select("qid", "id", (weight * F.col("score") + (1 - weight) * F.coalesce("k", F.lit(0.0))).alias("score"))
+    top = _ranked(both, child_limit).drop("rank")
+    big = top.where(F.col("score") >= least).join(kids.select("id", "parent"), "id").groupBy("qid", F.col("parent").alias("id")).agg(F.avg("score").alias("score"), F.count("*").alias("matched"))
+    small = top.join(big.select("qid").distinct(), "qid", "left_anti").select("qid", "id", "score", F.lit(1).cast("long").alias("matched"), F.lit(False).alias("is_parent"))
+    return _ranked(big.withColumn("is_parent", F.lit(True)).unionByName(small), limit)
+
+
+def containing(docs: DataFrame, needles: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """(qid, id): documents that hold a whole needle, without regard to case. docs: (id, text); needles: (qid, needle).
+
+    A text that holds a needle has the needle's inner words, those between two blanks, as words of its own. So a needle's
+    longest inner word selects its candidates, in a join on words, and the whole needle is checked afterwards. Needles
+    without an inner word are a stated set of queries against all texts. Null and empty needles find nothing."""
+    n = needles.where("needle <> ''").select("qid", F.lower("needle").alias("needle"))
+    inner = F.filter(F.split("needle", r"\s+"), lambda w, i: (i > 0) & (w != ""))
+    inner = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))
+    n = n.withColumn("word", F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"])
+    keyed, bare = n.where("word IS NOT NULL"), n.where("word IS NULL").drop("word")
+    low = docs.select("id", F.lower("text").alias("low")).where("low IS NOT NULL")
+    sent = F.broadcast(keyed) if keyed.limit(small + 1).count() <= small else keyed
+    by_word = low.select("id", "low", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word")).join(sent, "word").where(F.contains("low", F.col("needle")))
+    by_text = low.join(F.broadcast(bare), F.contains("low", F.col("needle")))  # a stated set of queries
+    return by_word.select("qid", "id").union(by_text.select("qid", "id"))
+
+
 def parents(scored: DataFrame, children: DataFrame, least: float, limit: int) -> DataFrame:
     """Small to big: a parent's score is the mean of its matched children of ``least`` or more. children: (id, parent).
     Returns qid, parent, score, matched, rank; queries without any are left to the caller's fallback."""

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions import fiscal
+
 #: Older names of tools.
 CANONICAL = {"datastream.get_data": "get_data", "refinitiv.get_data": "get_data", "datastream_get_data": "get_data", "refinitiv_get_data": "get_data"}
 TOLERANCE = 1e-4
@@ -72,6 +74,71 @@ def compare(want: list[tuple[str, dict]], got: list[tuple[str, dict]]) -> tuple[
     return score, missing, len(free), differing
 
 
+def argument_diff(want: dict, got: dict) -> dict[str, list[str]]:
+    """The keys that got lacks, those that only got has, and those whose values differ, each in order."""
+    shared = want.keys() & got.keys()
+    parts = {"missing_keys": want.keys() - got.keys(), "extra_keys": got.keys() - want.keys(), "value_diffs": {k for k in shared if not alike(want[k], got[k])}}
+    return {name: sorted(keys) for name, keys in parts.items() if keys}
+
+
+def diff_arguments(df: DataFrame, expected: str, actual: str) -> DataFrame:
+    """Add missing_keys, extra_keys and value_diffs, arrays of text, of two JSON objects of arguments; null where either is no
+    object."""
+
+    @F.pandas_udf("missing_keys array<string>, extra_keys array<string>, value_diffs array<string>")
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        names = ["missing_keys", "extra_keys", "value_diffs"]
+        for wants, gots in pairs:
+            rows = []
+            for w, g in zip(wants, gots, strict=True):
+                want, got = _object(w), _object(g)
+                rows.append([None] * 3 if want is None or got is None else [argument_diff(want, got).get(n, []) for n in names])
+            yield pd.DataFrame(rows, columns=names)
+
+    return df.withColumn("__d", run(expected, actual)).select(*df.columns, "__d.*")
+
+
+def _object(text: str | None) -> dict | None:
+    try:
+        value = json.loads(text or "")
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
+#: Arguments that hold dates.
+DATE_FIELDS = ("start", "end", "SDate", "EDate", "Period")
+_CALLS = "array<struct<tool_name:string,name:string,arguments:map<string,variant>>>"
+
+
+def judge_temporal(df: DataFrame, expected: str, actual: str, on: Column, mode: str = "structural") -> DataFrame:
+    """As ``judge``, for calls whose date arguments may be spelt in several ways. Both columns hold JSON lists of calls.
+
+    structural: dates are resolved as of ``on`` before the comparison. behavioural: every date must be a valid expression
+    (else score 0 and the error INVALID_DATE), and dates aren't compared. data: nothing is changed. Lists that can't be
+    read, and null, are judged as they are."""
+    if mode == "data":
+        return judge(df, expected, actual)
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    dated = lambda k, v: k.isin(*DATE_FIELDS) & text(v).isNotNull()
+
+    def changed(call: Column) -> Column:
+        given = call["arguments"]
+        if mode == "structural":
+            given = F.transform_values(given, lambda k, v: F.when(dated(k, v), fiscal.normalized(text(v), on).cast("variant")).otherwise(v))
+        else:
+            given = F.map_filter(given, lambda k, _: ~k.isin(*DATE_FIELDS))
+        return F.struct(F.coalesce(call["tool_name"], call["name"]).alias("tool_name"), given.alias("arguments"))
+
+    calls = {c: F.from_json(c, _CALLS) for c in (expected, actual)}
+    new = {f"__{c}": F.coalesce(F.to_json(F.transform(v, changed)), F.col(c)) for c, v in calls.items()}
+    wrong = lambda v: F.exists(v, lambda c: F.size(F.map_filter(c["arguments"], lambda k, a: dated(k, a) & ~fiscal.is_expression(text(a)))) > 0)
+    bad = F.lit(False) if mode == "structural" else F.coalesce(wrong(calls[expected]), F.lit(False)) | F.coalesce(wrong(calls[actual]), F.lit(False))
+    judged = judge(df.withColumns(new | {"__bad": bad}), f"__{expected}", f"__{actual}")
+    judged = judged.withColumns({"error": F.when(F.col("__bad"), "INVALID_DATE").otherwise(F.col("error")), "score": F.when(F.col("__bad"), 0.0).otherwise(F.col("score"))})
+    return judged.withColumn("verdict", F.when(F.col("__bad"), "INVALID_DATE").otherwise(F.col("verdict"))).drop(*new, "__bad")
+
+
 def judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """Add error, score, missing, extra, differing and verdict, in which missing calls go before extra ones and those before
     differing arguments. Both columns hold JSON; nulls and broken JSON give an error and score 0."""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import entities, evaluation, formats, reports, retrieval, rules, scorecards, texts
+from verdigris.plans import entities, evaluation, filings, formats, reports, retrieval, rules, scorecards, texts
 
 FLAGSHIP = "agg_client_comparison"
-MODULES = (scorecards, entities, retrieval, evaluation, rules, texts, formats, reports)
+MODULES = (scorecards, entities, retrieval, evaluation, rules, texts, formats, filings, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

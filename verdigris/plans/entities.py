@@ -80,7 +80,7 @@ def source_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alias_entity(spark: SparkSession, folder: str) -> DataFrame:
-    joined = alias_rows(spark, folder).where(F.col("alias").startswith("l")).join(parts(spark, folder).where("active").select("eid", "name"), "eid")
+    joined = alias_rows(spark, folder).join(parts(spark, folder).where("active").select("eid", "name"), "eid")
     return joined.select("alias", "eid", "name")
 
 
@@ -119,15 +119,28 @@ questions AS (
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
+#: From which trigram similarity names are alike.
+LEAST = 0.3
+
+
 def trigram_topk(spark: SparkSession, folder: str) -> DataFrame:
     q = questions(spark, folder).where("qid % 20 = 0")
     names = parts(spark, folder).select("eid", F.col("name"))
-    return E.trigram_pairs(q.select("qid", "query"), names, 0.6).select("qid", "eid", F.round("similarity", 6).alias("similarity"))
+    return E.trigram_pairs(q.select("qid", "query"), names, LEAST).select("qid", "eid", F.round("similarity", 6).alias("similarity"))
 
 
 def resolve_tiers(spark: SparkSession, folder: str) -> DataFrame:
     p = parts(spark, folder).withColumn("ric", T.ric(F.col("ticker"), F.col("source"), {}))
-    return E.resolve(questions(spark, folder).where("qid % 20 = 0"), p, alias_rows(spark, folder), 0.6)
+    return E.resolve(questions(spark, folder).where("qid % 20 = 0"), p, alias_rows(spark, folder), LEAST)
+
+
+def resolve_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Some parts have no code; every seventh query is cut to three letters."""
+    p = parts(spark, folder).withColumn("ric", F.when(F.col("eid") % 9 != 0, T.ric(F.col("ticker"), F.col("source"), {})))
+    kind = F.when(F.col("alias") == F.lower("ticker"), "ticker").when(F.col("alias") == F.lower("name"), "legal_name").otherwise("generated")
+    a = alias_rows(spark, folder).join(parts(spark, folder).select("eid", "name", "ticker"), "eid").select("eid", "alias", kind.alias("alias_type"))
+    q = questions(spark, folder).where("qid % 20 = 0").withColumn("query", F.when(F.col("qid") % 7 == 0, F.substring("query", 1, 3)).otherwise(F.col("query")))
+    return E.resolve_by_cascade(q, p, a, LEAST)
 
 
 def extract_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +163,7 @@ QUERIES = {
         PARTS + "SELECT source, count(*) AS total, count(*) FILTER (price > 1000) AS with_price, round(100.0 * count(*) FILTER (price > 1000) / nullif(count(*), 0), 2) AS with_price_pct, count(*) FILTER (active) AS live, round(100.0 * count(*) FILTER (active) / nullif(count(*), 0), 2) AS live_pct FROM parts GROUP BY 1",
     ),
     "source_counts": (source_counts, PARTS + "SELECT source, count(*) AS n, count(*) FILTER (active) AS live FROM parts GROUP BY 1"),
-    "join_alias_entity": (alias_entity, ALIASES + "SELECT alias, eid, name FROM aliases JOIN parts USING (eid) WHERE active AND alias LIKE 'l%'"),
+    "join_alias_entity": (alias_entity, ALIASES + "SELECT alias, eid, name FROM aliases JOIN parts USING (eid) WHERE active"),
     "join_anti_not_exists": (without_alias, "SELECT c_custkey AS k, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "join_semi_set": (semi_set, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "join_lookup_enrich": (lookup_enrich, "SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.08"),
@@ -161,7 +174,7 @@ QUERIES = {
         + f""",
 q AS (SELECT qid, {_GRAMS.format('query')} AS g FROM questions WHERE qid % 20 = 0), n AS (SELECT eid, {_GRAMS.format('name')} AS h FROM parts),
 s AS (SELECT qid, eid, len(list_intersect(g, h)) AS common, len(g) + len(h) AS total FROM q, n)
-SELECT qid, eid, round(common / (total - common), 6) AS similarity FROM s WHERE common / (total - common) > 0.6""",
+SELECT qid, eid, round(common / (total - common), 6) AS similarity FROM s WHERE common / (total - common) > 0.3""",
     ),
     "entity_resolve_batch": (
         resolve_tiers,
@@ -175,8 +188,23 @@ known AS (
 qg AS (SELECT qid, {_GRAMS.format('k')} AS g FROM q WHERE qid NOT IN (SELECT qid FROM known)),
 ag AS (SELECT eid, {_GRAMS.format('alias')} AS h FROM aliases JOIN live USING (eid)),
 s AS (SELECT qid, eid, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS sim FROM qg, ag),
-everything AS (SELECT * FROM known UNION ALL SELECT qid, eid, 4, sim FROM s WHERE sim > 0.6)
+everything AS (SELECT * FROM known UNION ALL SELECT qid, eid, 4, sim FROM s WHERE sim > 0.3)
 SELECT qid, eid, tier, round(sim, 6) AS similarity FROM everything QUALIFY row_number() OVER (PARTITION BY qid ORDER BY tier, sim DESC, eid) = 1""",
+    ),
+    "entity_resolve_db": (
+        resolve_cascade,
+        QUESTIONS.rstrip()
+        + f""",
+q0 AS (SELECT qid, CASE WHEN qid % 7 = 0 THEN substr(query, 1, 3) ELSE query END AS name FROM questions WHERE qid % 20 = 0),
+q AS (SELECT qid, name AS query, lower(name) AS low, {_NORMAL} AS normal FROM q0), coded AS (SELECT * FROM parts WHERE eid % 9 <> 0),
+named AS (SELECT eid, alias, CASE WHEN alias = lower(ticker) THEN 0.99 WHEN alias = lower(name) THEN 0.98 ELSE 0.95 END AS sure FROM aliases JOIN coded USING (eid)),
+known AS (
+  SELECT qid, eid, 1 AS step, sure AS confidence FROM q JOIN named ON alias = normal UNION ALL SELECT qid, eid, 2, sure FROM q JOIN named ON alias = low
+  UNION ALL SELECT qid, eid, 3, 0.95 FROM q JOIN coded ON lower(name) = low UNION ALL SELECT qid, eid, 4, 0.99 FROM q JOIN coded ON lower(ticker) = low),
+qg AS (SELECT qid, {_GRAMS.format('query')} AS g FROM q WHERE length(query) >= 4 AND qid NOT IN (SELECT qid FROM known)), ng AS (SELECT eid, {_GRAMS.format('name')} AS h FROM coded),
+s AS (SELECT qid, eid, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS sim FROM qg, ng),
+everything AS (SELECT * FROM known UNION ALL SELECT qid, eid, 5, sim FROM s WHERE sim > 0.3)
+SELECT qid, eid, step, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM everything QUALIFY row_number() OVER (PARTITION BY qid ORDER BY step, CASE WHEN step = 5 THEN confidence ELSE 0 END DESC, eid) = 1""",
     ),
     "entity_extract": (extract_names, None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +42,16 @@ def vec_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ir_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Per query, with items of the query's label as the expected ones: the five metrics and the weighted stage score."""
+    """Per query, with all other items of the query's label as the expected ones: the five metrics and the weighted stage
+    score. A label's items are counted, never collected; ten hits a query say which ranks are right."""
     items, queries = vectors(spark, folder), query_vectors(spark, folder)
     ranked = R.top_k(scores(spark, folder), "qid", "score", "id", 10)
-    retrieved = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("retrieved"))
-    same = queries.join(items, (F.col("label") == F.col("query_label")) & (F.col("id") != F.col("qid"))).where("id % 25 = 0")
-    expected = same.groupBy("qid").agg(F.array_sort(F.collect_list("id")).alias("expected"))
-    e, r = F.col("expected"), F.col("retrieved")
-    m = retrieved.join(expected, "qid").select("qid", ir.recall_at_k(e, r, 5).alias("recall"), ir.precision_at_k(e, r, 5).alias("precision"), ir.mrr(e, r).alias("mrr"), ir.hit_rate(e, r).alias("hit"), ir.ndcg_at_k(e, r, 10).alias("ndcg"))
+    size = items.groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("n_expected"))
+    ranked = ranked.join(items.select("id", "label"), "id").join(queries.select("qid", "query_label"), "qid")
+    flags = F.transform(F.array_sort(F.collect_list(F.struct("rank", (F.col("label") == F.col("query_label")).alias("hit")))), lambda s: s["hit"])
+    judged = ranked.groupBy("qid", "query_label").agg(flags.alias("hits")).join(size, "query_label").where("n_expected > 0")
+    h, n = F.col("hits"), F.col("n_expected")
+    m = judged.select("qid", ir.found_recall(h, n, 5).alias("recall"), ir.found_precision(h, 5).alias("precision"), ir.found_mrr(h).alias("mrr"), F.array_contains(h, True).cast("double").alias("hit"), ir.found_ndcg(h, n, 10).alias("ndcg"))
     total = 0.3 * F.col("recall") + 0.2 * F.col("precision") + 0.3 * F.col("mrr") + 0.2 * F.col("hit")
     return m.select("qid", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "hit", "ndcg")], F.round(total, 6).alias("score"), (F.round(total, 9) >= 0.5).alias("passed"))
 
@@ -59,7 +63,7 @@ def ir_mean_report(spark: SparkSession, folder: str) -> DataFrame:
 
 METRICS = SCORES.rstrip() + """,
 r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scores),
-e AS (SELECT q.id AS qid, v.id FROM v q JOIN v ON v.label = q.label AND v.id <> q.id WHERE q.id % 20 = 0 AND v.id % 25 = 0),
+e AS (SELECT q.id AS qid, v.id FROM v q JOIN v ON v.label = q.label AND v.id <> q.id WHERE q.id % 20 = 0),
 n AS (SELECT qid, count(*) AS n FROM e GROUP BY 1),
 h AS (SELECT n.qid, n.n, count(*) FILTER (rank <= 5) AS h5, min(rank) FILTER (rank <= 10) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg
       FROM n LEFT JOIN (SELECT r.* FROM r JOIN e USING (qid, id)) x ON x.qid = n.qid GROUP BY 1, 2),
@@ -82,24 +86,57 @@ def semantic_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """Vector and label matches as two lists, fused 0.7 to 0.3."""
-    items, queries = vectors(spark, folder), query_vectors(spark, folder)
-    v = R.top_k(scores(spark, folder), "qid", "score", "id", 20)
-    k = queries.join(items, (F.col("label") == F.col("query_label")) & (F.col("id") != F.col("qid"))).select("qid", "id", (1.0 / (1 + F.col("id") % 7)).alias("score"))
-    k = R.top_k(k, "qid", "score", "id", 20)
-    return R.top_k(R.fuse(v, k, 0.7, 0.1), "qid", "score", "id", 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    """Vector and keyword matches as two lists of 20, fused 0.7 to 0.3, over documents in two languages."""
+    items = chunks(spark, folder).where("lang IN ('en', 'de')")
+    found = R.hybrid(query_texts(spark, folder), items, keyword_index(spark, folder), limit=10, least=0.1)
+    return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their vectors."""
+    return documents(spark, folder).join(vectors(spark, folder).select("id", "vector"), "id")
+
+
+def query_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every twentieth vector, with three words of its document as the keyword query: the first, one from the middle, the last."""
+    words = S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", ""))
+    c = chunks(spark, folder).where("id % 20 = 0").withColumn("words", words)
+    at = lambda i: F.get("words", i)
+    text = F.concat_ws(" ", at(F.lit(0)), at(F.floor(F.size("words") / 2).cast("int")), at(F.size("words") - 1))
+    return c.select(F.col("id").alias("qid"), "vector", text.alias("text"))
+
+
+def keyword_index(spark: SparkSession, folder: str) -> DataFrame:
+    return R.inverted_index(documents(spark, folder).select("id", "text"))
+
+
+def keyword(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword search alone, among documents of one language."""
+    items = chunks(spark, folder).where("lang = 'en'").select("id")
+    found = R.keyword(query_texts(spark, folder).select("qid", "text"), items, keyword_index(spark, folder), 5)
+    return found.select("qid", "id", F.round("score", 6).alias("score"))
+
+
+def preset(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        found = R.preset(name, query_texts(spark, folder), chunks(spark, folder).withColumn("type", F.when(F.col("lang") == "en", "field_code").otherwise("query_example")), keyword_index(spark, folder))
+        return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+    return run
 
 
 def parent_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    children = vectors(spark, folder).select("id", F.floor(F.col("id") / 10).cast("long").alias("parent"))
-    top = R.top_k(scores(spark, folder), "qid", "score", "id", 30).drop("rank")
-    return R.parents(top, children, 0.15, 5).select("qid", "parent", "matched", "rank", F.round("score", 6).alias("score"))
+    """Small to big: the 30 best children by vectors and words, their parents by the mean, and the children themselves for
+    queries none of whose parents is good enough."""
+    children = chunks(spark, folder).withColumn("parent", F.floor(F.col("id") / 10).cast("long"))
+    found = R.small_to_big(query_texts(spark, folder), children, keyword_index(spark, folder), limit=5, child_limit=30, least=0.15)
+    return found.select("qid", "id", "is_parent", "matched", "rank", F.round("score", 6).alias("score"))
 
 
 def parent_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """How many chosen children each parent has, ordered by that."""
+    """How many children each parent has, ordered by that."""
     v = vectors(spark, folder).select("id", F.floor(F.col("id") / 10).cast("long").alias("parent"))
-    chosen = v.where("id % 3 = 0").groupBy("parent").agg(F.count("*").alias("n"))
+    chosen = v.groupBy("parent").agg(F.count("*").alias("n"))
     return chosen.join(v.select(F.col("id").alias("parent")), "parent").orderBy(F.desc("n"), "parent")
 
 
@@ -110,9 +147,9 @@ def orphan_parents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recency_boost(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("qid"), (F.col("o_totalprice") / 500000).alias("score"), F.when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate")).alias("fy"))
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("qid"), (F.round(F.col("o_totalprice") * 100) / 50000000).cast("decimal(12,8)").alias("score"), F.when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate")).alias("fy"))
     boosted = o.withColumn("newest", F.max("fy").over(Window.partitionBy("qid")))
-    return boosted.select("id", "qid", F.round(R.recency(F.col("score"), F.col("fy"), F.col("newest")), 6).alias("score"))
+    return boosted.select("id", "qid", F.round(R.recency(F.col("score"), F.col("fy"), F.col("newest")), 6).cast("double").alias("score"))
 
 
 def latest_or_year(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,19 +159,19 @@ def latest_or_year(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold all the first three words of each benchmark item, ranked by BM25."""
+    """Documents that hold all words of each benchmark item, ranked by BM25."""
     docs = documents(spark, folder)
     index = R.inverted_index(docs.select("id", "text"))
     n, mean = index.groupBy("id").agg(F.first("doc_len").alias("n")).agg(F.count("*"), F.avg("n")).first()
-    q = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", "")), 1, 3), " ").alias("text"))
+    q = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
     found = R.keyword_scores(q, index, n, mean)
     return R.top_k(found.withColumn("score", F.round("score", 6)), "qid", "score", "id", 20).select("qid", "id", "score")
 
 
 def text_search_memory(spark: SparkSession, folder: str) -> DataFrame:
-    """Substring search, without regard to case."""
-    q = F.broadcast(table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.lower(F.substring("text", 1, 12)).alias("needle")).limit(10).orderBy("qid"))
-    return documents(spark, folder).join(q, F.contains(F.lower("text"), F.col("needle"))).select("qid", "id")
+    """Substring search without regard to case: documents that hold the whole text of a benchmark item."""
+    q = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"))
+    return R.containing(documents(spark, folder).select("id", "text"), q)
 
 
 def doc_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +196,34 @@ def build_context(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("qid", F.array_join(F.transform("l", lambda s: s["line"]), "\n\n").alias("context"))
 
 
+_CLEAN = r"list_filter(regexp_split_to_array(trim(lower(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g'))), '\s+'), lambda x: x <> '')"
+CHUNKED = f"""
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM embeddings),
+all_words AS (SELECT doc_id AS id, lang, {_CLEAN} AS w FROM documents),
+chunks AS (SELECT id, lang, vector, w FROM all_words JOIN v USING (id)),
+q AS (SELECT id AS qid, vector, list_distinct(list_filter([w[1], w[len(w) // 2 + 1], w[len(w)]], lambda x: x IS NOT NULL)) AS words FROM chunks WHERE id % 20 = 0),
+pairs AS (SELECT qid, c.id, lang, list_inner_product(q.vector, c.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * sqrt(list_inner_product(c.vector, c.vector))) AS score FROM q, chunks c),
+i AS (SELECT id, len(w) AS doc_len, unnest(w) AS word FROM all_words), t0 AS (SELECT id, doc_len, word, count(*) AS tf FROM i GROUP BY ALL),
+n0 AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM all_words WHERE len(w) > 0), d0 AS (SELECT word, count(*) AS df FROM t0 GROUP BY 1),
+x0 AS (SELECT qid, len(words) AS n_words, unnest(words) AS word FROM q),
+g0 AS (SELECT qid, id, n_words, sum(ln(1 + (n0.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean))) AS gain
+       FROM x0 JOIN d0 USING (word) JOIN t0 USING (word), n0 GROUP BY 1, 2, 3 HAVING count(*) = n_words),
+words AS (SELECT qid, id, lang, gain / (1 + gain) AS score FROM g0 JOIN chunks USING (id))
+"""
+
+
+def _preset_sql(where: str, limit: int, least: float) -> str:
+    """Both lists twice as long as the result, fused."""
+    return (
+        CHUNKED.rstrip()
+        + f""",
+a AS (SELECT qid, id, score FROM pairs WHERE {where} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {2 * limit}),
+k AS (SELECT qid, id, score FROM words WHERE {where} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {2 * limit}),
+f AS (SELECT qid, id, 0.7 * coalesce(a.score, 0) + 0.3 * coalesce(k.score, 0) AS score FROM a FULL OUTER JOIN k USING (qid, id))
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM f WHERE score >= {least} QUALIFY rank <= {limit}"""
+    )
+
+
 QUERIES = {
     "topk_vector": (topk_vector, SCORES + "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM scores QUALIFY rank <= 10"),
     "vec_search": (vec_search, SCORES + "SELECT qid, id, round(score, 6) AS score FROM scores WHERE score >= 0.35"),
@@ -177,27 +242,32 @@ QUERIES = {
     ),
     "retrieve_hybrid": (
         hybrid,
-        SCORES.rstrip()
+        CHUNKED.rstrip()
         + """,
-a AS (SELECT qid, id, score FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20),
-k AS (SELECT q.id AS qid, v.id, 1.0 / (1 + v.id % 7) AS score FROM v q JOIN v ON v.label = q.label AND v.id <> q.id WHERE q.id % 20 = 0
-      QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY 1.0 / (1 + v.id % 7) DESC, v.id) <= 20),
+a AS (SELECT qid, id, score FROM pairs WHERE lang IN ('en', 'de') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20),
+k AS (SELECT qid, id, score FROM words WHERE lang IN ('en', 'de') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20),
 f AS (SELECT qid, id, 0.7 * coalesce(a.score, 0) + 0.3 * coalesce(k.score, 0) AS score FROM a FULL OUTER JOIN k USING (qid, id))
-SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM f WHERE score >= 0.1 QUALIFY rank <= 10""",
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM f WHERE score >= 0.1 QUALIFY rank <= 10""",
     ),
+    "retrieve_keyword": (keyword, CHUNKED + "SELECT qid, id, round(score, 6) AS score FROM words WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 5"),
+    "retrieve_field_codes": (preset("field_codes"), _preset_sql("lang = 'en'", 5, 0.3)),
+    "retrieve_examples": (preset("examples"), _preset_sql("lang <> 'en'", 3, 0.4)),
     "retrieve_parents": (
         parent_chunks,
-        SCORES.rstrip()
+        CHUNKED.rstrip()
         + """,
-t AS (SELECT qid, id, score FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 30),
-p AS (SELECT qid, id // 10 AS parent, avg(score) AS score, count(*) AS matched FROM t WHERE score >= 0.15 GROUP BY 1, 2)
-SELECT qid, parent, matched, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS rank, round(score, 6) AS score FROM p QUALIFY rank <= 5""",
+b AS (SELECT p.qid, p.id, 0.7 * p.score + 0.3 * coalesce(w.score, 0) AS score FROM pairs p LEFT JOIN words w USING (qid, id)),
+t AS (SELECT qid, id, score FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 30),
+p AS (SELECT qid, id // 10 AS id, true AS is_parent, avg(score) AS score, count(*) AS matched FROM t WHERE score >= 0.15 GROUP BY 1, 2),
+c AS (SELECT qid, id, false AS is_parent, score, CAST(1 AS BIGINT) AS matched FROM t WHERE qid NOT IN (SELECT qid FROM p)),
+u AS (SELECT * FROM p UNION ALL SELECT * FROM c)
+SELECT qid, id, is_parent, matched, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM u QUALIFY rank <= 5""",
     ),
-    "join_parent_child": (parent_counts, "SELECT p.vec_id AS parent, count(*) AS n FROM embeddings c JOIN embeddings p ON p.vec_id = c.vec_id // 10 WHERE c.vec_id % 3 = 0 GROUP BY 1"),
+    "join_parent_child": (parent_counts, "SELECT p.vec_id AS parent, count(*) AS n FROM embeddings c JOIN embeddings p ON p.vec_id = c.vec_id // 10 GROUP BY 1"),
     "join_anti_not_in": (orphan_parents, "SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id * 7 % 400 FROM embeddings WHERE label < 5)"),
     "recency_boost": (
         recency_boost,
-        "SELECT id, qid, round(CASE WHEN fy IS NULL OR newest IS NULL THEN score ELSE score * greatest(0.5, 1 - 0.05 * (newest - fy)) END, 6) AS score FROM (SELECT *, max(fy) OVER (PARTITION BY qid) AS newest FROM (SELECT o_orderkey AS id, o_custkey AS qid, o_totalprice / 500000 AS score, CASE WHEN o_orderpriority <> '5-LOW' THEN year(o_orderdate) END AS fy FROM orders))",
+        "SELECT id, qid, CAST(round(score * CASE WHEN fy IS NULL OR newest IS NULL THEN 1.00 ELSE greatest(0.50, 1 - 0.05 * (newest - fy)) END, 6) AS DOUBLE) AS score FROM (SELECT *, max(fy) OVER (PARTITION BY qid) AS newest FROM (SELECT o_orderkey AS id, o_custkey AS qid, CAST(CAST(round(o_totalprice * 100) AS BIGINT) * CAST(0.00000002 AS DECIMAL(9,8)) AS DECIMAL(12,8)) AS score, CASE WHEN o_orderpriority <> '5-LOW' THEN year(o_orderdate) END AS fy FROM orders))",
     ),
     "filter_latest_or_year": (latest_or_year, "SELECT o_orderkey, year(o_orderdate) AS fy FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)"),
     "text_search": (
@@ -206,13 +276,13 @@ SELECT qid, parent, matched, row_number() OVER (PARTITION BY qid ORDER BY score
 WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(trim(lower(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g'))), '\s+'), lambda x: x <> '') AS words FROM documents),
 i AS (SELECT id, len(words) AS doc_len, unnest(words) AS word FROM w), t AS (SELECT id, doc_len, word, count(*) AS tf FROM i GROUP BY ALL),
 s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w WHERE len(words) > 0),
-q AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_split_to_array(trim(lower(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g'))), '\s+'), lambda x: x <> '')[1:3]) AS words FROM benchmark),
+q AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_split_to_array(trim(lower(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g'))), '\s+'), lambda x: x <> '')) AS words FROM benchmark),
 x AS (SELECT qid, len(words) AS n_words, unnest(words) AS word FROM q), d AS (SELECT word, count(*) AS df FROM t GROUP BY 1),
 g AS (SELECT qid, id, n_words, count(*) AS n, sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean))) AS score
       FROM x JOIN d USING (word) JOIN t USING (word), s GROUP BY 1, 2, 3 HAVING count(*) = n_words)
 SELECT qid, id, round(score, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) <= 20""",
     ),
-    "text_search_memory": (text_search_memory, "SELECT qid, doc_id AS id FROM documents, (SELECT item_id AS qid, lower(substr(text, 1, 12)) AS needle FROM benchmark ORDER BY item_id LIMIT 10) WHERE contains(lower(text), needle)"),
+    "text_search_memory": (text_search_memory, "SELECT item_id AS qid, doc_id AS id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))"),
     "agg_doc_stats": (doc_stats, "SELECT lang, source, count(*) AS n, count(embedding) AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1, 2"),
     "agg_embedding_coverage": (embedding_coverage, "SELECT count(*) AS total, count(embedding) AS embedded, round(100.0 * count(embedding) / count(*), 4) AS pct FROM documents LEFT JOIN embeddings ON vec_id = doc_id"),
     "embedding_backlog": (embedding_backlog, "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),

@@ -42,7 +42,10 @@ def client_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def view_client_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return A.comparison_summary(cards(spark, folder).withColumn("day", F.date_trunc("day", "created_at")), ["client", "version", "day"]).select("client", "version", "day", "total", "passed_n", "avg_score")
+    """Scores are decimals here, so that means which lie between two roundings fall the same way everywhere."""
+    c = cards(spark, folder).withColumns({"day": F.date_trunc("day", "created_at"), "score": F.col("score").cast("decimal(12,4)")})
+    summary = A.comparison_summary(c, ["client", "version", "day"])
+    return summary.select("client", "version", "day", "total", "passed_n", F.col("avg_score").cast("double").alias("avg_score"))
 
 
 def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +199,8 @@ FROM cards GROUP BY client, version""",
     ),
     "view_client_comparison": (
         view_client_comparison,
-        CARDS + "SELECT client, version, date_trunc('day', created_at) AS day, count(*) AS total, count(*) FILTER (passed) AS passed_n, round(avg(score), 4) AS avg_score FROM cards GROUP BY ALL",
+        CARDS + "SELECT client, version, date_trunc('day', created_at) AS day, count(*) AS total, count(*) FILTER (passed) AS passed_n, "
+        "CAST((2 * sum(CAST(round(score * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 10000 AS avg_score FROM cards GROUP BY ALL",
     ),
     "agg_batch_summary": (
         batch_summary,

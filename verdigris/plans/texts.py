@@ -26,7 +26,7 @@ def _html_sql() -> str:
 
 def filings(spark: SparkSession, folder: str) -> DataFrame:
     """Documents put together as annual reports: a table of contents, then three sections."""
-    d = table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 600).alias("t"))
+    d = table(spark, folder, "documents").select("doc_id", F.col("text").alias("t"))
     head = F.lit("Item 1. Business 3 Item 1A. Risk Factors 9 Item 7. Management's Discussion 22 Item 8. Financial Statements 40 ")
     return d.select("doc_id", F.concat(head, F.lit(" Form. Item 1. Business "), "t", F.lit(" Item 1A. Risk Factors "), F.reverse("t"), F.lit(" Item 7. Management's Discussion "), "t").alias("filing"))
 
@@ -57,7 +57,7 @@ def chunk_estimate(spark: SparkSession, folder: str) -> DataFrame:
 def embed_content(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
     header = F.concat_ws(" | ", F.concat(F.lit("Source: "), "source"), F.when(F.col("lang") != "en", F.concat(F.lit("Language: "), "lang")))
-    return d.select("doc_id", F.md5(F.concat(header, F.lit("\n\n"), F.substring("text", 1, 200))).alias("digest"))
+    return d.select("doc_id", F.md5(F.concat(header, F.lit("\n\n"), F.col("text"))).alias("digest"))
 
 
 def redacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +170,7 @@ QUERIES = {
     "chunk_split": (chunks, None),
     "chunk_hierarchical": (chunk_tree, None),
     "chunk_estimate": (chunk_estimate, "SELECT lang, CAST(floor(sum(length(text)) / 3200) AS BIGINT) + count(*) AS chunks FROM documents GROUP BY 1"),
-    "embed_content_build": (embed_content, "SELECT doc_id, md5(concat_ws(' | ', 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Language: ' || lang END) || chr(10) || chr(10) || substr(text, 1, 200)) AS digest FROM documents"),
+    "embed_content_build": (embed_content, "SELECT doc_id, md5(concat_ws(' | ', 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Language: ' || lang END) || chr(10) || chr(10) || text) AS digest FROM documents"),
     "log_sanitize": (redacted, None),
     "pii_request": (pii_types, None),
     "temporal_intent": (intents, "SELECT o_orderkey, o_orderkey % 4 = 0 AS latest, CASE o_orderkey % 4 WHEN 1 THEN 2025 WHEN 2 THEN CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate) END END AS year FROM orders"),

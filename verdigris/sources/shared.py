@@ -11,8 +11,11 @@ _local: list[str] = []
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, below a folder of this machine (tests)."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset and Spark runs in this one process (tests), below a
+    folder of this machine. On a cluster an unset folder is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="verdigris-"))
