@@ -261,10 +261,8 @@ _BUCKETS = 1 << 20
 def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
     """members: (id, component, text). All pairs of different components that can be alike by ``percent``: sets so
     alike share one of their |x| - ceil(percent * |x| / 100) + 1 rarest shingles, in any order that holds for all of them.
-    What stands behind the shared shingle
-    on either side bounds how many more can be shared; and so does the number of rarest shingles that both have, since of the
-    one set's others at most all are shared. Of a shingle's documents, those of its most frequent component are
-    never paired with each other."""
+    What stands behind the shared shingle on either side bounds how many more can be shared. Of a shingle's documents, those
+    of its most frequent component are never paired with each other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BUCKETS, np.int64)
@@ -289,24 +287,15 @@ def _dense_pairs(members: DataFrame, forest: Forest) -> DataFrame:
                 early = behind >= ((forest.percent * n + 99) // 100 - 1)[row]
                 keep = order[early]
                 at = pa.array(part.first + row[early])
-                at_doc = np.concatenate(([0], np.cumsum(np.bincount(row[early], minlength=part.rows))))
-                own = (hashes[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)  # shortened: a chance match only adds
-                among = np.repeat(at_doc[:-1], np.diff(at_doc)), np.repeat(np.diff(at_doc), np.diff(at_doc))
-                offsets = np.concatenate(([0], np.cumsum(among[1])))
-                rare = own[np.repeat(among[0] - offsets[:-1], among[1]) + np.arange(offsets[-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[early]]), pa.array(behind[early]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rare))],
-                    ["hash", "id", "component", "n", "behind", "rare"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[early]]), pa.array(behind[early])], ["hash", "id", "component", "n", "behind"])
 
-    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long, behind long, rare array<int>"), "postings")
+    postings = scratch.materialize(members.select("id", "component", "text").mapInArrow(rarest, "hash long, id long, component long, n long, behind long"), "postings")
     shares = postings.groupBy("hash", "component").agg(F.count("*").alias("m"))
     hot = shares.groupBy("hash").agg(F.max_by("component", "m").alias("main"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     keyed = scratch.materialize(postings.join(hot.select("hash", "main", F.ceil(F.col("total") / forest.block).alias("blocks")), "hash"), "keyed")
-    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"), F.col("rare").alias("rx"))
-    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"), F.col("rare").alias("ry"), "main")
+    left = keyed.where("component <> main").select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
+    right = keyed.select("hash", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"), "main")
     enough = f"100 * least(nx, ny) >= {forest.percent} * greatest(nx, ny) AND {100 + forest.percent} * (1 + least(bx, by)) >= {forest.percent} * (nx + ny)"
-    enough += f" AND {100 + forest.percent} * (size(array_intersect(rx, ry)) + greatest(nx - size(rx), ny - size(ry))) >= {forest.percent} * (nx + ny)"
     both = left.join(right, ["hash", "block"]).where(f"cx <> cy AND (cy = main OR x < y) AND {enough}")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
