@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,5 +153,5 @@ def parents(scored: DataFrame, children: DataFrame, least: float, limit: int) ->
 
 
 def recency(score: Column, year: Column, newest: Column) -> Column:
-    """5 per cent less for each year behind the newest, at least half; unchanged without a year."""
-    return F.when(year.isNull() | newest.isNull(), score).otherwise(score * F.greatest(F.lit(0.5), 1 - 0.05 * (newest - year)))
+    """5 per cent less for each year behind the newest, at least half; unchanged without a year. Decimal scores stay decimal."""
+    return F.when(year.isNull() | newest.isNull(), score).otherwise(score * F.greatest(F.lit(Decimal("0.50")), 1 - F.lit(Decimal("0.05")) * (newest - year)))
