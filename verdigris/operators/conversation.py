@@ -10,6 +10,7 @@ PRONOUNS = ("the company's", "that company's", "the company", "that company", "t
 PERIODS = "quarterly|annual(?:ly)?|(?:next|this|last) (?:year|quarter)"
 QUARTERLY = "quarterly|(?:next|this|last) quarter"
 METRICS = ("eps", "earnings", "revenue", "sales", "ebitda", "ebit", "profit", "income", "dividend", "dps", "price target", "rating", "recommendation", "pe", "p/e", "peg", "free cash flow", "fcf", "book value", "roe", "roa")
+METRIC = r"^(?:what about|and|also|show(?: me)?|get)\s+(.+?)\??$"
 COMPARE = r"^(?:what about|how about|and|compare (?:to |with )?|also|same for|now (?:for )?)\s*(.+?)[?!.,;:]*$"
 
 
@@ -21,7 +22,8 @@ def with_context(turns: DataFrame, session: str, order: str, entity: str, metric
 
 def expand(query: Column, entity: Column, metric: Column) -> Column:
     """struct(text, kind, confidence) of a question with its references filled in: a pronoun by the last entity, "what about
-    X" by the last metric, a short question on a period by both. Others stay, with a null kind."""
+    X" by the last metric, a short question on a period by both, "show me" a known metric by the last entity. Others stay,
+    with a null kind."""
     low = F.trim(F.lower(query))
     spelt = F.lit(None).cast("string")
     for pronoun in reversed(PRONOUNS):
@@ -29,6 +31,7 @@ def expand(query: Column, entity: Column, metric: Column) -> Column:
         first = F.regexp_replace(query, rf"(?is)\A(.*?)\b{pronoun}\b", F.concat(F.lit("$1"), owner))
         spelt = F.when(low.rlike(rf"\b{pronoun}\b"), first).otherwise(spelt)
     other = F.regexp_extract(low, COMPARE, 1)
+    asked = F.trim(F.regexp_extract(low, METRIC, 1))
     period = low.rlike(rf"\b(?:{PERIODS})\b")
     is_name = (other != "") & ~other.isin(*METRICS) & ~other.rlike(rf"^(?:{PERIODS}|yearly|monthly)$")
     named = F.concat(F.upper(F.substring(other, 1, 1)), F.substr(other, F.lit(2)))
@@ -38,6 +41,7 @@ def expand(query: Column, entity: Column, metric: Column) -> Column:
         F.when(entity.isNotNull() & spelt.isNotNull(), made(spelt, "entity", 0.9))
         .when(metric.isNotNull() & is_name, made(F.concat(F.lit("What is "), named, F.lit("'s "), metric, F.lit("?")), "comparison", 0.85))
         .when(entity.isNotNull() & metric.isNotNull() & period & (F.size(F.split(low, r"\s+")) <= 4), made(F.concat(F.lit("What is "), entity, F.lit("'s "), kind_of_period, F.lit(" "), metric, F.lit("?")), "period", 0.85))
+        .when(entity.isNotNull() & asked.isin(*METRICS), made(F.concat(F.lit("What is "), entity, F.lit("'s "), asked, F.lit("?")), "metric", 0.85))
         .otherwise(F.struct(query.alias("text"), F.lit(None).cast("string").alias("kind"), F.lit(1.0).alias("confidence")))
     )
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions import fiscal
+from verdigris.operators import filters as P
 from verdigris.operators import reports as R
+from verdigris.operators import toolcalls, validation
 from verdigris.operators import upserts as U
 from verdigris.operators import windows
 from verdigris.sources import formats
@@ -152,6 +155,46 @@ def fixture_json(spark: SparkSession, folder: str) -> DataFrame:
     return formats.fixture_cases(spark, path).select("id", "query", F.array_join("relevant", ",").alias("relevant"), "behaviour", "requires_citations")
 
 
+def tags_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as cases with two tags, of which one is asked for."""
+    o = table(spark, folder, "orders").withColumn("tags", F.array("o_orderpriority", "o_orderstatus"))
+    return P.where_all(o, [P.overlaps("tags", ["1-URGENT", "P"])]).select("o_orderkey")
+
+
+def sink_copy(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers and suppliers appended to one table in turn, read back."""
+    path = new_folder(spark, "copy")
+    formats.append_parquet(table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), path)
+    formats.append_parquet(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), path)
+    return spark.read.schema("k long, name string").parquet(path)
+
+
+def args_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Arguments of which some are missing, added, or of another value."""
+    line, n = table(spark, folder, "lineitem"), F.col("l_linenumber")
+    want = F.to_json(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")))
+    got = F.to_json(F.struct(F.when(n % 3 != 0, F.col("l_partkey").cast("string")).alias("part"), (F.col("l_quantity") + F.when(n % 2 == 0, 1).otherwise(0)).alias("qty"), F.when(n == 5, 1).alias("extra")))
+    d = toolcalls.diff_arguments(line.select("l_orderkey", "l_linenumber", want.alias("want"), got.alias("got")), "want", "got")
+    return d.select("l_orderkey", "l_linenumber", *[F.array_join(c, ",").alias(c) for c in ("missing_keys", "extra_keys", "value_diffs")])
+
+
+def date_equivalent(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of date expressions, seen from the day of an order: are they the same day, and is the second one an expression?"""
+    o = table(spark, folder, "orders").withColumn("on", F.to_date("o_orderdate"))
+    other = F.element_at(F.array(F.date_format(F.date_sub("on", 1), "yyyy-MM-dd"), F.lit("-1D"), F.lit("-2D"), F.lit("someday"), F.lit("2023-02-31")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return o.select("o_orderkey", fiscal.equivalent(F.lit("-1D"), other, F.col("on")).alias("same"), fiscal.is_expression(other).alias("valid"))
+
+
+def error_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid rows of an import that allows for many bad ones."""
+    rows = table(spark, folder, "customer").select("c_custkey", "c_acctbal", (F.col("c_acctbal") >= 0).alias("valid"))
+    return validation.split_valid(rows, 1_000_000)[0].select("c_custkey", "c_acctbal")
+
+
+def failed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "ts", "user_id")
+
+
 _QUESTIONS = " UNION ALL ".join(f"SELECT c_custkey, '{f}' AS field, replace('{t}', '{{name}}', c_name) AS q FROM customer" for t in _TEMPLATES for f in _FIELDS)
 
 QUERIES = {
@@ -186,6 +229,12 @@ SELECT *, status <> 'complete' AS resumable FROM s WHERE status <> 'complete' OR
     "fixture_cross_product": (fixture_cross_product, f"SELECT c_custkey, field, replace(q, '{{field}}', field) AS question FROM ({_QUESTIONS})"),
     "text_search_entity": (text_search_entity, "SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_partkey AS name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'ring') AND p_brand <> 'Brand#11' ORDER BY len(string_split(p_name, ' ')), name LIMIT 25"),
     "sink_staged_upsert": (sink_staged_upsert, "SELECT coalesce(p.p_partkey, s.l_partkey) AS p_partkey, coalesce(s.size, p.p_size) AS p_size FROM part p FULL JOIN (SELECT l_partkey, CAST(first(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS INT) AS size FROM lineitem GROUP BY 1) s ON p.p_partkey = s.l_partkey"),
+    "filter_tags_overlap": (tags_overlap, "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'P'"),
+    "sink_copy": (sink_copy, "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier"),
+    "args_diff": (args_diff, "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'part' ELSE '' END AS missing_keys, CASE WHEN l_linenumber = 5 THEN 'extra' ELSE '' END AS extra_keys, CASE WHEN l_linenumber % 2 = 0 THEN 'qty' ELSE '' END AS value_diffs FROM lineitem"),
+    "date_equivalent": (date_equivalent, "SELECT o_orderkey, o_orderkey % 5 <= 1 AS same, o_orderkey % 5 <> 3 AS valid FROM orders"),
+    "ingest_error_budget": (error_budget, "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0"),
+    "agg_failed_requests": (failed_requests, "SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20"),
     "sink_json": (json_round_trip, "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders"),
     "src_csv_stream": (csv_entities, "SELECT upper(lpad(CAST(c_custkey AS VARCHAR), 20, 'a')) AS lei, c_name || ', \"Ltd\"' AS primary_name, 'US' AS country_code, 'general' AS entity_category, 'active' AS entity_status FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0"),
     "src_fixture_json": (fixture_json, "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS query, CAST(n_nationkey AS VARCHAR) AS relevant, 'answer' AS behaviour, true AS requires_citations FROM nation"),
