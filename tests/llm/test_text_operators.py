@@ -128,3 +128,12 @@ def test_html_cells_without_table():
     assert html_text.render("<table><tr><td>a</table></table><td>b<td>c<p>d") == "a\n\nbc\n\nd"
     assert html_text.render("<td>x<table><tr><td>y<td>z</table>w") == "x\n\ny  z\n\nw"
     assert html_text.render("<table><td>a<td><b>b</td></table><div><td>c</div>") == "a  b\n\nc"
+
+
+def test_html_style_sheets_spans_and_depth():
+    sheet = "<style>/* .x{} */ @media print {.x{display:none}} .y{display:none} .y{display:block} p.z{visibility:hidden} #k{display:none!important} em b{display:none}</style>"
+    body = "<p class=x>X<p class=y>Y<p class=z>Z<div class=z>W</div><p id=k style='display:block'>K<p hidden>H<p style='visibility:hidden'>A<b style='visibility:visible'>B</b>"
+    assert html_text.render(sheet + body).split() == ["X", "Y", "W", "B"]
+    table = "<table><tr><th colspan=2>Name and age<th>City<tr><td>Al<td>3<td>Rome<tr><td rowspan=2>Bo<td>4<td>Oslo<tr><td>5<td>Bern</table>"
+    assert html_text.render(table).split("\n") == ["Name and age  City", "Al  3  Rome", "Bo  4  Oslo", "    5  Bern"]
+    assert html_text.render("<div>" * 50_000 + "x") == "x" and html_text.render("<ul>" + "<li><div>" * 5000 + "x").endswith("x")
