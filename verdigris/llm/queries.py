@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, html_text, language, mixing, near_dup, quality, sharding, toxicity, url_filter, warc
+from verdigris.llm import decontaminate, html_text, language, mixing, near_dup, packing, quality, runs, sharding, toxicity, url_filter, variants, warc
 
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -74,7 +77,52 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = (op1_url_filter, op2_sharding, op3_near_dup, op4_mixing, op5_html_text, op6_quality, op7_language, op8_toxicity, op9_decontamination, op10_warc)
+def lose_letter(doc: int | None, run: str) -> str:
+    """One run in 31, by a hash of document and run, without one of its letters; a null id is hashed as an empty text."""
+    h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+    return run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    found = variants.variant_groups(_table(spark, folder, "documents"), change=lose_letter)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def go_round(doc: int | None, ids: np.ndarray) -> np.ndarray:
+    """In one document of ten, by a hash of its id, the words from some place on go round; a null id changes nothing."""
+    h = zlib.crc32(str(doc).encode())
+    if doc is None or h % 10 or not len(ids):
+        return ids
+    g, n = h // 10, len(ids)
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return np.concatenate((ids[:first], ids[first + np.arange(n - first) % period]))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(_table(spark, folder, "documents"), change=go_round)
+    greatest = F.reduce("runs", F.element_at("runs", 1), lambda best, r: F.when(r.length * best.period > best.length * r.period, r).otherwise(best))
+    line = lambda r: F.concat_ws(",", r.start, r.length, r.period)
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = found.withColumn("best", F.when(F.size("runs") > 0, greatest))
+    return best.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = (op1_url_filter, op2_sharding, op3_near_dup, op4_mixing, op5_html_text, op6_quality, op7_language, op8_toxicity, op9_decontamination, op10_warc, op11_spelling_variants, op12_periodic_runs, op13_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
