@@ -3,12 +3,13 @@
 import datetime
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from verdigris.functions import entity_text, similarity, stages
 from verdigris.functions import text as T
-from verdigris.operators import cases, chunking, conversation, toolcalls, validation
+from verdigris.operators import cases, chunking, conversation, sections, toolcalls, validation
 from verdigris.plans import texts
 
 
@@ -84,19 +85,42 @@ def test_sections_in_chunks(spark):
     assert [r["char_start"] for r in rows] == sorted(r["char_start"] for r in rows)
 
 
+def brute_sections(text, patterns):
+    """Pattern by pattern over the whole text."""
+    low, out = text.lower(), []
+    for section, tried in patterns.items():
+        for pattern in tried:
+            ok = [m.start() for m in re.finditer(pattern, low) if not re.search(r"\d{1,3}\s+item\s*\d", low[m.start() : m.start() + 150])]
+            if ok:
+                out.append((ok[0], section))
+                break
+    return sorted(out)
+
+
+def test_section_positions():
+    rng = random.Random(3)
+    bits = ["Item 1. Business ", "item 1a – risk factors ", "Item 2 ", "12 ", "Item 7. ", "Management’s Discussion ", "and Analysis ", "[Reserved] ", "Part I ", "Part II ", "item 1 ", "words " * 30, "Item 4 Controls and Procedures ", "Item 9a ", "İ", "\n"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        for table in (T.SECTIONS, T.QUARTERLY_SECTIONS):
+            got = sections.positions(text, {s: tuple(map(re.compile, p)) for s, p in table.items()})
+            assert "İ" in text or got == brute_sections(text, table)
+
+
 def test_sections(spark):
-    head = "Item 1. Business 3 Item 1A. Risk Factors 9 Item 7. Management's Discussion 22 Item 8. Financial Statements 40 "
-    body = head + "Form. Item 1. Business We sell. Item 1A. Risk Factors It rains. Item 7. Management’s Discussion All is well."
-    df = spark.createDataFrame([(1, body), (2, "nothing here"), (3, ""), (4, None)], "id int, t string")
-    got = {r["id"]: r for r in df.select("id", *[T.section_start(F.col("t"), s).alias(s) for s in ("business", "risk_factors", "mda", "controls")]).collect()}
-    assert body[got[1]["business"] - 1 :].startswith("Item 1. Business We") and body[got[1]["mda"] - 1 :].startswith("Item 7. Management’s Discussion All") and got[1]["controls"] is None
-    assert all(got[i][s] is None for i in (2, 3, 4) for s in ("business", "mda"))
-    quarterly = "Part I. Item 1. Financial Statements, then Item 2. Management's Discussion"
-    assert spark.range(1).select(T.section_start(F.lit(quarterly), "mda", True)).first()[0] == quarterly.index("Item 2") + 1
+    built = texts.filings(spark, "/root/testdata/sf0.001").where("filing IS NOT NULL")
+    want = {(r["doc_id"], s, at + 1) for r in built.collect() for at, s in brute_sections(r["filing"], T.QUARTERLY_SECTIONS if r["quarterly"] else T.SECTIONS)}
+    got = sections.find_sections(built, "doc_id", "filing", F.col("quarterly"), least=-1)
+    assert {(r["doc_id"], r["section"], r["at"]) for r in got.collect()} == want
+    assert {s for _, s, _ in want} == set(T.SECTIONS) | set(T.QUARTERLY_SECTIONS)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "nothing"), (None, "Item 7. Management’s Discussion " + "x " * 200_000)], "id int, filing string").withColumn("section", F.lit("z"))
+    assert [(r["id"], r["section"], r["at"]) for r in sections.find_sections(odd.drop("section"), "id", "filing", F.lit(None).cast("boolean")).collect()] == [(None, "mda", 1)]
+    labels = {s: spark.range(1).select(T.section_label(F.lit(s))).first()[0] for s in ("mine_safety", "mda", "exhibits", "10-k notes")}
+    assert labels == {"mine_safety": "Mine_Safety", "mda": "Management's Discussion and Analysis", "exhibits": "Exhibits and Financial Statement Schedules", "10-k notes": "10-K Notes"}
     dirty = "Item 7. Management said\n\n\n\n  12  \nprofit   rose 4 Table of Contents\nand fell\n345 \n\n\n(end)"
     assert spark.range(1).select(T.section_clean(F.lit(dirty))).first()[0] == "Management said\n\nprofit rose\nand fell\n\n(end)"
     assert spark.range(1).select(T.section_clean(F.lit(None).cast("string"))).first()[0] is None
-    assert texts.sections(spark, "/root/testdata/sf0.001").agg(F.max("n_chars")).first()[0] > 600
+    assert texts.found_sections(spark, "/root/testdata/sf0.001").agg(F.max("n_chars")).first()[0] > 600
 
 
 def test_follow_up_questions(spark):
@@ -168,13 +192,15 @@ def test_cases_and_budget(spark):
 
 def test_retrieval_without_hits(spark):
     from verdigris.operators import retrieval as R
+    from verdigris.operators import textindex as X
 
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id long, text string")
-    index = R.inverted_index(docs)
+    index = X.build(docs)
+    search = lambda queries, limit, items: X.search(index, queries, limit, items)
     q = spark.createDataFrame([(1, [1.0, 0.0], "gamma"), (2, None, "beta"), (3, [0.0, 0.0], None)], "qid long, vector array<float>, text string")
     items = spark.createDataFrame([(1, 10, [1.0, 0.0], "field_code"), (2, 10, [0.0, 1.0], "field_code"), (3, None, [1.0, 0.0], "other")], "id long, parent long, vector array<float>, type string")
-    assert {(r["qid"], r["id"]) for r in R.hybrid(q, items, index, 5, least=0.5).collect()} == {(1, 1), (1, 3)}
-    assert {(r["qid"], r["id"]) for r in R.preset("field_codes", q, items, index).collect()} == {(1, 1), (2, 1), (2, 2)}
-    big = {(r["qid"], r["id"], r["is_parent"]) for r in R.small_to_big(q, items, index, least=0.6).collect()}
+    assert {(r["qid"], r["id"]) for r in R.hybrid(q, items, search, 5, least=0.5).collect()} == {(1, 1), (1, 3)}
+    assert {(r["qid"], r["id"]) for r in R.preset("field_codes", q, items, search).collect()} == {(1, 1), (2, 1), (2, 2)}
+    big = {(r["qid"], r["id"], r["is_parent"]) for r in R.small_to_big(q, items, search, least=0.6).collect()}
     assert (1, 10, True) in big and all(p or i in (1, 2) for _, i, p in big)
-    assert R.hybrid(q.limit(0), items, index).count() == 0
+    assert R.hybrid(q.limit(0), items, search).count() == 0

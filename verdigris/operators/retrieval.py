@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
+from verdigris.sources.shared import written
+
+#: A search of a stored index of texts: (queries, limit or none, items) -> (qid, id, score).
+Search = Callable[[DataFrame, int | None, DataFrame | None], DataFrame]
 
 #: Query tables of up to so many rows are sent to all executors; larger ones are worked off in blocks of that size.
 BLOCK = 4096
@@ -52,24 +57,6 @@ def shared_runs(docs: DataFrame, items: DataFrame, key: str, item_key: str, n: i
     return mine.join(theirs, "run").groupBy(key, item_key).agg(F.count("*").alias("shared"))
 
 
-def inverted_index(docs: DataFrame) -> DataFrame:
-    """docs: (id, text). A row for each document and distinct word: word, id, tf, doc_len."""
-    words = docs.select("id", S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", "")).alias("words"))
-    return words.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("word")).groupBy("id", "doc_len", "word").agg(F.count("*").alias("tf"))
-
-
-def keyword_scores(queries: DataFrame, index: DataFrame, n_docs: int, average_len: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, id, score): documents that hold every word of a query, by BM25. queries: (qid, text)."""
-    words = queries.select("qid", F.array_distinct(S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", ""))).alias("words"))
-    wanted = words.select("qid", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    known = index.join(wanted.select("word").distinct(), "word", "left_semi")
-    df = known.groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / average_len))
-    hits = wanted.join(df, "word").join(known, "word").select("qid", "id", "n_words", gain.alias("gain"))
-    return hits.groupBy("qid", "id", "n_words").agg(F.count("*").alias("n"), F.sum("gain").alias("score")).where("n = n_words").select("qid", "id", "score")
-
-
 def fuse(vectors: DataFrame, keywords: DataFrame, weight: float = 0.7, least: float = 0.0) -> DataFrame:
     """Full outer join of two scored lists; a missing score is 0. Returns qid, id, score of ``least`` or more."""
     v = vectors.select("qid", "id", F.col("score").alias("v"))
@@ -79,19 +66,19 @@ def fuse(vectors: DataFrame, keywords: DataFrame, weight: float = 0.7, least: fl
     return both.select("qid", "id", score.alias("score")).where(F.col("score") >= least)
 
 
-def hybrid(queries: DataFrame, items: DataFrame, index: DataFrame, limit: int = 10, weight: float = 0.7, least: float = 0.5) -> DataFrame:
+def hybrid(queries: DataFrame, items: DataFrame, words: Search, limit: int = 10, weight: float = 0.7, least: float = 0.5) -> DataFrame:
     """The ``limit`` best items of each query by vectors and words together: (qid, id, score, rank). queries: (qid, vector,
-    text); items: (id, vector), those that the filters on type, domain or ticker leave; index: of all texts. Each list goes
-    in with twice the limit; a missing score is 0, and a sum below ``least`` isn't shown."""
+    text); items: (id, vector), those that the filters on type, domain or ticker leave; an item whose vector is null is
+    found by its words alone. words: the search of the stored index of all texts. Each list goes in with twice the limit; a
+    missing score is 0, and a sum below ``least`` isn't shown."""
     near = top_k(vector_scores(queries.select("qid", "vector"), items.select("id", "vector")), "qid", "score", "id", 2 * limit)
-    found = keyword(queries.select("qid", "text"), items.select("id"), index, 2 * limit)
+    found = keyword(queries.select("qid", "text"), items.select("id"), words, 2 * limit)
     return _ranked(fuse(near, found, weight, least), limit)
 
 
-def keyword(queries: DataFrame, items: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+def keyword(queries: DataFrame, items: DataFrame, words: Search, limit: int) -> DataFrame:
     """The ``limit`` best items that hold all words of a query: (qid, id, score, rank), the score from 0 to 1."""
-    sizes = index.select("id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
-    found = keyword_scores(queries, index, sizes["n"], sizes["mean"] or 1.0).join(items, "id", "left_semi")
+    found = words(queries, limit, items)
     return _ranked(found.select("qid", "id", (F.col("score") / (1 + F.col("score"))).alias("score")), limit)
 
 
@@ -104,24 +91,23 @@ def _ranked(scored: DataFrame, limit: int) -> DataFrame:
 PRESETS = {"field_codes": ("field_code", 5, 0.3), "examples": ("query_example", 3, 0.4)}
 
 
-def preset(name: str, queries: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
+def preset(name: str, queries: DataFrame, items: DataFrame, words: Search) -> DataFrame:
     """Hybrid search for one type of items; queries without a vector take the keyword half alone."""
     kind, limit, least = PRESETS[name]
     mine = items.where(F.col("type") == kind)
-    by_both = hybrid(queries.where("vector IS NOT NULL"), mine, index, limit, least=least)
-    return by_both.unionByName(keyword(queries.where("vector IS NULL").select("qid", "text"), mine.select("id"), index, limit))
+    by_both = hybrid(queries.where("vector IS NOT NULL"), mine, words, limit, least=least)
+    return by_both.unionByName(keyword(queries.where("vector IS NULL").select("qid", "text"), mine.select("id"), words, limit))
 
 
-def small_to_big(queries: DataFrame, children: DataFrame, index: DataFrame, limit: int = 10, child_limit: int = 30, least: float = 0.0, weight: float = 0.7) -> DataFrame:
+def small_to_big(queries: DataFrame, children: DataFrame, words: Search, limit: int = 10, child_limit: int = 30, least: float = 0.0, weight: float = 0.7) -> DataFrame:
     """(qid, id, is_parent, score, matched, rank): the best parents of the ``child_limit`` best children of ``least`` or more,
     scored by vectors and words; for queries without such a parent, the children. children: (id, parent, vector); those
     without a parent are left out."""
     kids = children.where("parent IS NOT NULL").select("id", "parent", "vector")
     near = vector_scores(queries.select("qid", "vector"), kids.select("id", "vector"))
-    sizes = index.select("id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
-    words = keyword_scores(queries.select("qid", "text"), index, sizes["n"], sizes["mean"] or 1.0).select("qid", "id", (F.col("score") / (1 + F.col("score"))).alias("k"))
-    both = near.join(words, ["qid", "id"], "left").select("qid", "id", (weight * F.col("score") + (1 - weight) * F.coalesce("k", F.lit(0.0))).alias("score"))
-    top = _ranked(both, child_limit).drop("rank")
+    said = words(queries.select("qid", "text"), None, kids.select("id")).select("qid", "id", (F.col("score") / (1 + F.col("score"))).alias("k"))
+    both = near.join(said, ["qid", "id"], "left").select("qid", "id", (weight * F.col("score") + (1 - weight) * F.coalesce("k", F.lit(0.0))).alias("score"))
+    top = written(_ranked(both, child_limit).drop("rank"), "children")
     big = top.where(F.col("score") >= least).join(kids.select("id", "parent"), "id").groupBy("qid", F.col("parent").alias("id")).agg(F.avg("score").alias("score"), F.count("*").alias("matched"))
     small = top.join(big.select("qid").distinct(), "qid", "left_anti").select("qid", "id", "score", F.lit(1).cast("long").alias("matched"), F.lit(False).alias("is_parent"))
     return _ranked(big.withColumn("is_parent", F.lit(True)).unionByName(small), limit)

@@ -12,6 +12,7 @@ from verdigris.operators import cases as C
 from verdigris.operators import chunking
 from verdigris.operators import reports as R
 from verdigris.operators import retrieval
+from verdigris.plans.retrieval import word_search
 from verdigris.sources.tables import table
 
 
@@ -55,11 +56,11 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     return c.rollup("section").agg(F.count("*").alias("chunks"), F.countDistinct("filing").alias("filings"), F.countDistinct("cik").alias("companies"))
 
 
-_SECTIONS = ("business", "mda", "risk_factors", "appendix")
+_SECTIONS = (*T.SECTIONS, "legal_proceedings_q", "risk_factors_q", "exhibits", "appendix 2-b")
 
 
 def _section() -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in _SECTIONS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(s) for s in _SECTIONS]), (F.col("o_orderkey") % len(_SECTIONS) + 1).cast("int"))
 
 
 def _form() -> Column:
@@ -84,8 +85,11 @@ def metadata_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("o_orderkey", T.metadata_prefix(m).alias("prefix"))
 
 
-_SQL_SECTION = "['business', 'mda', 'risk_factors', 'appendix'][o_orderkey % 4 + 1]"
-_SQL_LABEL = f"CASE {_SQL_SECTION} WHEN 'business' THEN 'Business Description' WHEN 'mda' THEN 'Management''s Discussion and Analysis' WHEN 'risk_factors' THEN 'Risk Factors' ELSE 'Appendix' END"
+_LABELS = (
+    "Business Description", "Risk Factors", "Unresolved_Staff_Comments", "Properties", "Legal Proceedings", "Mine_Safety", "Market_Info", "Selected_Financial", "Management''s Discussion and Analysis",
+    "Quantitative_Qualitative", "Financial Statements", "Changes_Accountants", "Controls and Procedures", "Other", "Legal_Proceedings_Q", "Risk_Factors_Q", "Exhibits and Financial Statement Schedules", "Appendix 2-B",
+)
+_SQL_LABEL = "[" + ", ".join(f"'{label}'" for label in _LABELS) + f"][o_orderkey % {len(_LABELS)} + 1]"
 _SQL_FORM = "CASE WHEN o_orderstatus = 'F' THEN '10-K' WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-Q/A' END"
 
 
@@ -107,7 +111,7 @@ def fixture_id_refresh(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items as cases whose ids are brought up to date by keyword search."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     b = table(spark, folder, "benchmark")
-    found = retrieval.keyword(b.select(F.col("item_id").alias("qid"), "text"), docs.select("id"), retrieval.inverted_index(docs), 5)
+    found = retrieval.keyword(b.select(F.col("item_id").alias("qid"), "text"), docs.select("id"), word_search(spark, folder), 5)
     cases = b.select(F.col("item_id").alias("case_id"), F.array(F.col("item_id"), F.col("item_id") + 1).alias("ids"))
     out = C.refreshed_ids(cases, found.select(F.col("qid").alias("case_id"), "id", "rank"))
     return out.select("case_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("old", "new")], "changed")

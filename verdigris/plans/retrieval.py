@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from verdigris.functions import ir
 from verdigris.functions import similarity as S
 from verdigris.operators import retrieval as R
+from verdigris.operators import textindex as X
+from verdigris.operators import vectorindex as V
+from verdigris.sources.shared import once
 from verdigris.sources.tables import table
 
 
@@ -33,12 +36,20 @@ scores AS (
 """
 
 
+def vector_index(spark: SparkSession, folder: str) -> V.VectorIndex:
+    """Built once a session and folder."""
+    return once(spark, ("vectors", folder), lambda: V.build(vectors(spark, folder).select("id", "vector")))
+
+
 def topk_vector(spark: SparkSession, folder: str) -> DataFrame:
-    return R.top_k(scores(spark, folder), "qid", "score", "id", 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    """The eight nearest lists of each query, then those that may hold something nearer. A query isn't its own neighbour."""
+    found = V.nearest(vector_index(spark, folder), query_vectors(spark, folder), 11, 8, exact=True).where("qid <> id").drop("rank")
+    return R.top_k(found, "qid", "score", "id", 10).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def vec_search(spark: SparkSession, folder: str) -> DataFrame:
-    return scores(spark, folder).where("score >= 0.35").select("qid", "id", F.round("score", 6).alias("score"))
+    found = V.within(vector_index(spark, folder), query_vectors(spark, folder), 0.35)
+    return found.where("qid <> id").select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def ir_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,45 +92,48 @@ def semantic_cache(spark: SparkSession, folder: str) -> DataFrame:
     queries are cached."""
     q = query_vectors(spark, folder)
     cached = vectors(spark, folder).where("id % 20 <> 0")
-    near = R.top_k(R.vector_scores(q.select("qid", "vector"), cached, 0.45), "qid", "score", "id", 1)
+    index = once(spark, ("cached vectors", folder), lambda: V.build(cached.select("id", "vector")))
+    near = R.top_k(V.within(index, q, 0.45), "qid", "score", "id", 1)
     return q.select("qid").join(near.select("qid", "id", F.round("score", 6).alias("score")), "qid", "left")
 
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """Vector and keyword matches as two lists of 20, fused 0.7 to 0.3, over documents in two languages."""
     items = chunks(spark, folder).where("lang IN ('en', 'de')")
-    found = R.hybrid(query_texts(spark, folder), items, keyword_index(spark, folder), limit=10, least=0.1)
+    found = R.hybrid(query_texts(spark, folder), items, word_search(spark, folder), limit=10, least=0.1)
     return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with their vectors."""
-    return documents(spark, folder).join(vectors(spark, folder).select("id", "vector"), "id")
+    """All documents, with their vectors where they have one."""
+    return documents(spark, folder).join(vectors(spark, folder).select("id", "vector"), "id", "left")
 
 
 def query_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every twentieth vector, with three words of its document as the keyword query: the first, one from the middle, the last."""
     words = S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", ""))
-    c = chunks(spark, folder).where("id % 20 = 0").withColumn("words", words)
+    c = chunks(spark, folder).where("id % 20 = 0 AND vector IS NOT NULL").withColumn("words", words)
     at = lambda i: F.get("words", i)
     text = F.concat_ws(" ", at(F.lit(0)), at(F.floor(F.size("words") / 2).cast("int")), at(F.size("words") - 1))
     return c.select(F.col("id").alias("qid"), "vector", text.alias("text"))
 
 
-def keyword_index(spark: SparkSession, folder: str) -> DataFrame:
-    return R.inverted_index(documents(spark, folder).select("id", "text"))
+def word_search(spark: SparkSession, folder: str) -> R.Search:
+    """The search of the index of all documents, which is built once a session and folder."""
+    index = once(spark, ("words", folder), lambda: X.build(documents(spark, folder).select("id", "text")))
+    return lambda queries, limit, items: X.search(index, queries, limit, items)
 
 
 def keyword(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword search alone, among documents of one language."""
     items = chunks(spark, folder).where("lang = 'en'").select("id")
-    found = R.keyword(query_texts(spark, folder).select("qid", "text"), items, keyword_index(spark, folder), 5)
+    found = R.keyword(query_texts(spark, folder).select("qid", "text"), items, word_search(spark, folder), 5)
     return found.select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def preset(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = R.preset(name, query_texts(spark, folder), chunks(spark, folder).withColumn("type", F.when(F.col("lang") == "en", "field_code").otherwise("query_example")), keyword_index(spark, folder))
+        found = R.preset(name, query_texts(spark, folder), chunks(spark, folder).withColumn("type", F.when(F.col("lang") == "en", "field_code").otherwise("query_example")), word_search(spark, folder))
         return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
     return run
@@ -128,8 +142,8 @@ def preset(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def parent_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Small to big: the 30 best children by vectors and words, their parents by the mean, and the children themselves for
     queries none of whose parents is good enough."""
-    children = chunks(spark, folder).withColumn("parent", F.floor(F.col("id") / 10).cast("long"))
-    found = R.small_to_big(query_texts(spark, folder), children, keyword_index(spark, folder), limit=5, child_limit=30, least=0.15)
+    children = chunks(spark, folder).where("vector IS NOT NULL").withColumn("parent", F.floor(F.col("id") / 10).cast("long"))
+    found = R.small_to_big(query_texts(spark, folder), children, word_search(spark, folder), limit=5, child_limit=30, least=0.15)
     return found.select("qid", "id", "is_parent", "matched", "rank", F.round("score", 6).alias("score"))
 
 
@@ -160,11 +174,8 @@ def latest_or_year(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold all words of each benchmark item, ranked by BM25."""
-    docs = documents(spark, folder)
-    index = R.inverted_index(docs.select("id", "text"))
-    n, mean = index.groupBy("id").agg(F.first("doc_len").alias("n")).agg(F.count("*"), F.avg("n")).first()
     q = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    found = R.keyword_scores(q, index, n, mean)
+    found = word_search(spark, folder)(q, None, None)
     return R.top_k(found.withColumn("score", F.round("score", 6)), "qid", "score", "id", 20).select("qid", "id", "score")
 
 
@@ -200,9 +211,9 @@ _CLEAN = r"list_filter(regexp_split_to_array(trim(lower(regexp_replace(text, '[^
 CHUNKED = f"""
 WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM embeddings),
 all_words AS (SELECT doc_id AS id, lang, {_CLEAN} AS w FROM documents),
-chunks AS (SELECT id, lang, vector, w FROM all_words JOIN v USING (id)),
-q AS (SELECT id AS qid, vector, list_distinct(list_filter([w[1], w[len(w) // 2 + 1], w[len(w)]], lambda x: x IS NOT NULL)) AS words FROM chunks WHERE id % 20 = 0),
-pairs AS (SELECT qid, c.id, lang, list_inner_product(q.vector, c.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * sqrt(list_inner_product(c.vector, c.vector))) AS score FROM q, chunks c),
+chunks AS (SELECT id, lang, vector, w FROM all_words LEFT JOIN v USING (id)),
+q AS (SELECT id AS qid, vector, list_distinct(list_filter([w[1], w[len(w) // 2 + 1], w[len(w)]], lambda x: x IS NOT NULL)) AS words FROM chunks WHERE id % 20 = 0 AND vector IS NOT NULL),
+pairs AS (SELECT qid, c.id, lang, list_inner_product(q.vector, c.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * sqrt(list_inner_product(c.vector, c.vector))) AS score FROM q, chunks c WHERE c.vector IS NOT NULL),
 i AS (SELECT id, len(w) AS doc_len, unnest(w) AS word FROM all_words), t0 AS (SELECT id, doc_len, word, count(*) AS tf FROM i GROUP BY ALL),
 n0 AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM all_words WHERE len(w) > 0), d0 AS (SELECT word, count(*) AS df FROM t0 GROUP BY 1),
 x0 AS (SELECT qid, len(words) AS n_words, unnest(words) AS word FROM q),

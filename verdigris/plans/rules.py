@@ -59,7 +59,7 @@ def screen_build(spark: SparkSession, folder: str) -> DataFrame:
     """Questions put together from the parts table."""
     p = table(spark, folder, "part")
     country = F.element_at(F.array(F.lit("in the UK"), F.lit("from Japan"), F.lit("worldwide")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    question = F.concat_ws(" ", F.lit("Top"), F.col("p_size").cast("string"), F.when(F.col("p_size") > 25, "tech").otherwise("energy"), F.lit("firms"), country, F.lit("with PE below"), (F.col("p_partkey") % 40).cast("string"), F.when(F.col("p_size") % 2 == 0, "by revenue").otherwise("please"))
+    question = F.concat_ws(" ", F.lit("Top"), F.col("p_size").cast("string"), F.when(F.col("p_size") > 25, "tech").otherwise("energy"), F.lit("firms"), country, F.lit("with PE below"), (F.col("p_partkey") % 40).cast("string"), F.when(F.col("p_size") % 2 == 0, "by revenue").otherwise("please"), F.when(F.col("p_partkey") % 4 == 0, "ROE below 30 and above 5, ROE over 5.5, dividend yield below 6, dividend yield more than 2"), F.when(F.col("p_partkey") % 5 == 0, "positive FCF that beat estimates by 10%"))
     return p.select("p_partkey", screen.build(question).alias("screen"))
 
 
@@ -227,7 +227,7 @@ QUERIES = {
     "cron_match": (cron_match, "SELECT event_id, ts FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 18 AND month(ts) IN (1, 2, 3) AND isodow(ts) BETWEEN 1 AND 5"),
     "screen_build": (
         screen_build,
-        "SELECT p_partkey, 'SCREEN(U(IN(Equity(active,public,primary))),' || CASE p_partkey % 3 WHEN 0 THEN 'TR.HQCountryCode=GB,' WHEN 1 THEN 'TR.HQCountryCode=JP,' ELSE '' END || 'IN(TR.TRBCEconSectorCode,' || CASE WHEN p_size > 25 THEN '57' ELSE '50' END || '),TR.PE<' || (p_partkey % 40) || ',TOP(' || CASE WHEN p_size % 2 = 0 THEN 'TR.Revenue' ELSE 'TR.CompanyMarketCap' END || ',' || p_size || ',nnumber),CURN=USD)' AS screen FROM part",
+        "SELECT p_partkey, 'SCREEN(U(IN(Equity(active,public,primary))),' || CASE p_partkey % 3 WHEN 0 THEN 'TR.HQCountryCode=GB,' WHEN 1 THEN 'TR.HQCountryCode=JP,' ELSE '' END || 'IN(TR.TRBCEconSectorCode,' || CASE WHEN p_size > 25 THEN '57' ELSE '50' END || '),TR.PE<' || (p_partkey % 40) || CASE WHEN p_partkey % 4 = 0 THEN ',TR.DividendYield>2,TR.DividendYield<6,TR.ROE>5.5,TR.ROE<30' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ',TR.FreeCashFlow>0,TR.EPSSurprisePct(Period=FQ0)>10' ELSE '' END || ',TOP(' || CASE WHEN p_size % 2 = 0 THEN 'TR.Revenue' WHEN p_partkey % 4 = 0 THEN 'TR.DividendYield' ELSE 'TR.CompanyMarketCap' END || ',' || p_size || ',nnumber),CURN=USD)' AS screen FROM part",
     ),
     "screen_dsl": (screen_top, "SELECT p_partkey, p_retailprice FROM part WHERE p_type IN ('PROMO', 'ECONOMY') AND p_size < 30 AND p_size >= 4 ORDER BY p_retailprice DESC, p_partkey LIMIT 15"),
     "sink_upsert": (sink_upsert, _NEW + "SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, " + ", ".join(f"CASE WHEN n.c_custkey IS NULL THEN c.{x} ELSE n.{x} END AS {x}" for x in ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) + " FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
-from verdigris.operators import chunking, conversation, tasks, toolcalls
+from verdigris.operators import chunking, conversation, sections, tasks, toolcalls
 from verdigris.sources.tables import table
 from verdigris.streaming import jobs
 
@@ -24,22 +24,37 @@ def _html_sql() -> str:
     return rf"SELECT page_id, trim(regexp_replace({out}, '\s+', ' ', 'g')) AS text FROM pages"
 
 
+#: How the sections of annual and quarterly reports are headed.
+HEADINGS = {
+    "business": "Item 1. Business", "risk_factors": "Item 1A. Risk Factors", "unresolved_staff_comments": "Item 1B. Unresolved Staff Comments", "properties": "Item 2. Properties",
+    "legal_proceedings": "Item 3. Legal Proceedings", "mine_safety": "Item 4. Mine Safety", "market_info": "Item 5. Market for Equity", "selected_financial": "Item 6. [Reserved]",
+    "mda": "Item 7. Management's Discussion", "quantitative_qualitative": "Item 7A. Quantitative Disclosures", "financial_statements": "Item 8. Financial Statements",
+    "changes_accountants": "Item 9. Changes in and Disagreements", "controls_procedures": "Item 9A. Controls and Procedures", "other": "Item 9B. Other Information",
+}
+QUARTERLY_HEADINGS = {
+    "financial_statements": "Part I Item 1. Financial Statements", "mda": "Item 2. Management's Discussion", "quantitative_qualitative": "Item 3. Quantitative Disclosures", "controls_procedures": "Item 4. Controls and Procedures",
+    "legal_proceedings_q": "Part II Item 1. Legal Proceedings", "risk_factors_q": "Item 1A. Risk Factors",
+}
+
+
 def filings(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents put together as annual reports: a table of contents, then three sections."""
-    d = table(spark, folder, "documents").select("doc_id", F.col("text").alias("t"))
-    head = F.lit("Item 1. Business 3 Item 1A. Risk Factors 9 Item 7. Management's Discussion 22 Item 8. Financial Statements 40 ")
-    return d.select("doc_id", F.concat(head, F.lit(" Form. Item 1. Business "), "t", F.lit(" Item 1A. Risk Factors "), F.reverse("t"), F.lit(" Item 7. Management's Discussion "), "t").alias("filing"))
+    """Documents put together as reports, those of even ids annual: a table of contents, then the text in as many parts as
+    there are sections, each below its heading."""
+    d = table(spark, folder, "documents").select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % 2 == 1).alias("quarterly"))
+
+    def report(headings: dict[str, str]) -> Column:
+        contents = " ".join(f"{h} {3 + 9 * i}" for i, h in enumerate(headings.values())) + " Item 99 "
+        step = F.ceil(F.length("t") / len(headings)).cast("int")
+        parts = [x for i, h in enumerate(headings.values()) for x in (F.lit(f" {h} "), F.substr("t", step * i + 1, step))]
+        return F.concat(F.lit(contents), *parts)
+
+    return d.select("doc_id", "quarterly", F.when(F.col("quarterly"), report(QUARTERLY_HEADINGS)).otherwise(report(HEADINGS)).alias("filing"))
 
 
-def sections(spark: SparkSession, folder: str) -> DataFrame:
+def found_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Where each section begins, its length up to the next, and its cleaned text's length."""
-    names = ("business", "risk_factors", "mda")
-    f = filings(spark, folder)
-    starts = F.array_sort(F.array(*[F.struct(T.section_start(F.col("filing"), n).alias("at"), F.lit(n).alias("section")) for n in names]))
-    rows = f.select("doc_id", "filing", F.filter(starts, lambda s: s["at"].isNotNull()).alias("s")).select("doc_id", "filing", "s", F.posexplode("s").alias("i", "one"))
-    end = F.coalesce(F.get("s", F.col("i") + 1)["at"], F.length("filing") + 1)
-    body = F.substr("filing", F.col("one.at"), end - F.col("one.at"))
-    return rows.select("doc_id", "one.section", "one.at", F.length(body).alias("n_chars"), F.length(T.section_clean(body)).alias("clean_chars")).where("n_chars > 100")
+    found = sections.find_sections(filings(spark, folder), "doc_id", "filing", F.col("quarterly"))
+    return found.select("doc_id", "section", "at", "n_chars", F.length("body").alias("clean_chars"))
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +181,7 @@ def stream_retries(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "html_clean": (html_clean, _html_sql()),
-    "section_find": (sections, None),
+    "section_find": (found_sections, None),
     "chunk_split": (chunks, None),
     "chunk_hierarchical": (chunk_tree, None),
     "chunk_estimate": (chunk_estimate, "SELECT lang, CAST(floor(sum(length(text)) / 3200) AS BIGINT) + count(*) AS chunks FROM documents GROUP BY 1"),

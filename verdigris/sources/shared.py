@@ -1,13 +1,26 @@
-"""The folder that driver and executors share, for streaming sinks and checkpoints."""
+"""The folder that driver and executors share, for indexes, streaming sinks and checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+T = TypeVar("T")
 
 _local: list[str] = []
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made anew for each Spark application only; the tables that it wrote must still be there."""
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _made:
+        _made[whole] = make()
+    return _made[whole]  # type: ignore[return-value]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -21,3 +34,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
             _local.append(tempfile.mkdtemp(prefix="verdigris-"))
         root = f"file://{_local[0]}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a new folder and read back, so that what is used twice is computed once."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
