@@ -44,9 +44,12 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that each source gives its target; a document comes at most twice."""
-    taken = mixing.mix_documents(docs, SOURCE_WEIGHTS, SHARE, CAP).groupBy(F.col("id").alias("__id")).agg(F.min("copies").alias("__copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
+    """Repeat or leave out documents so that each source gives its target; a document comes at most twice. Documents without
+    an id are told apart by source and text; rows that repeat an id within a source fare alike."""
+    known = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text")))
+    mixed = mixing.mix_documents(known.select("__id", "source", "text"), SOURCE_WEIGHTS, SHARE, CAP, id_col="__id")
+    taken = mixed.groupBy(F.col("id").alias("__taken"), F.col("source").alias("__source")).agg(F.min("copies").alias("__copies"))
+    joined = known.join(taken, (F.col("__id") == F.col("__taken")) & F.col("source").eqNullSafe(F.col("__source"))).where("__copies > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 

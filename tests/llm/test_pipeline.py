@@ -26,3 +26,15 @@ def test_odd_documents_pass_the_filters(spark):
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, odd.withColumn("score", F.lit(1)).withColumn("component_id", F.lit(2)), folder).count() == 3
         assert stage(spark, odd.limit(0), folder).count() == 0
+
+
+def test_mixing_deals_copies_to_rows_without_an_id(spark):
+    """Rows without an id count for their own source, each by its text."""
+    rows = [(i, "word " * 40 + str(i), "en", "big", 0) for i in range(300)] + [(None, "word " * 40 + str(i), "en", "none" if i % 2 else "big", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    sizes = {"big": 330 * 41, "none": 30 * 41}
+    words = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    targets = {"big": 1.5 * 360 * 41 - 2 * sizes["none"], "none": 2 * sizes["none"]}  # the small source reaches its cap
+    assert all(abs(words[s] - min(targets[s], 2 * sizes[s])) <= 41 for s in sizes)
+    assert mixed.groupBy("text", "doc_id", "source").count().where("count > 2").count() == 0

@@ -137,3 +137,15 @@ def test_html_style_sheets_spans_and_depth():
     table = "<table><tr><th colspan=2>Name and age<th>City<tr><td>Al<td>3<td>Rome<tr><td rowspan=2>Bo<td>4<td>Oslo<tr><td>5<td>Bern</table>"
     assert html_text.render(table).split("\n") == ["Name and age  City", "Al  3  Rome", "Bo  4  Oslo", "    5  Bern"]
     assert html_text.render("<div>" * 50_000 + "x") == "x" and html_text.render("<ul>" + "<li><div>" * 5000 + "x").endswith("x")
+
+
+def test_html_comments():
+    for page in ("a<!-->b", "a<!--->b", "a<!---->b", "a<!--x--!>b", "a<!-- x > y -->b", "a<!-- <!-> -->b", "a<!doctype html>b", "a<!-x>b", "a<?x>b"):
+        assert html_text.render(page) == "ab"
+    assert html_text.render("a<!--x") == html_text.render("a<!" + "--<!" * 100_000) == "a" and html_text.render("a<!x") == "a"
+
+
+def test_language_replaces_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "der die das und", "de", 7.0), (2, "the and of it", "en", 8.0), (None, None, "en", 9.0)], "doc_id long, text string, lang string, score double")
+    found = language.predict(docs, language.train(docs), ["doc_id", "score", "lang"])
+    assert found.columns == ["doc_id", "lang", "lang_pred", "score", "rejected"] and found.where("score <= 1").count() == 3

@@ -60,6 +60,7 @@ _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _DECLARATION = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
 _SIMPLE = re.compile(r"(?:[a-z][\w-]*|\*)?(?:[.#][\w-]+)*")
 _PART = re.compile(r"[.#]?[\w-]+|\*")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -77,9 +78,14 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", "", page[at:lt]
         following = page[lt + 1 : lt + 2]
         if following in ("!", "?"):
-            comment = page.startswith("<!--", lt)
-            end = page.find("-->" if comment else ">", lt + (4 if comment else 2))
-            at = n if end < 0 else end + (3 if comment else 1)
+            empty = next((e for e in ("<!-->", "<!--->") if page.startswith(e, lt)), None)
+            if empty:
+                at = lt + len(empty)
+            elif page.startswith("<!--", lt):
+                closing = _COMMENT_END.search(page, lt + 4)
+                at = closing.end() if closing else n
+            else:
+                at = page.find(">", lt + 2) + 1 or n
             continue
         tag = None if unclosed else _TAG.match(page, lt)
         if tag is None and (following.isalpha() or following == "/"):

@@ -153,8 +153,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     (farther from its centroid than nearly all of the texts that made it).
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text where the model knows no
-    language. Whole texts are read.
+    language. Whole texts are read. Kept columns named like one of the three are replaced; names that begin with ``__`` are
+    reserved. Kept columns named like one of the three are replaced; names that begin with ``__`` are
+    reserved.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     plain = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     names = np.array(model.languages, dtype=object)

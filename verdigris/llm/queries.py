@@ -58,14 +58,14 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     found = language.predict(docs, language.train(docs.where(~held)), ["doc_id"])
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     labels = _table(spark, folder, "labels").where(toxicity.learnable())
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels), ["doc_id"])
-    return scored.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~toxicity.learnable(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ session wrote.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,25 @@ _written: dict[str, list[str]] = {}
 _tables: dict[str, str] = {}  # names of bucketed tables by path
 
 
+class _Noting(threading.local):
+    """The open notes of this thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.lists: list[list[str]] = []
+
+    def append(self, noted: list[str]) -> None:
+        self.lists.append(noted)
+
+    def pop(self) -> list[str]:
+        return self.lists.pop()
+
+    def __bool__(self) -> bool:
+        return bool(self.lists)
+
+
+_noting = _Noting()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, set here only where nobody has set one."""
     context = spark.sparkContext
@@ -35,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for noted in _noting.lists:
+        noted.append(path)
     return path
 
 
@@ -57,18 +79,24 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(_tables[path])
 
 
-def mark(spark: SparkSession) -> int:
-    """How many tables this session has written so far, for ``settle``."""
-    return len(_written.get(spark.sparkContext.applicationId, []))
+def mark(spark: SparkSession) -> list[str]:
+    """From now on the tables that this thread writes are noted, for ``settle``; other threads' tables aren't."""
+    noted: list[str] = []
+    _noting.append(noted)
+    return noted
 
 
-def settle(df: DataFrame, name: str, since: int) -> DataFrame:
-    """Materialize a result and delete the tables that were written for it after ``mark`` gave ``since``."""
+def settle(df: DataFrame, name: str, since: list[str]) -> DataFrame:
+    """Materialize a result and delete the tables that this thread has written for it after ``mark`` gave ``since``."""
     spark = df.sparkSession
     out = materialize(df, name)
-    paths = _written[spark.sparkContext.applicationId]
-    _delete(spark, paths[since:-1])
-    del paths[since:-1]
+    while _noting and _noting.pop() is not since:  # with it those of calls inside it that failed
+        pass
+    paths = since[:-1]
+    _delete(spark, paths)
+    written = _written[spark.sparkContext.applicationId]
+    for path in paths:
+        written.remove(path)
     return out
 
 

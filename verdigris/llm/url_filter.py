@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a node with its entry above it, roughly.
 _NODE_BYTES = 500
-_tries: dict[int, "Node"] = {}
+_tries: dict[str, "Node"] = {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,11 +74,11 @@ def trie_bytes(rules: list[Rule]) -> int:
 
 def _shared_trie(shared: Broadcast) -> Node:
     """The trie of broadcast rules, built once in a worker process."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
-    if key not in _tries:
+    token, rules = shared.value
+    if token not in _tries:
         _tries.clear()
-        _tries[key] = build_trie([Rule(*r) for r in shared.value])
-    return _tries[key]
+        _tries[token] = build_trie([Rule(*r) for r in rules])
+    return _tries[token]
 
 
 def longest_match(root: Node, host: str, path: str) -> Rule | None:
@@ -124,7 +125,7 @@ def judge(urls: DataFrame, rules: list[Rule], url_col: str = "url", default: str
     split = host_and_path(urls.drop("rule", "verdict"), url_col)
     if trie_bytes(rules) > broadcast_bytes:
         return _judge_by_join(split, rules, default)
-    shared = urls.sparkSession.sparkContext.broadcast([(r.host, r.path, r.verdict) for r in rules])
+    shared = urls.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.host, r.path, r.verdict) for r in rules]))
     names = split.columns
     host_at, path_at = names.index("host"), names.index("path")
 
