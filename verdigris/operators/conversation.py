@@ -54,3 +54,24 @@ def last_turns(turns: DataFrame, session: str, order: str, n: int) -> DataFrame:
 
 def session_summary(turns: DataFrame, session: str, order: str) -> DataFrame:
     return turns.groupBy(session).agg(F.count("*").alias("total_turns"), F.max(order).alias("last_turn"))
+
+
+def session_context(turns: DataFrame, session: str, order: str, entities: str, domain: str, fields: str, recent: int = 5) -> DataFrame:
+    """What a follow-up question of each session builds on: total_turns, last_turn, entities (a map of all turns' entities,
+    later turns winning), domain (the last turn's, null if it has none), and of the last ``recent`` turns the fields (an array,
+    in order, repeats included) and periods (those that fields name as Period=..., each once, in order of appearance).
+
+    turns: ``entities`` a map of texts, ``fields`` an array of texts; nulls have none. Turns of a session have different
+    ``order``. A session's entities are reduced by name before they meet, so that a long session costs no more memory than
+    its distinct names."""
+    whole = turns.groupBy(session).agg(F.count("*").alias("total_turns"), F.max(order).alias("last_turn"), F.max_by(F.struct(domain), order).getField(domain).alias("domain"))
+    named = turns.select(session, order, F.explode(entities).alias("__name", "__value"))
+    latest = named.groupBy(session, "__name").agg(F.max_by("__value", order).alias("__value"))
+    maps = latest.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("__name", "__value"))).alias("entities"))
+    few = last_turns(turns.select(session, order, F.coalesce(fields, F.array().cast("array<string>")).alias("__fields")), session, order, recent)
+    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "__fields"))), lambda t: t["__fields"]))  # of ``recent`` turns
+    asked = few.groupBy(session).agg(said.alias("fields"))
+    period = lambda f: F.regexp_extract(f, r"Period=([^)]*)", 1)
+    periods = F.array_distinct(F.transform(F.filter("fields", lambda f: F.contains(f, F.lit("Period="))), period))
+    none = F.create_map().cast("map<string,string>")
+    return whole.join(maps, session, "left").join(asked, session, "left").select(session, "total_turns", "last_turn", F.coalesce("entities", none).alias("entities"), "domain", "fields", periods.alias("periods"))

@@ -122,7 +122,10 @@ def sink_staged_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines staged by part: the first of each part sets its size."""
     staged = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("p_size"))
     first = windows.top_n(staged, ["p_partkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("p_size")], 1).select("p_partkey", "p_size")
-    return U.upsert(table(spark, folder, "part").select("p_partkey", "p_size"), first, "p_partkey")
+    path = new_folder(spark, "parts")
+    U.store(table(spark, folder, "part").select("p_partkey", "p_size"), path, "p_partkey", 16)
+    U.merge_into(spark, path, first, "p_partkey", 16, lambda old, new: U.upsert(old, new, "p_partkey"))
+    return U.stored(spark, path).select("p_partkey", "p_size")
 
 
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:

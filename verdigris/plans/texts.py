@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
 from verdigris.operators import chunking, conversation, sections, tasks, toolcalls
+from verdigris.sources import formats
+from verdigris.sources.shared import new_folder
 from verdigris.sources.tables import table
 from verdigris.streaming import jobs
 
@@ -15,8 +17,15 @@ def html_clean(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", T.html_clean(F.col("html")).alias("text"))
 
 
-def _html_sql() -> str:
-    out = "html"
+def html_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as a file each, with a byte that is no UTF-8 near the end, and read back."""
+    path = new_folder(spark, "filings")
+    pages = table(spark, folder, "pages").where("html IS NOT NULL").select("page_id", F.concat("html", F.expr("cast(X'FF' as string)"), F.lit("x")).alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    return formats.read_html(spark, path).select(F.col("page_id").cast("long").alias("page_id"), T.html_clean(F.col("html")).alias("text"))
+
+
+def _html_sql(out: str = "html") -> str:
     for pattern, options in ((r"<script[^>]*>.*?</script>", "gsi"), (r"<style[^>]*>.*?</style>", "gsi"), (r"</?ix:[^>]*>", "gi"), (r"<!--.*?-->", "gs"), (r"<[^>]+>", "g")):
         out = f"regexp_replace({out}, '{pattern}', ' ', '{options}')"
     for entity, text in T.ENTITIES:
@@ -134,8 +143,54 @@ def last_n_turns(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.last_turns(table(spark, folder, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
 
 
-def session_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return conversation.session_summary(table(spark, folder, "conversations"), "conv_id", "turn")
+def session_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Capitalised words as entities, which stand for the turn that named them last; two turns of three have a domain, users'
+    turns ask for fields of several periods."""
+    c, k = table(spark, folder, "conversations"), F.col("turn")
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
+    asked = F.array(F.concat(F.lit("TR.Revenue(Period=FY"), (k % 3).cast("string"), F.lit(")")), F.lit("TR.PE"))
+    t = c.select(
+        "conv_id", "turn", F.map_from_arrays(names, F.transform(names, lambda n: F.concat(F.upper(n), F.lit("."), k.cast("string")))).alias("named"),
+        F.when(k % 3 == 1, "estimates").when(k % 3 == 2, "screening").alias("domain"), F.when(F.col("role") == "user", asked).alias("asked"),
+    )
+    s = conversation.session_context(t, "conv_id", "turn", "named", "domain", "asked")
+    pairs = F.array_sort(F.transform(F.map_entries("entities"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return s.select("conv_id", "total_turns", "last_turn", "domain", F.array_join(pairs, ",").alias("entities"), F.array_join("fields", ",").alias("fields"), F.array_join("periods", ",").alias("periods"))
+
+
+_CONTEXT_SQL = """
+WITH t AS (SELECT conv_id, turn, role, text, CASE turn % 3 WHEN 1 THEN 'estimates' WHEN 2 THEN 'screening' END AS domain FROM conversations),
+n AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name FROM t), l AS (SELECT conv_id, name, max(turn) AS latest FROM n GROUP BY 1, 2),
+e AS (SELECT conv_id, string_agg(name || '=' || upper(name) || '.' || latest, ',' ORDER BY name || '=' || upper(name) || '.' || latest) AS entities FROM l GROUP BY 1),
+r AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5),
+f AS (SELECT conv_id, string_agg('TR.Revenue(Period=FY' || turn % 3 || '),TR.PE', ',' ORDER BY turn) AS fields FROM r WHERE role = 'user' GROUP BY 1),
+p AS (SELECT conv_id, string_agg('FY' || m, ',' ORDER BY first) AS periods FROM (SELECT conv_id, turn % 3 AS m, min(turn) AS first FROM r WHERE role = 'user' GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT conv_id, count(*) AS total_turns, max(turn) AS last_turn FROM t GROUP BY 1)
+SELECT w.*, t.domain, coalesce(entities, '') AS entities, coalesce(fields, '') AS fields, coalesce(periods, '') AS periods
+FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.last_turn LEFT JOIN e ON e.conv_id = w.conv_id LEFT JOIN f ON f.conv_id = w.conv_id LEFT JOIN p ON p.conv_id = w.conv_id"""
+
+
+def _dated(spark: SparkSession, folder: str) -> DataFrame:
+    """Two calls for each order, whose date is spelt alike, otherwise, differently or not as a date."""
+    o, k = table(spark, folder, "orders"), F.col("o_orderkey")
+    on = F.to_date("o_orderdate")
+    iso = F.date_format(F.date_add(on, -3), "yyyy-MM-dd")
+    got = F.when(k % 4 == 0, iso).when(k % 4 == 1, "-9D").when(k % 4 == 2, "soon").otherwise("-3D")
+    call = lambda name, date: F.to_json(F.array(F.struct(F.lit(name).alias("tool_name"), F.struct(F.col("o_custkey").alias("ticker"), date.alias("start")).alias("arguments"))))
+    return o.select("o_orderkey", on.alias("on"), call("get_data", F.lit("-3D")).alias("expected"), call("refinitiv.get_data", got).alias("actual"))
+
+
+def temporal_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict in each of the three modes."""
+    calls = _dated(spark, folder)
+    judged = [toolcalls.judge_temporal(calls, "expected", "actual", F.col("on"), mode).select("o_orderkey", F.lit(mode).alias("mode"), "verdict", "score") for mode in ("structural", "behavioural", "data")]
+    return judged[0].union(judged[1]).union(judged[2])
+
+
+_TEMPORAL_SQL = """
+WITH m AS (SELECT unnest(['structural', 'behavioural', 'data']) AS mode),
+v AS (SELECT o_orderkey, mode, CASE WHEN o_orderkey % 4 = 3 THEN 'OK' WHEN mode = 'structural' AND o_orderkey % 4 = 0 THEN 'OK' WHEN mode = 'behavioural' THEN CASE WHEN o_orderkey % 4 = 2 THEN 'INVALID_DATE' ELSE 'OK' END ELSE 'WRONG_ARGUMENTS' END AS verdict FROM orders, m)
+SELECT o_orderkey, mode, verdict, CASE WHEN verdict = 'OK' THEN 1.0 ELSE 0.0 END AS score FROM v"""
 
 
 def task_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +251,9 @@ QUERIES = {
     "toolcall_compare": (toolcall_compare, None),
     "expand_query": (expand_query, None),
     "win_last_n_turns": (last_n_turns, "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3"),
-    "conversation_context": (session_summary, "SELECT conv_id, count(*) AS total_turns, max(turn) AS last_turn FROM conversations GROUP BY 1"),
+    "conversation_context": (session_context, _CONTEXT_SQL),
+    "temporal_compare": (temporal_compare, _TEMPORAL_SQL),
+    "src_html": (html_files, _html_sql("html || chr(65533) || 'x'") + " WHERE html IS NOT NULL"),
     "queue_stalled": (task_states, TASK_SQL + "SELECT task, failures + 1 AS attempt, last_event, state, state = 'processing' AND epoch(TIMESTAMP '2024-01-20') - floor(epoch(last_at)) >= 60 AS stalled FROM s"),
     "batch_progress": (task_progress, TASK_SQL + "SELECT task % 10 AS batch, count(*) AS total, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'dead') AS dead, count(*) FILTER (state = 'done') >= count(*) AS complete FROM s GROUP BY 1"),
     "stream_trend": (stream_trend, "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"),

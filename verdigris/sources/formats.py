@@ -51,6 +51,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_html(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, html, and the folder's partition columns) of whole files: bytes that are no UTF-8 become replacement characters.
+    Empty files give no row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"), *[c for c in files.columns if c not in ("path", "modificationTime", "length", "content")])
+
+
 def field_codes(markdown: Column) -> Column:
     """Array of struct(hints, code, description) from the rows | words | `code` | description | of Markdown tables."""
     pattern = F.lit(r"\|\s*([^|]+?)\s*\|\s*`([^`]+)`\s*\|\s*([^|]+?)\s*\|")

@@ -49,9 +49,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def once_per_key(events: DataFrame, key: str) -> DataFrame:
-    """Each key once, however often it is sent; a batch that is retried adds nothing."""
-    return events.select(key).dropDuplicates([key])
+def once_per_key(events: DataFrame, key: str, late: str = "60 days") -> DataFrame:
+    """Each key once, however often it is sent within ``late`` of event time; a batch that is retried adds nothing. Keys that
+    are older than the watermark are forgotten, so that the state is bounded by what ``late`` covers."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).select(key)
 
 
 def retries(log: DataFrame, max_attempts: int = 3) -> DataFrame:
