@@ -20,6 +20,15 @@ TOXIC = 0.5
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 SHARDS = 24
+#: Up to so many ids of dropped documents are sent to the texts; beyond, the texts are shuffled once.
+SENT_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id isn't among ``ids`` (doc_id, distinct), which are written first, since they are read twice."""
+    ids = scratch.materialize(ids, "dropped")
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +42,14 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each group of near duplicates keep the document with the smallest id."""
     groups = near_dup.near_duplicates(docs)
     extra = groups.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, extra)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, as it stands or with other numbers and names."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, found)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
