@@ -1,11 +1,14 @@
-"""Comparing expected and actual tool calls, which are nested and unordered."""
+"""Comparing expected and actual tool calls, which are nested and unordered, by expressions alone.
+
+A JSON text is parsed once and written again with sorted keys, its values marked by kind: ``"s..."`` a text, ``"i..."`` a whole
+number, ``"f..."`` another number, with their digits as they were. Cut into tokens, two such texts have equal structure where
+they have the same tokens but for values, so that nested values are compared token by token, however deep they are.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,95 +18,151 @@ from verdigris.functions import fiscal
 CANONICAL = {"datastream.get_data": "get_data", "refinitiv.get_data": "get_data", "datastream_get_data": "get_data", "refinitiv_get_data": "get_data"}
 TOLERANCE = 1e-4
 
+#: A text, with the colon behind it if it is a key; a number; a word; a run of blanks; else one character.
+_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null|\s++|.'
+#: Texts that are read as numbers.
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
+#: Values that don't count as a name.
+_NO_NAME = r'^(?:null|false|\[\]|\{\}|"s"|"[if]-?0(?:\.0+)?(?:[eE].*)?")$'
 
-def alike(want: object, got: object) -> bool:
-    """Equality with numbers in text form taken as numbers, a relative tolerance, ordered lists and unordered objects."""
-    if want is None or got is None:
-        return want is got
-    if isinstance(want, dict) and isinstance(got, dict):
-        return want.keys() == got.keys() and all(alike(v, got[k]) for k, v in want.items())
-    if isinstance(want, list) and isinstance(got, list):
-        return len(want) == len(got) and all(map(alike, want, got))
-    if isinstance(want, type(got)) and isinstance(got, type(want)) and not isinstance(want, float):
-        return want == got
-    if {type(want), type(got)} <= {int, float, bool, str}:
-        try:
-            a, b = float(want), float(got)  # type: ignore[arg-type]
-        except ValueError:
-            return False
-        return abs(b) <= TOLERANCE if a == 0 else abs(a - b) <= TOLERANCE * abs(a)
-    return False
-
-
-def parse_calls(text: str | None) -> tuple[str | None, list[tuple[str, dict]]]:
-    """An error code or the calls: a list, one call, or an object with ``tool_calls``; names may be ``tool_name`` or ``name``."""
-    try:
-        value = json.loads(text or "")
-    except ValueError:
-        return "INVALID_JSON", []
-    if isinstance(value, dict):
-        value = value["tool_calls"] if "tool_calls" in value else [value]
-    if not isinstance(value, list):
-        return "SCHEMA_VIOLATION", []
-    calls = []
-    for call in value:
-        name = (call.get("tool_name") or call.get("name")) if isinstance(call, dict) else None
-        arguments = call.get("arguments", {}) if isinstance(call, dict) else None
-        if not isinstance(name, str) or not isinstance(arguments, dict):
-            return "SCHEMA_VIOLATION", []
-        calls.append((CANONICAL.get(name, name), arguments))
-    return None, calls
-
-
-def compare(want: list[tuple[str, dict]], got: list[tuple[str, dict]]) -> tuple[float, int, int, int]:
-    """(score, missing, extra, calls with differing arguments). Expected calls choose in order: a perfect match if there is
-    one, else the first free call of the same name. An expected call that equals a matched one isn't missing."""
-    free = dict(enumerate(got))
-    matched, differing = [], 0
-    for name, arguments in want:
-        same = [i for i, (n, _) in free.items() if n == name]
-        if not same:
-            continue
-        best = next((i for i in same if alike(arguments, free[i][1])), None)
-        differing += best is None
-        del free[same[0] if best is None else best]
-        matched.append((name, arguments))
-    missing = sum(call not in matched for call in want)
-    size = max(len(want), len(got))
-    score = (1.0 if not size else 0.0) if not want else max(0.0, (len(matched) - differing) / size)
-    return score, missing, len(free), differing
-
-
-def argument_diff(want: dict, got: dict) -> dict[str, list[str]]:
-    """The keys that got lacks, those that only got has, and those whose values differ, each in order."""
-    shared = want.keys() & got.keys()
-    parts = {"missing_keys": want.keys() - got.keys(), "extra_keys": got.keys() - want.keys(), "value_diffs": {k for k in shared if not alike(want[k], got[k])}}
-    return {name: sorted(keys) for name, keys in parts.items() if keys}
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, though it is named often."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def diff_arguments(df: DataFrame, expected: str, actual: str) -> DataFrame:
-    """Add missing_keys, extra_keys and value_diffs, arrays of text, of two JSON objects of arguments; null where either is no
-    object."""
 
-    @F.pandas_udf("missing_keys array<string>, extra_keys array<string>, value_diffs array<string>")
-    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = ["missing_keys", "extra_keys", "value_diffs"]
-        for wants, gots in pairs:
-            rows = []
-            for w, g in zip(wants, gots, strict=True):
-                want, got = _object(w), _object(g)
-                rows.append([None] * 3 if want is None or got is None else [argument_diff(want, got).get(n, []) for n in names])
-            yield pd.DataFrame(rows, columns=names)
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+
+def _mark(token: Column) -> Column:
+    number = F.concat(F.when(token.rlike("[.eE]"), '"f').otherwise('"i'), F.when(token == "-0", "0").otherwise(token), F.lit('"'))
+    is_text = token.startswith('"') & ~token.endswith(":")
+    return F.when(is_text, F.concat(F.lit('"s'), F.substr(token, F.lit(2)))).when(token.rlike(r"^-?\d"), number).otherwise(token)
+
+
+def _parsed(text: Column) -> Column:
+    """The variant of a JSON text, its values marked; null for null, broken JSON, text after its end and keys that repeat."""
+
+    def whole(tokens: Column) -> Column:
+        value = F.try_parse_json(F.array_join(F.transform(tokens, _mark), ""))
+        return _let(value, lambda v: F.when(F.size(_tokens(F.to_json(v))) == F.size(F.filter(tokens, lambda t: ~t.rlike(r"^\s"))), v))
+
+    return _let(_tokens(text), whole)
+
+
+def _map(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _list(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _value(token: Column) -> Column:
+    """A value's token as a number; null for other tokens and texts that are none."""
+    body = F.regexp_replace(F.substr(token, F.lit(3), F.length(token) - 3), r"\\[tnrf]", " ")
+    return F.when(token == "true", 1.0).when(token == "false", 0.0).when(token.startswith('"') & ~token.endswith(":") & body.rlike(_NUMBER), F.replace(body, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def _near(want: Column, got: Column) -> Column:
+    kind = F.substring(want, 1, 2)
+    comparable = (kind != F.substring(got, 1, 2)) | (kind == '"f')
+    a, b = _value(want), _value(got)
+    near = F.when(a == 0, F.abs(b) <= TOLERANCE).otherwise((F.abs(a) < float("inf")) & (F.abs(a - b) <= TOLERANCE * F.abs(a)))
+    return (want == got) | F.coalesce(comparable & near, F.lit(False))
+
+
+def _alike(want: Column, got: Column) -> Column:
+    """Whether two values, as tokens, are equal: numbers in text form taken as numbers, a relative tolerance where one isn't a
+    whole number, ordered lists and unordered objects; null equals null alone."""
+    return (want == got) | ((F.size(want) == F.size(got)) & F.forall(F.zip_with(want, got, _near), lambda x: x))
+
 
-    return df.withColumn("__d", run(expected, actual)).select(*df.columns, "__d.*")
+def _identity(tokens: Column) -> Column:
+    """The text by which equal calls are told: 1, 1.0 and true are equal, and "1" is another."""
 
+    def plain(t: Column) -> Column:
+        number = F.substr(t, F.lit(3), F.length(t) - 3).try_cast("double")
+        is_whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+        real = F.concat(F.lit('"i'), F.when(is_whole, number.cast("long").cast("string")).otherwise(number.cast("string")), F.lit('"'))
+        return F.when(t == "true", '"i1"').when(t == "false", '"i0"').when(t.startswith('"f') & t.endswith('"'), real).otherwise(t)
 
-def _object(text: str | None) -> dict | None:
-    try:
-        value = json.loads(text or "")
-    except ValueError:
-        return None
-    return value if isinstance(value, dict) else None
+    return F.array_join(F.transform(tokens, plain), "")
+
+
+def _calls(value: Column) -> Column:
+    """array<struct<name, tokens, same>> of a parsed text: a list, one call, or an object with ``tool_calls``; names may be
+    ``tool_name`` or ``name``. Null where the text has another form."""
+    names = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
+
+    def items(m: Column) -> Column:
+        return F.when(F.map_contains_key(m, "tool_calls"), _list(F.try_element_at(m, F.lit("tool_calls")))).when(m.isNotNull(), F.array(value)).otherwise(_list(value))
+
+    def fields(call: Column) -> Column:
+        def read(m: Column) -> Column:
+            json = lambda key: F.to_json(F.try_element_at(m, F.lit(key)))
+            first = json("tool_name")
+            name = F.when(first.isNull() | first.rlike(_NO_NAME), json("name")).otherwise(first)
+            return F.struct(name.alias("name"), F.when(F.map_contains_key(m, "arguments"), json("arguments")).otherwise("{}").alias("arguments"))
+
+        return _let(_map(call), read)
+
+    def made(call: Column) -> Column:
+        name = F.substr(call["name"], F.lit(3), F.length(call["name"]) - 3)
+        known = F.coalesce(F.try_element_at(names, name), name)
+        return _let(_tokens(call["arguments"]), lambda t: F.struct(known.alias("name"), t.alias("tokens"), F.concat_ws("\n", known, _identity(t)).alias("same")))
+
+    right = lambda c: F.coalesce(c["name"].startswith('"s') & c["arguments"].startswith("{"), F.lit(False))
+    return _let(F.transform(_let(_map(value), items), fields), lambda calls: F.when(F.forall(calls, right), F.transform(calls, made)))
+
+
+def _matched(want: Column, got: Column) -> Column:
+    """struct(free, matched, n, differing) after the expected calls have chosen in order: a perfect match if there is one, else
+    the first free call of the same name."""
+    start = F.struct(
+        F.filter(F.sequence(F.lit(0), F.size(got)), lambda i: i < F.size(got)).alias("free"), F.array().cast("array<string>").alias("matched"), F.lit(0).alias("n"), F.lit(0).alias("differing")
+    )
+
+    def choose(state: Column, call: Column) -> Column:
+        call_of = lambda i: F.get(got, i)
+        perfect = lambda same: F.get(F.filter(same, lambda i: _alike(call["tokens"], call_of(i)["tokens"])), F.lit(0))
+        same = F.filter(state["free"], lambda i: call_of(i)["name"] == call["name"])
+        best = _let(same, lambda s: F.struct(F.get(s, F.lit(0)).alias("first"), perfect(s).alias("perfect")))
+
+        def take(b: Column) -> Column:
+            free = F.filter(state["free"], lambda i: i != F.coalesce(b["perfect"], b["first"]))
+            taken = F.struct(free.alias("free"), F.array_append(state["matched"], call["same"]).alias("matched"), (state["n"] + 1).alias("n"), (state["differing"] + b["perfect"].isNull().cast("int")).alias("differing"))
+            return F.when(b["first"].isNull(), state).otherwise(taken)
+
+        return _let(best, take)
+
+    return F.aggregate(want, start, choose)
+
+
+def _hidden(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def diff_arguments(df: DataFrame, expected: str, actual: str) -> DataFrame:
+    """Add missing_keys (that the actual object lacks), extra_keys (that only it has) and value_diffs (keys whose values
+    differ), sorted arrays of text, of two JSON objects of arguments; null where either is no object. Columns of these names
+    are replaced."""
+    w, g = _hidden(df, "__want", "__got")
+    values = lambda c: F.transform_values(_map(_parsed(F.col(c))), lambda _, v: _tokens(F.to_json(v)))
+    keys = lambda c: F.map_keys(F.col(c))
+    differ = lambda k: ~_alike(F.try_element_at(F.col(w), k), F.try_element_at(F.col(g), k))
+    out = df.withColumns({w: values(expected), g: values(actual)})
+    parts = {"missing_keys": F.array_except(keys(w), keys(g)), "extra_keys": F.array_except(keys(g), keys(w)), "value_diffs": F.filter(F.array_intersect(keys(w), keys(g)), differ)}
+    return out.withColumns({name: F.array_sort(part) for name, part in parts.items()}).drop(w, g)
 
 
 #: Arguments that hold dates.
@@ -141,19 +200,22 @@ def judge_temporal(df: DataFrame, expected: str, actual: str, on: Column, mode:
 
 def judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """Add error, score, missing, extra, differing and verdict, in which missing calls go before extra ones and those before
-    differing arguments. Both columns hold JSON; nulls and broken JSON give an error and score 0."""
-
-    @F.pandas_udf("error string, score double, missing int, extra int, differing int")
-    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for wants, gots in pairs:
-            rows = []
-            for w, g in zip(wants, gots, strict=True):
-                (e1, want), (e2, got) = parse_calls(w), parse_calls(g)
-                rows.append((e1 or e2, 0.0, 0, 0, 0) if e1 or e2 else (None, *compare(want, got)))
-            yield pd.DataFrame(rows, columns=["error", "score", "missing", "extra", "differing"])
-
-    out = df.withColumn("__r", run(expected, actual)).select(*df.columns, "__r.*")
-    return out.withColumn("verdict", verdict())
+    differing arguments. Both columns hold JSON: a list of calls, one call, or an object with ``tool_calls``.
+
+    Null, empty and broken JSON (NaN among it), and objects that repeat a key, give INVALID_JSON, other forms SCHEMA_VIOLATION, both score 0;
+    the expected calls' error goes first. An expected call that equals a matched one isn't missing. Texts beyond the size of a
+    variant (128 MiB) count as broken. Columns of these names are replaced."""
+    w, g, wc, gc, m = _hidden(df, "__want", "__got", "__want_calls", "__got_calls", "__matched")
+    out = df.withColumns({w: _parsed(F.col(expected)), g: _parsed(F.col(actual))})
+    out = out.withColumns({wc: _calls(F.col(w)), gc: _calls(F.col(g))})
+    error = lambda v, calls: F.when(F.col(v).isNull(), "INVALID_JSON").when(F.col(calls).isNull(), "SCHEMA_VIOLATION")
+    out = out.withColumns({"error": F.coalesce(error(w, wc), error(g, gc)), m: _matched(F.col(wc), F.col(gc))})
+    n_want, n_got, state, ok = F.size(wc), F.size(gc), F.col(m), F.col("error").isNull()
+    score = F.when(n_want == 0, (n_got == 0).cast("double")).otherwise((state["n"] - state["differing"]) / F.greatest(n_want, n_got))
+    missing = F.size(F.filter(F.col(wc), lambda c: ~F.array_contains(state["matched"], c["same"])))
+    values = {"score": F.when(ok, score).otherwise(0.0), "missing": missing, "extra": F.size(state["free"]), "differing": state["differing"]}
+    out = out.withColumns({name: v if name == "score" else F.when(ok, v).otherwise(0) for name, v in values.items()})
+    return out.withColumn("verdict", verdict()).drop(w, g, wc, gc, m)
 
 
 def verdict() -> Column:
