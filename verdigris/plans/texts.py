@@ -193,10 +193,17 @@ v AS (SELECT o_orderkey, mode, CASE WHEN o_orderkey % 4 = 3 THEN 'OK' WHEN mode
 SELECT o_orderkey, mode, verdict, CASE WHEN verdict = 'OK' THEN 1.0 ELSE 0.0 END AS score FROM v"""
 
 
+def _task() -> Column:
+    return F.col("user_id") * 7 + F.col("event_id") % 7
+
+
+def _event() -> Column:
+    kind = F.col("event_type")
+    return F.when(kind == "signup", "enqueue").when(kind == "view", "fetch").when(kind == "purchase", "ack").otherwise("nack")
+
+
 def task_log(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
-    kind = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "view", "fetch").when(F.col("event_type") == "purchase", "ack").otherwise("nack")
-    return e.select((F.col("user_id") * 7 + F.col("event_id") % 7).alias("task"), F.col("ts").alias("at"), kind.alias("event"))
+    return table(spark, folder, "events").select(_task().alias("task"), F.col("ts").alias("at"), _event().alias("event"))
 
 
 TASK_SQL = """
@@ -229,9 +236,26 @@ def stream_once(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_retries(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors as failures of the user's task. The table is all there is, so nothing comes late."""
+    e = jobs.read_events(spark, folder).where("event_type = 'error'")
+    log = e.select(F.col("user_id").alias("task"), "ts", F.col("event_id").alias("seq"), F.lit("nack").alias("event"), F.lit(0).alias("consumer"))
+    return jobs.run_append(jobs.retries(log, "0 seconds"), "retries")
+
+
+def stream_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of tasks with five consumers, of whom one loses a task that it is silent on for a day."""
     e = jobs.read_events(spark, folder)
-    log = e.select(F.col("user_id").alias("task"), "ts", F.when(F.col("event_type") == "error", "nack").otherwise("ack").alias("event"))
-    return jobs.run_append(jobs.retries(log), "retries")
+    log = e.select(_task().alias("task"), "ts", F.col("event_id").alias("seq"), _event().alias("event"), (F.col("event_id") % 5).cast("int").alias("consumer"))
+    return jobs.run_append(jobs.work_queue(log, "0 seconds", 86_400, 5), "claims")
+
+
+_CLAIM_SQL = """
+WITH log AS (SELECT user_id * 7 + event_id % 7 AS task, ts, event_id, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'fetch' WHEN 'purchase' THEN 'ack' ELSE 'nack' END AS event FROM events),
+o AS (SELECT *, lead(ts) OVER w AS next, count(*) FILTER (event = 'ack') OVER w AS acks, date_trunc('millisecond', max(ts) OVER ()) + INTERVAL 999 MICROSECOND AS seen FROM log WINDOW w AS (PARTITION BY task ORDER BY ts, event_id)),
+f AS (SELECT *, count(*) FILTER (event = 'nack') OVER (PARTITION BY task, acks ORDER BY ts, event_id) AS failures FROM o)
+SELECT task, ts AS at, CASE WHEN failures < 3 THEN 'retry' ELSE 'dead' END AS route, failures, 0 AS handovers, NULL AS consumer FROM f WHERE event = 'nack'
+UNION ALL SELECT task, ts + to_days(k), CASE WHEN k < 3 THEN 'claim' ELSE 'dead' END, failures, k, (event_id % 5 + least(k, 2)) % 5
+FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE event = 'fetch' AND ts + to_days(k) <= seen AND (next IS NULL OR ts + to_days(k) < next)"""
 
 
 QUERIES = {
@@ -262,5 +286,6 @@ QUERIES = {
         "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, no",
     ),
     "stream_idempotency": (stream_once, "SELECT DISTINCT user_id || ':' || event_type AS key FROM events"),
+    "queue_claim": (stream_claims, _CLAIM_SQL),
     "queue_nack": (stream_retries, "SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS failures, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts) < 3 THEN 'retry' ELSE 'dead' END AS route FROM events WHERE event_type = 'error'"),
 }

@@ -1,8 +1,9 @@
-"""Structured Streaming twins of the trend, idempotency, session and retry operators."""
+"""Structured Streaming twins of the trend, idempotency, session and work-queue operators."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,15 +56,107 @@ def once_per_key(events: DataFrame, key: str, late: str = "60 days") -> DataFram
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).select(key)
 
 
-def retries(log: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """log: (task, ts, event). For each nack a row: task, failures so far, and whether the task is retried or dead. The
-    count of each task is keyed state."""
+_ROUTES = "task long, micros long, route string, failures long, handovers int, consumer int"
+_HELD = "at array<long>, seq array<long>, event array<string>, consumer array<int>, failures long, handovers int, holder int, since long, last long"
+_NEVER = -1
+
+
+@dataclass
+class _Task:
+    """One task of a work queue: events that wait for the watermark, and what the events before it made of the task."""
+
+    waiting: set[tuple[int, int, str, int]]
+    failures: int = 0
+    handovers: int = 0
+    holder: int = 0
+    since: int = _NEVER
+    last: int = 0
+
+    def routes(self, limit: int, idle: int, forget: int, consumers: int, most: int) -> Iterator[tuple]:
+        """Fold all up to ``limit``, in microseconds, in order of time; a handover due at an event's very time isn't made."""
+        ready = sorted(e for e in self.waiting if e[0] <= limit)
+        self.waiting.difference_update(ready)
+        for at, _, event, consumer in ready:
+            yield from self._hand_over(at - 1, idle, consumers, most)
+            if self.last + forget < at:
+                self.failures = 0
+            self.last, self.since = at, at if event == "fetch" else _NEVER
+            if event == "fetch":
+                self.holder, self.handovers = consumer, 0
+            elif event == "ack":
+                self.failures = 0
+            elif event == "nack":
+                self.failures += 1
+                yield at, "retry" if self.failures < most else "dead", self.failures, 0, None
+        yield from self._hand_over(limit, idle, consumers, most)
+        if self.last + forget <= limit:
+            self.failures = 0
+
+    def _hand_over(self, limit: int, idle: int, consumers: int, most: int) -> Iterator[tuple]:
+        while self.since != _NEVER and self.since + idle <= limit:
+            self.since += idle
+            self.handovers += 1
+            lost, at = self.handovers >= most, self.since
+            self.holder = self.holder if lost else (self.holder + 1) % consumers
+            yield at, "dead" if lost else "claim", self.failures, self.handovers, self.holder
+            self.since = _NEVER if lost else at
+
+    def finished(self) -> bool:
+        return not self.waiting and self.since == _NEVER and not self.failures
+
+    def wakes(self, idle: int, forget: int) -> int:
+        """When there is something to do without a new event, in microseconds."""
+        times = [e[0] for e in self.waiting]
+        if self.since != _NEVER:
+            times.append(self.since + idle)
+        return min(times, default=self.last + forget)
+
+
+def work_queue(log: DataFrame, late: str = "1 hour", idle_seconds: int = 60, consumers: int = 2, max_attempts: int = 3, forget_days: int = 60) -> DataFrame:
+    """What becomes of the tasks of a work queue, as its log of events arrives: (task, at, route, failures, handovers, consumer).
+
+    log: (task long, ts timestamp, seq long, event, consumer int), events enqueue, fetch, ack, nack; seq tells events of one time
+    apart, consumer is who fetched, from 0. A nack gives the route ``retry``, or ``dead`` from the ``max_attempts``-th since the
+    last ack. A task that nothing has been heard of for ``idle_seconds`` since it was fetched goes to the next consumer by a
+    timer (``claim``), again after as long, and is ``dead`` in place of its ``max_attempts``-th handover.
+
+    Events wait until the watermark, ``late`` behind the newest, has passed them and are folded in order of (ts, seq), so that
+    the routes don't depend on how events fall into batches. Later ones are left out, as are events without a time; an event
+    that is sent again (the same in all columns) counts once. A null event or consumer counts as enqueue and 0.
+
+    A task is forgotten with its ack, or ``forget_days`` after its last event, which also ends its count of failures, so that
+    the state has a row for each open task and never more events than ``late`` and one batch cover. Bound a batch by the
+    source's ``maxFilesPerTrigger``; with many open tasks set ``spark.sql.streaming.stateStore.providerClass`` to RocksDB's."""
+    idle, forget = idle_seconds * 1_000_000, forget_days * 86_400_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        stamps = sorted(t for b in batches for t, e in zip(b["ts"], b["event"], strict=True) if e == "nack")
-        rows = [(key[0], failures + i + 1, "retry" if failures + i + 1 < max_attempts else "dead") for i in range(len(stamps))]
-        state.update((failures + len(stamps),))
-        yield pd.DataFrame(rows, columns=["task", "failures", "route"]).astype({"task": "int64", "failures": "int64"})
-
-    return log.groupBy("task").applyInPandasWithState(step, "task long, failures long, route string", "failures long", "append", "NoTimeout")
+        old = state.get if state.exists else None
+        task = _Task(set(zip(*old[:4], strict=True)), *old[4:]) if old else _Task(set())
+        for b in batches:
+            task.waiting.update(zip(b["micros"].tolist(), b["seq"].tolist(), b["event"].tolist(), b["consumer"].tolist(), strict=True))
+        watermark = state.getCurrentWatermarkMs()
+        rows = [(key[0], *r) for r in task.routes(watermark * 1000 + 999, idle, forget, consumers, max_attempts)]
+        if task.finished():
+            if state.exists:
+                state.remove()
+        else:
+            held = [list(c) for c in zip(*task.waiting, strict=True)] or [[], [], [], []]
+            state.update((*held, task.failures, task.handovers, task.holder, task.since, task.last))
+            state.setTimeoutTimestamp(max(task.wakes(idle, forget) // 1000 - 1, watermark + 1))
+        columns = ["task", "micros", "route", "failures", "handovers", "consumer"]
+        if rows:
+            yield pd.DataFrame(rows, columns=columns).astype({"task": "Int64", "micros": "int64", "failures": "int64", "handovers": "int32", "consumer": "Int32"})
+
+    # Watermarks and timers count in milliseconds: times are cut to these for them, the full ones order the events.
+    known = log.where("ts IS NOT NULL").select(
+        "task", F.date_trunc("millisecond", "ts").alias("ts"), F.unix_micros("ts").alias("micros"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
+        F.coalesce("event", F.lit("enqueue")).alias("event"), F.coalesce("consumer", F.lit(0)).cast("int").alias("consumer"),
+    )
+    routes = known.withWatermark("ts", late).groupBy("task").applyInPandasWithState(step, _ROUTES, _HELD, "append", "EventTimeTimeout")
+    return routes.select("task", F.timestamp_micros("micros").cast("timestamp_ntz").alias("at"), "route", "failures", "handovers", "consumer")
+
+
+def retries(log: DataFrame, late: str = "1 hour", max_attempts: int = 3) -> DataFrame:
+    """For each nack of a log as ``work_queue`` takes it: task, failures so far, and whether the task is retried or dead."""
+    nacks = log.where("event IN ('nack', 'ack')")
+    return work_queue(nacks, late, max_attempts=max_attempts).select("task", "failures", "route")
