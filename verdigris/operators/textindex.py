@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
+from verdigris.functions import stems
 from verdigris.operators.retrieval import top_k
 from verdigris.sources.shared import new_folder, written
 
@@ -19,11 +20,13 @@ SMALL = 1_000_000
 @dataclass(frozen=True)
 class TextIndex:
     """``postings``: table (word, id, gain), bucketed by word and id, so that a hot word's rows are spread; the gain is the
-    word's share of a text's BM25 score. ``words``: (word, df, most), most being the word's largest gain."""
+    word's share of a text's BM25 score. ``words``: (word, df, most), most being the word's largest gain. With ``english``,
+    words are stems, and stop words are in no list."""
 
     spark: SparkSession
     table: str
     words: DataFrame
+    english: bool = False
 
     @property
     def postings(self) -> DataFrame:
@@ -33,14 +36,23 @@ class TextIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> TextIndex:
+def _words(text: Column, english: bool) -> Column:
+    words = S.tokens(F.regexp_replace(text, r"[^\p{L}\p{N}\s]", ""))
+    return F.filter(words, lambda w: ~w.isin(*stems.STOP_WORDS)) if english else words
+
+
+def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, english: bool = False) -> TextIndex:
     """docs: (id, text), ids unique. Words are what white space parts once all but letters, digits and white space has been
-    taken out, lower-cased. Texts without words, and null, are in no list and don't count. The table lies in the shared
-    folder; ``drop`` takes it out of the catalogue."""
+    taken out, lower-cased; with ``english``, their stems, without stop words. Texts without words, and null, are in no list
+    and don't count. The table lies in the shared folder; ``drop`` takes it out of the catalogue. Each distinct word is
+    stemmed once."""
     spark = docs.sparkSession
-    words = docs.select("id", S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", "")).alias("words"))
+    words = docs.select("id", _words(F.col("text"), english).alias("words"))
     counted = words.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("word")).groupBy("id", "doc_len", "word").agg(F.count("*").alias("tf"))
     counted = written(counted, "postings")
+    if english:
+        stemmed = written(counted.select("word").distinct().select("word", stems.english(F.col("word")).alias("stem")), "stems")
+        counted = written(counted.join(stemmed, "word").groupBy("id", "doc_len", F.col("stem").alias("word")).agg(F.sum("tf").alias("tf")), "postings")
     whole = counted.groupBy("id").agg(F.first("doc_len").alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     n, mean = whole["n"], whole["mean"] or 1.0
     df = counted.groupBy("word").agg(F.count("*").alias("df"))
@@ -49,7 +61,7 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> TextIndex:
     buckets, name, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), f"text_index_{uuid.uuid4().hex}", new_folder(spark, "text-index")
     rows = counted.join(df, "word").select("word", "id", gain.alias("gain")).repartition(buckets, "word", "id")
     rows.write.bucketBy(buckets, "word", "id").sortBy("word").option("path", folder).saveAsTable(name)
-    return TextIndex(spark, name, written(spark.table(name).groupBy("word").agg(F.count("*").alias("df"), F.max("gain").alias("most")), "words"))
+    return TextIndex(spark, name, written(spark.table(name).groupBy("word").agg(F.count("*").alias("df"), F.max("gain").alias("most")), "words"), english)
 
 
 def search(index: TextIndex, queries: DataFrame, limit: int | None = None, items: DataFrame | None = None) -> DataFrame:
@@ -60,7 +72,9 @@ def search(index: TextIndex, queries: DataFrame, limit: int | None = None, items
     that a hot word costs no more than the rarest of its query. With ``limit`` (then up to so many are returned, those with
     equal scores to nine digits by id), the candidates that the rarest word rates best are scored first, and of the others
     those alone that could still come among the best by the largest gains of their query's words."""
-    given = queries.select("qid", F.explode(F.array_distinct(S.tokens(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", "")))).alias("word"))
+    given = queries.select("qid", F.explode(F.array_distinct(_words(F.col("text"), index.english))).alias("word"))
+    if index.english:
+        given = written(given.select("qid", stems.english(F.col("word")).alias("word")).distinct(), "asked")
     small = given.limit(SMALL + 1).count() <= SMALL
     sent = F.broadcast if small else (lambda df: df)
     known = index.words.join(sent(given), "word", "right")

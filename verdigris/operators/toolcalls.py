@@ -7,12 +7,11 @@ they have the same tokens but for values, so that nested values are compared tok
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import fiscal
+from verdigris.functions.similarity import let
 
 #: Older names of tools.
 CANONICAL = {"datastream.get_data": "get_data", "refinitiv.get_data": "get_data", "datastream_get_data": "get_data", "refinitiv_get_data": "get_data"}
@@ -27,11 +26,6 @@ _NUMBER = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DI
 _NO_NAME = r'^(?:null|false|\[\]|\{\}|"s"|"[if]-?0(?:\.0+)?(?:[eE].*)?")$'
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, though it is named often."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
@@ -47,9 +41,9 @@ def _parsed(text: Column) -> Column:
 
     def whole(tokens: Column) -> Column:
         value = F.try_parse_json(F.array_join(F.transform(tokens, _mark), ""))
-        return _let(value, lambda v: F.when(F.size(_tokens(F.to_json(v))) == F.size(F.filter(tokens, lambda t: ~t.rlike(r"^\s"))), v))
+        return let(value, lambda v: F.when(F.size(_tokens(F.to_json(v))) == F.size(F.filter(tokens, lambda t: ~t.rlike(r"^\s"))), v))
 
-    return _let(_tokens(text), whole)
+    return let(_tokens(text), whole)
 
 
 def _map(value: Column) -> Column:
@@ -107,15 +101,15 @@ def _calls(value: Column) -> Column:
             name = F.when(first.isNull() | first.rlike(_NO_NAME), json("name")).otherwise(first)
             return F.struct(name.alias("name"), F.when(F.map_contains_key(m, "arguments"), json("arguments")).otherwise("{}").alias("arguments"))
 
-        return _let(_map(call), read)
+        return let(_map(call), read)
 
     def made(call: Column) -> Column:
         name = F.substr(call["name"], F.lit(3), F.length(call["name"]) - 3)
         known = F.coalesce(F.try_element_at(names, name), name)
-        return _let(_tokens(call["arguments"]), lambda t: F.struct(known.alias("name"), t.alias("tokens"), F.concat_ws("\n", known, _identity(t)).alias("same")))
+        return let(_tokens(call["arguments"]), lambda t: F.struct(known.alias("name"), t.alias("tokens"), F.concat_ws("\n", known, _identity(t)).alias("same")))
 
     right = lambda c: F.coalesce(c["name"].startswith('"s') & c["arguments"].startswith("{"), F.lit(False))
-    return _let(F.transform(_let(_map(value), items), fields), lambda calls: F.when(F.forall(calls, right), F.transform(calls, made)))
+    return let(F.transform(let(_map(value), items), fields), lambda calls: F.when(F.forall(calls, right), F.transform(calls, made)))
 
 
 def _matched(want: Column, got: Column) -> Column:
@@ -129,14 +123,14 @@ def _matched(want: Column, got: Column) -> Column:
         call_of = lambda i: F.get(got, i)
         perfect = lambda same: F.get(F.filter(same, lambda i: _alike(call["tokens"], call_of(i)["tokens"])), F.lit(0))
         same = F.filter(state["free"], lambda i: call_of(i)["name"] == call["name"])
-        best = _let(same, lambda s: F.struct(F.get(s, F.lit(0)).alias("first"), perfect(s).alias("perfect")))
+        best = let(same, lambda s: F.struct(F.get(s, F.lit(0)).alias("first"), perfect(s).alias("perfect")))
 
         def take(b: Column) -> Column:
             free = F.filter(state["free"], lambda i: i != F.coalesce(b["perfect"], b["first"]))
             taken = F.struct(free.alias("free"), F.array_append(state["matched"], call["same"]).alias("matched"), (state["n"] + 1).alias("n"), (state["differing"] + b["perfect"].isNull().cast("int")).alias("differing"))
             return F.when(b["first"].isNull(), state).otherwise(taken)
 
-        return _let(best, take)
+        return let(best, take)
 
     return F.aggregate(want, start, choose)
 

@@ -179,6 +179,13 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     return R.top_k(found.withColumn("score", F.round("score", 6)), "qid", "score", "id", 20).select("qid", "id", "score")
 
 
+def text_search_english(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by English stems and without stop words."""
+    index = once(spark, ("stems", folder), lambda: X.build(documents(spark, folder).select("id", "text"), english=True))
+    found = X.search(index, table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text"))
+    return R.top_k(found.withColumn("score", F.round("score", 6)), "qid", "score", "id", 20).select("qid", "id", "score")
+
+
 def text_search_memory(spark: SparkSession, folder: str) -> DataFrame:
     """Substring search without regard to case: documents that hold the whole text of a benchmark item."""
     q = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"))
@@ -293,6 +300,7 @@ g AS (SELECT qid, id, n_words, count(*) AS n, sum(ln(1 + (s.n - df + 0.5) / (df
       FROM x JOIN d USING (word) JOIN t USING (word), s GROUP BY 1, 2, 3 HAVING count(*) = n_words)
 SELECT qid, id, round(score, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) <= 20""",
     ),
+    "text_search_english": (text_search_english, None),
     "text_search_memory": (text_search_memory, "SELECT item_id AS qid, doc_id AS id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))"),
     "agg_doc_stats": (doc_stats, "SELECT lang, source, count(*) AS n, count(embedding) AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1, 2"),
     "agg_embedding_coverage": (embedding_coverage, "SELECT count(*) AS total, count(embedding) AS embedded, round(100.0 * count(embedding) / count(*), 4) AS pct FROM documents LEFT JOIN embeddings ON vec_id = doc_id"),
