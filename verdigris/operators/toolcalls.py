@@ -1,8 +1,8 @@
 """Comparing expected and actual tool calls, which are nested and unordered, by expressions alone.
 
-A JSON text is parsed once and written again with sorted keys, its values marked by kind: ``"s..."`` a text, ``"i..."`` a whole
-number, ``"f..."`` another number, with their digits as they were. Cut into tokens, two such texts have equal structure where
-they have the same tokens but for values, so that nested values are compared token by token, however deep they are.
+A JSON text is parsed once, its keys and values marked by kind: ``"s..."`` a text, ``"#..."`` a number with its digits as they
+were. Written again with sorted keys and cut into tokens, two values have equal structure where they have the same tokens but
+for texts and numbers, so that nested values are compared token by token, however deep they are.
 """
 
 from __future__ import annotations
@@ -17,41 +17,39 @@ from verdigris.functions.similarity import let
 CANONICAL = {"datastream.get_data": "get_data", "refinitiv.get_data": "get_data", "datastream_get_data": "get_data", "refinitiv_get_data": "get_data"}
 TOLERANCE = 1e-4
 
-#: A text, with the colon behind it if it is a key; a number; a word; a run of blanks; else one character.
-_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null|\s++|.'
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: A text, with the colon behind it if it is a key; a word; else one character, as JSON is written again.
+_TOKEN = rf"(?s){_TEXT}:?|true|false|null|."
+#: What goes before a number outside texts, and the number.
+_BEFORE_NUMBER = rf"(?s)\G((?:[^\"0-9-]|{_TEXT})*+)(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)"
 #: Texts that are read as numbers.
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
 #: Values that don't count as a name.
-_NO_NAME = r'^(?:null|false|\[\]|\{\}|"s"|"[if]-?0(?:\.0+)?(?:[eE].*)?")$'
+_NO_NAME = r'^(?:null|false|\[\]|\{\}|"s"|"#-?0(?:\.0+)?(?:[eE].*)?")$'
 
 
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def _mark(token: Column) -> Column:
-    number = F.concat(F.when(token.rlike("[.eE]"), '"f').otherwise('"i'), F.when(token == "-0", "0").otherwise(token), F.lit('"'))
-    is_text = token.startswith('"') & ~token.endswith(":")
-    return F.when(is_text, F.concat(F.lit('"s'), F.substr(token, F.lit(2)))).when(token.rlike(r"^-?\d"), number).otherwise(token)
-
-
 def _parsed(text: Column) -> Column:
-    """The variant of a JSON text, its values marked; null for null, broken JSON, text after its end and keys that repeat."""
+    """The variant of a list of the JSON text's value and a mark that no text holds; null for null, broken JSON and keys that
+    repeat. Text after the value's end keeps the mark from its place."""
+    texts = F.regexp_replace(text, rf"(?s)\"({_TEXT[1:-1]})\"", '"s$1"')
+    return F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(texts, _BEFORE_NUMBER, '$1"#$2"'), F.lit(',"e"]')))
 
-    def whole(tokens: Column) -> Column:
-        value = F.try_parse_json(F.array_join(F.transform(tokens, _mark), ""))
-        return let(value, lambda v: F.when(F.size(_tokens(F.to_json(v))) == F.size(F.filter(tokens, lambda t: ~t.rlike(r"^\s"))), v))
 
-    return let(_tokens(text), whole)
+def _read(parsed: Column) -> Column:
+    return F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == "e", F.lit(False))
 
 
-def _map(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>")
+def _map(value: Column, path: str = "$") -> Column:
+    return F.try_variant_get(value, path, "map<string,variant>")
 
 
-def _list(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+def _list(value: Column, path: str = "$") -> Column:
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def _value(token: Column) -> Column:
@@ -61,9 +59,9 @@ def _value(token: Column) -> Column:
 
 
 def _near(want: Column, got: Column) -> Column:
-    kind = F.substring(want, 1, 2)
-    comparable = (kind != F.substring(got, 1, 2)) | (kind == '"f')
+    kind, real = F.substring(want, 1, 2), "[.eE]"
     a, b = _value(want), _value(got)
+    comparable = (kind != F.substring(got, 1, 2)) | ((kind == '"#') & (want.rlike(real) | got.rlike(real) | ((a == 0) & (b == 0))))
     near = F.when(a == 0, F.abs(b) <= TOLERANCE).otherwise((F.abs(a) < float("inf")) & (F.abs(a - b) <= TOLERANCE * F.abs(a)))
     return (want == got) | F.coalesce(comparable & near, F.lit(False))
 
@@ -80,43 +78,41 @@ def _identity(tokens: Column) -> Column:
     def plain(t: Column) -> Column:
         number = F.substr(t, F.lit(3), F.length(t) - 3).try_cast("double")
         is_whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-        real = F.concat(F.lit('"i'), F.when(is_whole, number.cast("long").cast("string")).otherwise(number.cast("string")), F.lit('"'))
-        return F.when(t == "true", '"i1"').when(t == "false", '"i0"').when(t.startswith('"f') & t.endswith('"'), real).otherwise(t)
+        real = F.concat(F.lit('"#'), F.when(is_whole, number.cast("long").cast("string")).otherwise(number.cast("string")), F.lit('"'))
+        return F.when(t == "true", '"#1"').when(t == "false", '"#0"').when(t.rlike('^"#(?:-0"|.*[.eE])'), real).otherwise(t)
 
     return F.array_join(F.transform(tokens, plain), "")
 
 
-def _calls(value: Column) -> Column:
-    """array<struct<name, tokens, same>> of a parsed text: a list, one call, or an object with ``tool_calls``; names may be
+def _calls(parsed: Column) -> Column:
+    """array<struct<name, tokens>> of a parsed text: a list, one call, or an object with ``tool_calls``; names may be
     ``tool_name`` or ``name``. Null where the text has another form."""
     names = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
 
-    def items(m: Column) -> Column:
-        return F.when(F.map_contains_key(m, "tool_calls"), _list(F.try_element_at(m, F.lit("tool_calls")))).when(m.isNotNull(), F.array(value)).otherwise(_list(value))
+    def fields(m: Column) -> Column:
+        json = lambda key: F.to_json(F.try_element_at(m, F.lit(key)))
+        first = json("stool_name")
+        name = F.when(first.isNull() | first.rlike(_NO_NAME), json("sname")).otherwise(first)
+        return F.struct(name.alias("name"), F.when(F.map_contains_key(m, "sarguments"), json("sarguments")).otherwise("{}").alias("arguments"))
 
-    def fields(call: Column) -> Column:
-        def read(m: Column) -> Column:
-            json = lambda key: F.to_json(F.try_element_at(m, F.lit(key)))
-            first = json("tool_name")
-            name = F.when(first.isNull() | first.rlike(_NO_NAME), json("name")).otherwise(first)
-            return F.struct(name.alias("name"), F.when(F.map_contains_key(m, "arguments"), json("arguments")).otherwise("{}").alias("arguments"))
-
-        return let(_map(call), read)
+    def items(m: Column) -> Column:
+        calls = F.when(F.map_contains_key(m, "stool_calls"), _list(F.try_element_at(m, F.lit("stool_calls")))).when(m.isNull(), _list(parsed, "$[0]"))
+        several = F.transform(calls, lambda c: let(_map(c), fields))
+        return F.when(m.isNotNull() & ~F.map_contains_key(m, "stool_calls"), F.array(fields(m))).otherwise(several)
 
     def made(call: Column) -> Column:
         name = F.substr(call["name"], F.lit(3), F.length(call["name"]) - 3)
-        known = F.coalesce(F.try_element_at(names, name), name)
-        return let(_tokens(call["arguments"]), lambda t: F.struct(known.alias("name"), t.alias("tokens"), F.concat_ws("\n", known, _identity(t)).alias("same")))
+        return F.struct(F.coalesce(F.try_element_at(names, name), name).alias("name"), _tokens(call["arguments"]).alias("tokens"))
 
     right = lambda c: F.coalesce(c["name"].startswith('"s') & c["arguments"].startswith("{"), F.lit(False))
-    return let(F.transform(let(_map(value), items), fields), lambda calls: F.when(F.forall(calls, right), F.transform(calls, made)))
+    return let(let(_map(parsed, "$[0]"), items), lambda calls: F.when(F.forall(calls, right), F.transform(calls, made)))
 
 
 def _matched(want: Column, got: Column) -> Column:
     """struct(free, matched, n, differing) after the expected calls have chosen in order: a perfect match if there is one, else
     the first free call of the same name."""
     start = F.struct(
-        F.filter(F.sequence(F.lit(0), F.size(got)), lambda i: i < F.size(got)).alias("free"), F.array().cast("array<string>").alias("matched"), F.lit(0).alias("n"), F.lit(0).alias("differing")
+        F.filter(F.sequence(F.lit(0), F.size(got)), lambda i: i < F.size(got)).alias("free"), F.array().cast("array<struct<name:string,tokens:array<string>>>").alias("matched"), F.lit(0).alias("n"), F.lit(0).alias("differing")
     )
 
     def choose(state: Column, call: Column) -> Column:
@@ -127,7 +123,7 @@ def _matched(want: Column, got: Column) -> Column:
 
         def take(b: Column) -> Column:
             free = F.filter(state["free"], lambda i: i != F.coalesce(b["perfect"], b["first"]))
-            taken = F.struct(free.alias("free"), F.array_append(state["matched"], call["same"]).alias("matched"), (state["n"] + 1).alias("n"), (state["differing"] + b["perfect"].isNull().cast("int")).alias("differing"))
+            taken = F.struct(free.alias("free"), F.array_append(state["matched"], call).alias("matched"), (state["n"] + 1).alias("n"), (state["differing"] + b["perfect"].isNull().cast("int")).alias("differing"))
             return F.when(b["first"].isNull(), state).otherwise(taken)
 
         return let(best, take)
@@ -151,10 +147,11 @@ def diff_arguments(df: DataFrame, expected: str, actual: str) -> DataFrame:
     differ), sorted arrays of text, of two JSON objects of arguments; null where either is no object. Columns of these names
     are replaced."""
     w, g = _hidden(df, "__want", "__got")
-    values = lambda c: F.transform_values(_map(_parsed(F.col(c))), lambda _, v: _tokens(F.to_json(v)))
+    values = lambda m: F.transform_values(F.transform_keys(m, lambda k, _: F.substr(k, F.lit(2))), lambda _, v: _tokens(F.to_json(v)))
+    given = lambda c: let(_parsed(F.col(c)), lambda v: F.when(_read(v), values(_map(v, "$[0]"))))
     keys = lambda c: F.map_keys(F.col(c))
     differ = lambda k: ~_alike(F.try_element_at(F.col(w), k), F.try_element_at(F.col(g), k))
-    out = df.withColumns({w: values(expected), g: values(actual)})
+    out = df.withColumns({w: given(expected), g: given(actual)})
     parts = {"missing_keys": F.array_except(keys(w), keys(g)), "extra_keys": F.array_except(keys(g), keys(w)), "value_diffs": F.filter(F.array_intersect(keys(w), keys(g)), differ)}
     return out.withColumns({name: F.array_sort(part) for name, part in parts.items()}).drop(w, g)
 
@@ -202,11 +199,13 @@ def judge(df: DataFrame, expected: str, actual: str) -> DataFrame:
     w, g, wc, gc, m = _hidden(df, "__want", "__got", "__want_calls", "__got_calls", "__matched")
     out = df.withColumns({w: _parsed(F.col(expected)), g: _parsed(F.col(actual))})
     out = out.withColumns({wc: _calls(F.col(w)), gc: _calls(F.col(g))})
-    error = lambda v, calls: F.when(F.col(v).isNull(), "INVALID_JSON").when(F.col(calls).isNull(), "SCHEMA_VIOLATION")
+    error = lambda v, calls: F.when(~_read(F.col(v)), "INVALID_JSON").when(F.col(calls).isNull(), "SCHEMA_VIOLATION")
     out = out.withColumns({"error": F.coalesce(error(w, wc), error(g, gc)), m: _matched(F.col(wc), F.col(gc))})
     n_want, n_got, state, ok = F.size(wc), F.size(gc), F.col(m), F.col("error").isNull()
     score = F.when(n_want == 0, (n_got == 0).cast("double")).otherwise((state["n"] - state["differing"]) / F.greatest(n_want, n_got))
-    missing = F.size(F.filter(F.col(wc), lambda c: ~F.array_contains(state["matched"], c["same"])))
+    same = lambda c: F.concat_ws("\n", c["name"], _identity(c["tokens"]))
+    lost = let(F.transform(state["matched"], same), lambda found: F.size(F.filter(F.col(wc), lambda c: ~F.array_contains(found, same(c)))))
+    missing = F.when(state["n"] == n_want, 0).otherwise(lost)
     values = {"score": F.when(ok, score).otherwise(0.0), "missing": missing, "extra": F.size(state["free"]), "differing": state["differing"]}
     out = out.withColumns({name: v if name == "score" else F.when(ok, v).otherwise(0) for name, v in values.items()})
     return out.withColumn("verdict", verdict()).drop(w, g, wc, gc, m)
