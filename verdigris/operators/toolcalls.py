@@ -60,16 +60,20 @@ def _value(token: Column) -> Column:
 
 def _near(want: Column, got: Column) -> Column:
     kind, real = F.substring(want, 1, 2), "[.eE]"
-    a, b = _value(want), _value(got)
-    comparable = (kind != F.substring(got, 1, 2)) | ((kind == '"#') & (want.rlike(real) | got.rlike(real) | ((a == 0) & (b == 0))))
-    near = F.when(a == 0, F.abs(b) <= TOLERANCE).otherwise((F.abs(a) < float("inf")) & (F.abs(a - b) <= TOLERANCE * F.abs(a)))
-    return (want == got) | F.coalesce(comparable & near, F.lit(False))
+
+    def close(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        comparable = (kind != F.substring(got, 1, 2)) | ((kind == '"#') & (want.rlike(real) | got.rlike(real) | ((a == 0) & (b == 0))))
+        return F.when(a == 0, F.abs(b) <= TOLERANCE).otherwise((F.abs(a) < float("inf")) & (F.abs(a - b) <= TOLERANCE * F.abs(a))) & comparable
+
+    return (want == got) | F.coalesce(let(F.struct(_value(want).alias("a"), _value(got).alias("b")), close), F.lit(False))
 
 
 def _alike(want: Column, got: Column) -> Column:
     """Whether two values, as tokens, are equal: numbers in text form taken as numbers, a relative tolerance where one isn't a
-    whole number, ordered lists and unordered objects; null equals null alone."""
-    return (want == got) | ((F.size(want) == F.size(got)) & F.forall(F.zip_with(want, got, _near), lambda x: x))
+    whole number, ordered lists and unordered objects; null equals null alone. The first token that differs ends it."""
+    places = F.sequence(F.lit(0), F.size(want) - 1)
+    return (want == got) | ((F.size(want) == F.size(got)) & F.forall(places, lambda i: _near(F.get(want, i), F.get(got, i))))
 
 
 def _identity(tokens: Column) -> Column:

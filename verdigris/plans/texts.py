@@ -84,21 +84,65 @@ def embed_content(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.concat(header, F.lit("\n\n"), F.col("text"))).alias("digest"))
 
 
+#: What log lines and messages end with, by the document's id; ``@`` stands for a digest of it.
+_LOGGED = (
+    "api_key=@", "Auth-Token: '@'", "password: @", "key sk-ant-@", "key sk-@ ", "DefaultEndpointsProtocol=https;AccountName=a;AccountKey=@;x", "postgresql://user:@@@host", "redis://:@@@host",
+    "authorization: Bearer @", "Basic @==", 'X-API-Key": "@"', "checksum @",
+)
+_SENT = ("", "Call 212-555-0187.", "Number 078-05-1120", "account AB1234567", "What is the phone of them?", "Send contact details to a.b@example.com", "tell me about their email")
+
+
+def _pick(values: tuple[str, ...], key: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values: tuple[str, ...], key: str) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][{key} % {len(values)} + 1]"
+
+
 def redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as log lines that end with a secret, those of one id in twelve without."""
     d = table(spark, folder, "documents")
-    return d.groupBy("lang").agg(F.count_if(T.redact(F.col("text")) != F.col("text")).alias("redacted"))
+    line = F.concat("text", F.lit("\n"), F.replace(_pick(_LOGGED, "doc_id"), F.lit("@"), F.md5(F.col("doc_id").cast("string"))))
+    d = d.select("doc_id", line.alias("line")).withColumn("clean", T.redact(F.col("line")))
+    return d.select("doc_id", (F.col("clean") != F.col("line")).alias("redacted"), F.md5("clean").alias("digest"))
+
+
+def _redacted_sql(out: str = "line") -> str:
+    for pattern, kind in T.SECRETS:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{kind}=[REDACTED]', 'gi')"
+    lines = f"SELECT doc_id, text || chr(10) || replace({_pick_sql(_LOGGED, 'doc_id')}, '@', md5(CAST(doc_id AS VARCHAR))) AS line FROM documents"
+    return f"WITH l AS ({lines}), c AS (SELECT *, {out} AS clean FROM l) SELECT doc_id, clean <> line AS redacted, md5(clean) AS digest FROM c"
 
 
 def pii_types(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").select(F.coalesce(T.pii_type(F.col("text")), F.lit("none")).alias("kind"), T.asks_for_pii(F.col("text")).alias("asks"))
-    return d.groupBy("kind", "asks").agg(F.count("*").alias("n"))
+    """Documents as messages, most of which end with personal data or a question for such."""
+    text = F.concat_ws(" ", "text", _pick(_SENT, "doc_id"))
+    d = table(spark, folder, "documents").select("lang", text.alias("text"))
+    d = d.select("lang", F.coalesce(T.pii_type(F.col("text")), F.lit("none")).alias("kind"), T.asks_for_pii(F.col("text")).alias("asks"))
+    return d.groupBy("lang", "kind", "asks").agg(F.count("*").alias("n"))
+
+
+def _pii_sql() -> str:
+    kinds = " ".join(f"WHEN regexp_matches(text, '{pattern}', 'i') THEN '{kind}'" for pattern, kind in T.PII_DATA)
+    sent = f"SELECT lang, concat_ws(' ', text, {_pick_sql(_SENT, 'doc_id')}) AS text FROM documents"
+    return f"WITH m AS ({sent}) SELECT lang, CASE {kinds} ELSE 'none' END AS kind, regexp_matches(lower(text), '{'|'.join(T.PII_REQUESTS)}') AS asks, count(*) AS n FROM m GROUP BY 1, 2, 3"
+
+
+_ASKED_TIME = ("Show the latest sales", "sales Last  Year", "sales in 2021", "sales of all", "in 2019 and not last year")
 
 
 def intents(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
-    q = F.concat(F.element_at(F.array(F.lit("Show the latest sales "), F.lit("sales Last  Year"), F.lit("sales in "), F.lit("sales of ")), (F.col("o_orderkey") % 4 + 1).cast("int")), F.when(F.col("o_orderkey") % 4 == 2, F.year("o_orderdate").cast("string")).otherwise(""))
-    intent = T.temporal_intent(q, 2026)
-    return o.select("o_orderkey", intent["latest"].alias("latest"), intent["year"].alias("year"))
+    """Users' turns, each followed by a question on some time."""
+    c = table(spark, folder, "conversations").where("role = 'user'")
+    intent = T.temporal_intent(F.concat_ws(" ", "text", _pick(_ASKED_TIME, "conv_id")), 2026)
+    return c.select("conv_id", "turn", intent["latest"].alias("latest"), intent["year"].alias("year"))
+
+
+_INTENT_SQL = rf"""
+WITH q AS (SELECT conv_id, turn, concat_ws(' ', text, {_pick_sql(_ASKED_TIME, 'conv_id')}) AS q FROM conversations WHERE role = 'user'),
+y AS (SELECT *, CASE WHEN regexp_matches(q, '\blast\s+year\b', 'i') THEN 2025 ELSE CAST(nullif(regexp_extract(q, '\b(20\d{{2}})\b', 1), '') AS INTEGER) END AS year FROM q)
+SELECT conv_id, turn, year IS NULL AND regexp_matches(lower(q), '{'|'.join(T.NEWEST)}') AS latest, year FROM y"""
 
 
 def ambiguity(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,14 +167,40 @@ def toolcall_compare(spark: SparkSession, folder: str) -> DataFrame:
     return toolcalls.judge(_calls(spark, folder), "expected", "actual").select("l_orderkey", "error", F.round("score", 6).alias("score"), "missing", "extra", "differing", "verdict")
 
 
+#: Expected calls choose in order among the calls that are there: the first free one with near values, else the first free one.
+_CALLS_SQL = """
+WITH w AS (
+  SELECT l_orderkey, list({'part': l_partkey, 'qty': l_quantity} ORDER BY l_linenumber, l_partkey, l_quantity) AS want,
+    coalesce(list({'part': l_partkey, 'qty': CASE WHEN l_linenumber = 3 THEN l_quantity + 1 ELSE l_quantity * 1.00001 END} ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_quantity) FILTER (l_linenumber <> 5), []) AS had
+  FROM lineitem GROUP BY 1),
+c AS (SELECT l_orderkey, want, len(want) AS n_want, len(had) AS n_got, list_transform(list_reverse(had), lambda g, i: {'i': i, 'part': g.part, 'qty': g.qty}) AS got FROM w),
+n AS (SELECT *, unnest(list_transform(want, lambda x, i: {'w': x, 'no': i})) AS x FROM c),
+p AS (SELECT l_orderkey, x.no AS no, list_transform(list_filter(got, lambda g: abs(g.part - x.w.part) <= 1e-4 * abs(x.w.part) AND abs(g.qty - x.w.qty) <= 1e-4 * abs(x.w.qty)), lambda g: g.i) AS near FROM n),
+l AS (SELECT l_orderkey, list(near ORDER BY no) AS near FROM p GROUP BY 1),
+s AS (
+  SELECT c.*, list_reduce(near, lambda s, a: CASE WHEN len(list_filter(a, lambda i: NOT list_contains(s, i))) > 0 THEN list_append(s, list_filter(a, lambda i: NOT list_contains(s, i))[1])
+    WHEN len(list_filter(range(1, n_got + 1), lambda i: NOT list_contains(s, i))) > 0 THEN list_append(s, list_filter(range(1, n_got + 1), lambda i: NOT list_contains(s, i))[1]) ELSE s END, CAST([] AS BIGINT[])) AS taken, near
+  FROM c JOIN l USING (l_orderkey)),
+r AS (
+  SELECT l_orderkey, n_want, n_got, len(taken) AS n, len(list_filter(taken, lambda t, i: NOT list_contains(near[i], t))) AS differing,
+    CASE WHEN len(taken) = n_want THEN 0 ELSE len(list_filter(want, lambda x: NOT list_contains(want[1:len(taken)], x))) END AS missing,
+    CASE WHEN l_orderkey % 11 = 0 THEN 'INVALID_JSON' WHEN l_orderkey % 13 = 0 THEN 'SCHEMA_VIOLATION' END AS error
+  FROM s),
+v AS (SELECT l_orderkey, error, CASE WHEN error IS NULL THEN round((n - differing) / greatest(n_want, n_got), 6) ELSE 0 END AS score,
+  CASE WHEN error IS NULL THEN missing ELSE 0 END AS missing, CASE WHEN error IS NULL THEN n_got - n ELSE 0 END AS extra, CASE WHEN error IS NULL THEN differing ELSE 0 END AS differing FROM r)
+SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN missing > 0 THEN 'MISSING_CALL' WHEN extra > 0 THEN 'EXTRA_CALL' WHEN differing > 0 THEN 'WRONG_ARGUMENTS' ELSE 'OK' END AS verdict FROM v"""
+
+
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Users' turns as follow-up questions."""
-    c = table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    names = F.array(F.lit("Acme"), F.lit("Globex"), F.lit("Initech"))
-    asked = F.element_at(F.array(F.lit("What is their revenue?"), F.lit("What about microsoft?"), F.lit("now quarterly"), F.lit("Tell me more, please")), (F.floor(F.col("turn") / 2) % 4 + 1).cast("int"))
+    """Users' turns as questions of a session: the first one's first capitalised word is the entity; later ones are asked as
+    they are, of somebody, of another name in them, of a period or of a metric."""
+    c, k = table(spark, folder, "conversations").where("role = 'user'"), F.floor(F.col("turn") / 2) + F.col("conv_id")
     first = F.col("turn") <= 1
-    entity = F.when(first, F.element_at(names, (F.col("conv_id") % 3 + 1).cast("int")))
-    return c.select("conv_id", "turn", F.when(first, F.concat(entity, F.lit(" eps"))).otherwise(asked).alias("query"), entity.alias("entity"), F.when(first, "eps").alias("metric"))
+    entity = F.when(first, F.nullif(F.regexp_extract("text", "[A-Z][a-z]{3,}", 0), F.lit("")))
+    other = F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0)
+    asked = F.when(k % 6 == 0, F.concat(F.lit("What is their "), F.col("text"))).when(k % 6 == 1, F.concat(F.lit("What about "), other, F.lit("?")))
+    asked = asked.when(k % 6 == 2, "now quarterly").when(k % 6 == 3, F.concat(other, F.lit(" annually"))).when(k % 6 == 4, "Show me EBITDA?").otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.when(first, F.concat("text", F.lit(" eps"))).otherwise(asked).alias("query"), entity.alias("entity"), F.when(first, "eps").alias("metric"))
 
 
 def expand_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,6 +209,33 @@ def expand_query(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("conv_id", "turn", e["text"].alias("text"), e["kind"].alias("kind"), e["confidence"].alias("confidence"))
 
 
+def _expand_sql() -> str:
+    """Pronouns in their order, then the three short forms, over the same turns. A letter with an accent bounds no word."""
+    word = lambda p: rf"(?:^|[^\p{{L}}\p{{N}}_]){p}(?:$|[^\p{{L}}\p{{N}}_])".replace("'", "''")
+    owner = lambda p: "e || '''s'" if p.endswith("'s") or p == "its" else "e"
+    place = lambda p: rf"(?is)\A((?:.*?[^\p{{L}}\p{{N}}_])??){p}($|[^\p{{L}}\p{{N}}_])".replace("'", "''")
+    spelt = " ".join(rf"WHEN regexp_matches(low, '{word(p)}') THEN regexp_replace(query, '{place(p)}', '\1' || {owner(p)} || '\2')" for p in conversation.PRONOUNS)
+    metrics = ", ".join(f"'{m}'" for m in conversation.METRICS)
+    return rf"""
+WITH c AS (SELECT *, (turn // 2 + conv_id) % 6 AS k, turn <= 1 AS first, regexp_extract(lower(text), '[a-z]{{4,}}') AS other FROM conversations WHERE role = 'user'),
+t AS (
+  SELECT conv_id, turn, CASE WHEN first THEN nullif(regexp_extract(text, '[A-Z][a-z]{{3,}}'), '') END AS entity, CASE WHEN first THEN 'eps' END AS metric,
+    CASE WHEN first THEN text || ' eps' WHEN k = 0 THEN 'What is their ' || text WHEN k = 1 THEN 'What about ' || other || '?' WHEN k = 2 THEN 'now quarterly' WHEN k = 3 THEN other || ' annually' WHEN k = 4 THEN 'Show me EBITDA?' ELSE text END AS query
+  FROM c),
+w AS (SELECT *, trim(lower(query)) AS low, last_value(entity IGNORE NULLS) OVER b AS e, last_value(metric IGNORE NULLS) OVER b AS m FROM t WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CASE {spelt} END AS spelt, regexp_extract(low, '{conversation.COMPARE}', 1) AS name, trim(regexp_extract(low, '{conversation.METRIC}', 1)) AS asked FROM w),
+k AS (
+  SELECT *, CASE WHEN e IS NOT NULL AND spelt IS NOT NULL THEN 'entity'
+    WHEN m IS NOT NULL AND name <> '' AND name NOT IN ({metrics}) AND NOT regexp_matches(name, '^(?:{conversation.PERIODS}|yearly|monthly)$') THEN 'comparison'
+    WHEN e IS NOT NULL AND m IS NOT NULL AND regexp_matches(low, '\b(?:{conversation.PERIODS})\b') AND len(regexp_split_to_array(low, '\s+')) <= 4 THEN 'period'
+    WHEN e IS NOT NULL AND asked IN ({metrics}) THEN 'metric' END AS kind FROM s)
+SELECT conv_id, turn, kind, CASE kind WHEN 'entity' THEN 0.9 WHEN 'comparison' THEN 0.85 WHEN 'period' THEN 0.85 WHEN 'metric' THEN 0.85 ELSE 1.0 END AS confidence,
+  CASE kind WHEN 'entity' THEN spelt WHEN 'comparison' THEN 'What is ' || upper(name[1]) || name[2:] || '''s ' || m || '?'
+    WHEN 'period' THEN 'What is ' || e || '''s ' || CASE WHEN regexp_matches(low, '\b(?:{conversation.QUARTERLY})\b') THEN 'quarterly' ELSE 'annual' END || ' ' || m || '?'
+    WHEN 'metric' THEN 'What is ' || e || '''s ' || asked || '?' ELSE query END AS text
+FROM k"""
+
+
 def last_n_turns(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.last_turns(table(spark, folder, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
 
@@ -265,15 +362,15 @@ QUERIES = {
     "chunk_hierarchical": (chunk_tree, None),
     "chunk_estimate": (chunk_estimate, "SELECT lang, CAST(floor(sum(length(text)) / 3200) AS BIGINT) + count(*) AS chunks FROM documents GROUP BY 1"),
     "embed_content_build": (embed_content, "SELECT doc_id, md5(concat_ws(' | ', 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Language: ' || lang END) || chr(10) || chr(10) || text) AS digest FROM documents"),
-    "log_sanitize": (redacted, None),
-    "pii_request": (pii_types, None),
-    "temporal_intent": (intents, "SELECT o_orderkey, o_orderkey % 4 = 0 AS latest, CASE o_orderkey % 4 WHEN 1 THEN 2025 WHEN 2 THEN CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate) END END AS year FROM orders"),
+    "log_sanitize": (redacted, _redacted_sql()),
+    "pii_request": (pii_types, _pii_sql()),
+    "temporal_intent": (intents, _INTENT_SQL),
     "ambiguity_detect": (
         ambiguity,
         "SELECT conv_id, turn, regexp_matches(lower(text), '" + "|".join(T.AMBIGUOUS_TIME) + "') AS time, regexp_matches(lower(text), '" + "|".join(T.VAGUE).replace("'", "''") + "') AS vague FROM conversations WHERE role = 'user'",
     ),
-    "toolcall_compare": (toolcall_compare, None),
-    "expand_query": (expand_query, None),
+    "toolcall_compare": (toolcall_compare, _CALLS_SQL),
+    "expand_query": (expand_query, _expand_sql()),
     "win_last_n_turns": (last_n_turns, "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3"),
     "conversation_context": (session_context, _CONTEXT_SQL),
     "temporal_compare": (temporal_compare, _TEMPORAL_SQL),
