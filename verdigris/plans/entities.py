@@ -150,6 +150,18 @@ def extract_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def _extract_sql() -> str:
+    """Four lists of candidates one after the other; of those with one key the first stays."""
+    cap, tick, poss, term = (p.replace("'", "''") for p in (T._CAPITALISED, T._TICKER, T._POSSESSIVE, T._BEFORE_TERM))
+    no = ", ".join(f"'{t}'" for t in T.NO_TICKERS)
+    return rf"""{PARTS.rstrip()},
+q AS (SELECT eid, 'What is ' || name || '''s revenue, and how did ' || ticker || ' compare with globex earnings?' AS q FROM parts),
+f AS (SELECT eid, list_concat(list_concat(regexp_extract_all(q, '{cap}', 1), list_filter(regexp_extract_all(q, '{tick}', 1), lambda t: t NOT IN ({no}))),
+  list_transform(list_concat(regexp_extract_all(q, '{poss}', 1), regexp_extract_all(q, '{term}', 1)), lambda w: upper(w[1]) || lower(w[2:]))) AS found FROM q),
+k AS (SELECT eid, list_transform(found, lambda n: {{'k': trim(regexp_replace(trim(lower(n)), '\s+(inc\.?|corp\.?|ltd\.?|llc|plc)$', '')), 'n': n}}) AS named FROM f),
+u AS (SELECT eid, list_filter(named, lambda s: length(s.k) >= 2 AND s.k NOT IN ('what', 'how') AND trim(lower(s.n)) NOT IN ('what', 'how')) AS u FROM k)
+SELECT eid, array_to_string(list_transform(list_filter(u, lambda s, i: list_position(list_transform(u, lambda x: x.k), s.k) = i), lambda s: s.n), '|') AS found FROM u"""
+
 
 QUERIES = {
     "entity_normalize": (normalized, PARTS + f"SELECT eid, {_NORMAL} AS normal FROM parts"),
@@ -206,5 +218,5 @@ s AS (SELECT qid, eid, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_i
 everything AS (SELECT * FROM known UNION ALL SELECT qid, eid, 5, sim FROM s WHERE sim > 0.3)
 SELECT qid, eid, step, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM everything QUALIFY row_number() OVER (PARTITION BY qid ORDER BY step, CASE WHEN step = 5 THEN confidence ELSE 0 END DESC, eid) = 1""",
     ),
-    "entity_extract": (extract_names, None),
+    "entity_extract": (extract_names, _extract_sql()),
 }

@@ -66,6 +66,32 @@ def found_sections(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "section", "at", "n_chars", F.length("body").alias("clean_chars"))
 
 
+def _sections_sql() -> str:
+    """The reports put together alike. A pattern's matches are counted off by the pieces between them; the first one that is
+    no entry of the contents, of the first pattern that has such, is the heading."""
+
+    def report(headings: dict[str, str]) -> str:
+        quoted = [h.replace("'", "''") for h in headings.values()]
+        contents = " ".join(f"{h} {3 + 9 * i}" for i, h in enumerate(quoted)) + " Item 99 "
+        step = f"CAST(ceil(length(text) / {len(quoted)}) AS BIGINT)"
+        return f"'{contents}' || " + " || ".join(f"' {h} ' || substr(text, {step} * {i} + 1, {step})" for i, h in enumerate(quoted))
+
+    given = [(q, s, i, p) for q, table_ in ((False, T.SECTIONS), (True, T.QUARTERLY_SECTIONS)) for s, patterns in table_.items() for i, p in enumerate(patterns)]
+    values = ", ".join(f"({q}, '{s}', {i}, '{p.replace(chr(39), chr(39) * 2)}')" for q, s, i, p in given)
+    return rf"""
+WITH p(quarterly, section, no, pattern) AS (VALUES {values}),
+f AS (SELECT doc_id, doc_id % 2 = 1 AS quarterly, CASE WHEN doc_id % 2 = 1 THEN {report(QUARTERLY_HEADINGS)} ELSE {report(HEADINGS)} END AS filing FROM documents),
+m AS (SELECT doc_id, section, no, lower(filing) AS low, regexp_extract_all(lower(filing), pattern) AS matches, regexp_split_to_array(lower(filing), pattern) AS pieces FROM f JOIN p USING (quarterly)),
+a AS (SELECT doc_id, section, no, low, list_transform(range(1, len(matches) + 1), lambda i: CAST(1 + length(array_to_string(pieces[1:i], '')) + length(array_to_string(matches[1:i - 1], '')) AS INTEGER)) AS places FROM m),
+b AS (SELECT doc_id, section, no, list_filter(places, lambda place: NOT regexp_matches(substr(low, place, 150), '\d{{1,3}}\s+item\s*\d'))[1] AS place FROM a),
+c AS (SELECT doc_id, section, arg_min(place, no) AS place FROM b WHERE place IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT c.*, filing, coalesce(lead(place) OVER (PARTITION BY doc_id ORDER BY place, section), length(filing) + 1) - place AS n_chars FROM c JOIN f USING (doc_id)),
+e AS (SELECT *, regexp_replace(regexp_replace(substr(filing, place, n_chars), '^\s+|\s+$', '', 'g'), '(?si)^.*?item\s*\d+[a-z]?\.?\s*[-–—]?\s*', '') AS body FROM d),
+l AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '(\d+\s*)?table of contents(\s*\d+)?', '', 'gi'), '[ \t\r]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^\d{{1,3}}$')) AS lines FROM e),
+n AS (SELECT *, length(trim(array_to_string(list_filter(lines, lambda x, i: x <> '' OR (i > 1 AND lines[i - 1] <> '')), chr(10)))) AS clean_chars FROM l)
+SELECT doc_id, section, place AS "at", n_chars, clean_chars FROM n WHERE clean_chars > 100"""
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk(table(spark, folder, "documents"), "doc_id", "text", 1000, 200, 100)
 
@@ -357,7 +383,7 @@ FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE event = 'fetch' AND ts + to_days(k
 
 QUERIES = {
     "html_clean": (html_clean, _html_sql()),
-    "section_find": (found_sections, None),
+    "section_find": (found_sections, _sections_sql()),
     "chunk_split": (chunks, None),
     "chunk_hierarchical": (chunk_tree, None),
     "chunk_estimate": (chunk_estimate, "SELECT lang, CAST(floor(sum(length(text)) / 3200) AS BIGINT) + count(*) AS chunks FROM documents GROUP BY 1"),
