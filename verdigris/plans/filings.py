@@ -12,6 +12,7 @@ from verdigris.operators import cases as C
 from verdigris.operators import chunking
 from verdigris.operators import reports as R
 from verdigris.operators import retrieval
+from verdigris.plans import chunk_sql
 from verdigris.plans.retrieval import word_search
 from verdigris.sources.tables import table
 
@@ -193,8 +194,16 @@ QUERIES = {
 w AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'Fiscal Year ' || fy WHEN fq IS NOT NULL AND fy IS NOT NULL THEN 'Q' || fq || ' ' || fy ELSE month END AS period FROM m)
 SELECT o_orderkey, 'Company: ' || CASE WHEN o_orderkey % 5 <> 0 THEN 'Company ' || o_custkey ELSE 'Unknown Company' END || ' (' || CASE WHEN o_orderkey % 7 <> 0 THEN 'TK' ELSE 'UNKN' END || ')' || chr(10) || 'Filing: ' || {_SQL_FORM} || coalesce(', ' || period, '') || chr(10) || 'Section: ' || {_SQL_LABEL} || chr(10) || chr(10) AS prefix FROM w""",
     ),
-    "chunk_section": (section_chunks, None),
-    "children_backfill": (children_backfill, None),
+    "chunk_section": (
+        section_chunks,
+        chunk_sql.sections("SELECT doc_id AS key, lang AS section, text, 'Source: ' || coalesce(lang, '?') || chr(10) || chr(10) AS head FROM documents", 1200, 200, 100),
+    ),
+    "children_backfill": (
+        children_backfill,
+        "WITH bare AS (SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 1 AND l_orderkey IS NOT NULL)) SELECT id AS parent_id, id || '_child_' || chunk_no AS id, chunk FROM ("
+        + chunk_sql.numbered("bare", "id", "text", 512, 64, 50)
+        + ")",
+    ),
     "fixture_id_refresh": (
         fixture_id_refresh,
         r"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
 from verdigris.operators import chunking, conversation, sections, tasks, toolcalls
+from verdigris.plans import chunk_sql
 from verdigris.sources import formats
 from verdigris.sources.shared import new_folder
 from verdigris.sources.tables import table
@@ -384,8 +385,8 @@ FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE event = 'fetch' AND ts + to_days(k
 QUERIES = {
     "html_clean": (html_clean, _html_sql()),
     "section_find": (found_sections, _sections_sql()),
-    "chunk_split": (chunks, None),
-    "chunk_hierarchical": (chunk_tree, None),
+    "chunk_split": (chunks, chunk_sql.numbered("documents", "doc_id", "text", 1000, 200, 100)),
+    "chunk_hierarchical": (chunk_tree, chunk_sql.hierarchy("documents", "doc_id", "text")),
     "chunk_estimate": (chunk_estimate, "SELECT lang, CAST(floor(sum(length(text)) / 3200) AS BIGINT) + count(*) AS chunks FROM documents GROUP BY 1"),
     "embed_content_build": (embed_content, "SELECT doc_id, md5(concat_ws(' | ', 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Language: ' || lang END) || chr(10) || chr(10) || text) AS digest FROM documents"),
     "log_sanitize": (redacted, _redacted_sql()),
