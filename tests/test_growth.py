@@ -1,8 +1,9 @@
 """Queries' steps on copies and in bounded memory: nothing is expanded that only the best are wanted of."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from verdigris.operators import entities
+from verdigris.operators import entities, nearest, retrieval
 
 
 def test_resolve_without_pairs_of_copies(spark, monkeypatch):
@@ -14,3 +15,23 @@ def test_resolve_without_pairs_of_copies(spark, monkeypatch):
     q = spark.range(1200).select(F.col("id").alias("qid"), F.get(F.array(*map(F.lit, asked)), (F.col("id") % 6).cast("int")).alias("query"))
     got = entities.resolve(q, live, live.select("eid", F.col("name").alias("alias"))).groupBy(F.col("qid") % 6, "eid", "tier").count().collect()
     assert sorted(tuple(r) for r in got) == [(0, 8, 4, 200), (1, 9, 4, 200), (2, 12, 2, 200), (3, 10, 1, 200)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks of few rows, many equal vectors, odd ones: the same rows as comparing all, and no more than k of a block."""
+    monkeypatch.setattr(nearest, "STEP_ITEMS", 64)
+    monkeypatch.setattr(nearest, "STEP_QUERIES", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(1000 + i, [1.0, 2.0, 0.0, 0.0, 1.0, 0.0]) for i in range(200)]
+    odd = [(5000, None), (5001, [0.0] * 6), (5002, [1.0]), (5003, [None] * 6)]
+    asked = [(i, v) for i, v in rows if i % 20 == 0] + [(7000, None), (7001, [0.0] * 6), (7002, [])]
+    items, queries = spark.createDataFrame(rows + odd, "id long, vector array<double>"), spark.createDataFrame(asked, "qid long, vector array<double>")
+    got = {(r["qid"], r["rank"]): (r["id"], round(r["score"], 12)) for r in retrieval.nearest(queries, items, 7).collect()}
+    for q, v in asked:
+        if not v:
+            assert (q, 1) not in got
+            continue
+        cosine = lambda w: 0.0 if not any(v) or not any(w) else float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))  # noqa: E731, B023
+        want = sorted(((-round(cosine(w), 12), i) for i, w in [*rows, odd[1]]))[:7]
+        assert [got[q, r + 1] for r in range(7)] == [(i, -s + 0.0) for s, i in want]
+    assert nearest.scored(queries, items, 7).count() <= 7 * 28 * 8  # seven of each of eight steps at most

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import similarity as S
+from verdigris.operators import nearest as N
 from verdigris.operators.retrieval import top_k, vector_scores
 from verdigris.sources.shared import new_folder
 
@@ -75,18 +76,22 @@ def build(items: DataFrame, lists: int | None = None, sample: int = 50_000, part
 
 
 def _angles(index: VectorIndex, queries: DataFrame) -> DataFrame:
-    """(qid, list, angle, parts, radius) of every query with every centroid; both are few."""
+    """(qid, list, angle, parts, radius) of every query with every centroid, of which there are few."""
     near = vector_scores(queries.select("qid", "vector"), index.lists.select(F.col("list").alias("id"), F.col("centroid").alias("vector")))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
     return near.join(F.broadcast(index.lists.select(F.col("list").alias("id"), "parts", "radius")), "id").select("qid", F.col("id").alias("list"), angle.alias("angle"), "parts", "radius")
 
 
-def _read(index: VectorIndex, queries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(qid, id, score) of the vectors in the lists that each query wants: one scan, joined on list and part."""
+def _read(index: VectorIndex, queries: DataFrame, wanted: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """(qid, id, score) of the vectors in the lists that each query wants, or those that ``k`` and ``least`` leave: one scan.
+    Lists and their parts are dealt over cells; a query comes once to each cell that has a list of its own."""
+    rows = index.lists.agg(F.sum("n")).first()[0] or 0
+    cells = max(1, -(-rows // 16_384), min(-(-rows // 4096), 2 * index.spark.sparkContext.defaultParallelism))
+    cell = F.pmod(F.xxhash64("list", "part"), F.lit(cells)).cast("int").alias("cell")
     asked = wanted.select("qid", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asked = asked.join(queries.select("qid", F.col("vector").cast("array<double>").alias("query"), S.norm(F.col("vector")).alias("query_norm")), "qid")
-    met = index.entries.join(asked, ["list", "part"])
-    return met.select("qid", "id", (S.dot(F.col("vector"), F.col("query")) / (F.col("norm") * F.col("query_norm"))).alias("score"))
+    asked = asked.select("qid", "list", cell).groupBy("qid", "cell").agg(F.collect_set("list").alias("lists"))
+    asked = asked.join(queries.select("qid", F.col("vector").cast("array<double>").alias("vector")), "qid")
+    return N.scored(asked, index.entries.select("id", "vector", "list", cell), k, least)
 
 
 def _reaches(least: Column) -> Column:
@@ -98,12 +103,13 @@ def _asking(queries: DataFrame) -> DataFrame:
     return queries.select("qid", "vector").where("vector IS NOT NULL").where(S.norm(F.col("vector")) > 0)
 
 
-def within(index: VectorIndex, queries: DataFrame, least: float) -> DataFrame:
-    """(qid, id, score) of all vectors with a cosine of ``least`` or more. queries: (qid, vector), qid unique. Exact: only
+def within(index: VectorIndex, queries: DataFrame, least: float, k: int | None = None) -> DataFrame:
+    """(qid, id, score) of all vectors with a cosine of ``least`` or more, or of the ``k`` best of them. queries: (qid, vector), qid unique. Exact: only
     lists that can't reach the score aren't read. Null queries and those without length find nothing."""
     asking = _asking(queries)
     wanted = _angles(index, asking).where(_reaches(F.lit(least)))
-    return _read(index, asking, wanted).where(F.col("score") >= least)
+    found = _read(index, asking, wanted, k, least)
+    return found if k is None else top_k(found, "qid", "score", "id", k).drop("rank")
 
 
 def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact: bool = False) -> DataFrame:
@@ -112,7 +118,7 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact:
     asking = _asking(queries)
     angles = _angles(index, asking).withColumn("close", -F.col("angle"))
     placed = top_k(angles, "qid", "close", "list", 1 << 30)
-    first = top_k(_read(index, asking, placed.where(F.col("rank") <= probes)), "qid", "score", "id", k)
+    first = top_k(_read(index, asking, placed.where(F.col("rank") <= probes), k), "qid", "score", "id", k)
     if not exact:
         return first
     folder = new_folder(index.spark, "nearest")
@@ -120,4 +126,4 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact:
     first = index.spark.read.parquet(folder)
     bound = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-1.0).alias("least"))
     more = placed.where(F.col("rank") > probes).join(bound, "qid", "left").where(_reaches(F.coalesce("least", F.lit(-1.0))))
-    return top_k(first.unionByName(_read(index, asking, more)), "qid", "score", "id", k)
+    return top_k(first.unionByName(_read(index, asking, more, k)), "qid", "score", "id", k)
