@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from verdigris.operators import entities, nearest, retrieval
+from verdigris.operators import entities, nearest, retrieval, textindex
+from verdigris.sources import shared
 
 
 def test_resolve_without_pairs_of_copies(spark, monkeypatch):
@@ -35,3 +36,14 @@ def test_nearest_in_blocks(spark, monkeypatch):
         want = sorted(((-round(cosine(w), 12), i) for i, w in [*rows, odd[1]]))[:7]
         assert [got[q, r + 1] for r in range(7)] == [(i, -s + 0.0) for s, i in want]
     assert nearest.scored(queries, items, 7).count() <= 7 * 28 * 8  # seven of each of eight steps at most
+
+
+def test_search_writes_no_candidates(spark, monkeypatch):
+    """With a limit, the candidates of a query stay in their block: none are written, also where all texts hold its words."""
+    index = textindex.build(spark.range(5000).select("id", F.concat(F.lit("the same w"), F.col("id") % 7).alias("text")))
+    names = []
+    monkeypatch.setattr(textindex, "written", lambda df, name: names.append(name) or shared.written(df, name))
+    queries = spark.createDataFrame([(1, "the same"), (2, "w3 the"), (3, "w9 the")], "qid long, text string")
+    got = sorted((r["qid"], r["id"]) for r in textindex.search(index, queries, 3).collect())
+    index.drop()
+    assert got == [(1, 0), (1, 1), (1, 2), (2, 3), (2, 10), (2, 17)] and "candidates" not in names
