@@ -39,6 +39,18 @@ def test_html_files(spark, tmp_path):
     assert rows == {"a.html": "<p>caf� é</p>\n"}
 
 
+def test_pages_in_files_of_many(spark, tmp_path):
+    """Separators, escapes, line breaks and odd bytes in pages; few files for many pages."""
+    odd = ["", "\n", "a\x1eb", "\x1b0\x1b1\x1b", "\x1e\x1e", "line\nline\r\n", "é\x00"]
+    rows = [(i, h) for i, h in enumerate(odd)] + [(None, "no key"), (7, None), (8, "bytes")] + [(100 + i, "<p>x</p>") for i in range(500)]
+    pages = spark.createDataFrame(rows, "k long, h string").coalesce(3).withColumn("h", F.when(F.col("k") == 8, F.concat("h", F.expr("cast(X'FFC3' as string)"))).otherwise(F.col("h")))
+    path = str(tmp_path / "pages")
+    formats.write_pages(pages, "k", "h", path)
+    got = [tuple(r) for r in formats.read_pages(spark, path).collect()]
+    want = [(None if k is None else str(k), "bytes\ufffd\ufffd" if k == 8 else h) for k, h in rows if h is not None]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(files(path)) <= 3
+
+
 def test_session_context(spark):
     rows = [(1, 1, {"A": "a1", "B": "b1"}, "x", ["F(Period=FY1)", "G"]), (1, 2, None, None, None), (1, 3, {"A": "a3"}, "y", ["F(Period=FY2)", "F(Period=FY1)"])]
     rows += [(1, i, {}, None if i == 8 else "z", ["H"]) for i in range(4, 9)] + [(2, 1, None, None, None)]

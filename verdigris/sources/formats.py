@@ -58,6 +58,26 @@ def read_html(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"), *[c for c in files.columns if c not in ("path", "modificationTime", "length", "content")])
 
 
+#: What ends a page in a file of many, and what stands for it and for itself within a page.
+_END, _ESCAPE = "\x1e", "\x1b"
+
+
+def write_pages(pages: DataFrame, key: str, html: str, path: str) -> None:
+    """Pages as text files of many each, as one file a page costs more than the page: the key, a line break and the html, whose
+    bytes stay as they are, but for record separators and escapes, which are escaped."""
+    body = F.replace(F.replace(F.col(html), F.lit(_ESCAPE), F.lit(f"{_ESCAPE}0")), F.lit(_END), F.lit(f"{_ESCAPE}1"))
+    page = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n"), body)
+    pages.where(F.col(html).isNotNull()).select(page.alias("value")).write.option("lineSep", _END).text(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(key string, html) of files by ``write_pages``, a page at a time: bytes that are no UTF-8 become replacement characters."""
+    page = spark.read.option("lineSep", _END).text(path).select(F.make_valid_utf8("value").alias("value"))
+    at = F.instr("value", "\n")
+    body = F.replace(F.replace(F.substr("value", at + 1), F.lit(f"{_ESCAPE}1"), F.lit(_END)), F.lit(f"{_ESCAPE}0"), F.lit(_ESCAPE))
+    return page.where("value <> ''").select(F.nullif(F.substr("value", F.lit(1), at - 1), F.lit("")).alias("key"), body.alias("html"))
+
+
 def field_codes(markdown: Column) -> Column:
     """Array of struct(hints, code, description) from the rows | words | `code` | description | of Markdown tables."""
     pattern = F.lit(r"\|\s*([^|]+?)\s*\|\s*`([^`]+)`\s*\|\s*([^|]+?)\s*\|")
