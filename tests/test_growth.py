@@ -1,9 +1,10 @@
 """Queries' steps on copies and in bounded memory: nothing is expanded that only the best are wanted of."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from verdigris.operators import entities, nearest, retrieval, textindex
+from verdigris.operators import chunking, entities, nearest, retrieval, textindex
 from verdigris.sources import shared
 
 
@@ -47,3 +48,15 @@ def test_search_writes_no_candidates(spark, monkeypatch):
     got = sorted((r["qid"], r["id"]) for r in textindex.search(index, queries, 3).collect())
     index.drop()
     assert got == [(1, 0), (1, 1), (1, 2), (2, 3), (2, 10), (2, 17)] and "candidates" not in names
+
+
+def test_chunks_in_bounded_batches():
+    """Long texts in one batch: their chunks go back in batches of little more than ``CHARS`` characters, none lost."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40_000)) for i in range(12)] + [None, "", "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    cut = lambda cell, _: enumerate(chunking.split_text(cell.as_py() or "", 1000, 200, 100))
+    out = list(chunking._in_pieces(iter([batch]), 1, (pa.int32(), pa.string()), ["id", "chunk_no", "chunk"], cut))
+    sizes = [sum(map(len, b["chunk"].to_pylist())) for b in out]
+    assert len(out) > 3 and max(sizes) < chunking.CHARS + 1000
+    rows = [(i, n, c) for b in out for i, n, c in zip(*(b[k].to_pylist() for k in range(3)), strict=True)]
+    assert rows == [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(chunking.split_text(t or "", 1000, 200, 100))]

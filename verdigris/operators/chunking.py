@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: From coarse to fine: how a text falls into units, and what joins them again.
 _LEVELS = ((re.compile(r"\n\s*\n"), "\n\n"), (re.compile(r"(?<=[.!?])\s+(?=[A-Z])"), " "), (re.compile(r"\s+"), " "))
 
+#: So many characters of chunks go back to Spark at a time.
+CHARS = 1_000_000
+
 
 def _tail(text: str, overlap: int) -> str:
     """The end of a chunk that begins the next one, cut at a blank if one is in its first half."""
@@ -49,25 +52,41 @@ def split_text(text: str, size: int, overlap: int, least: int, level: int = 0) -
         yield held.strip()
 
 
+def _in_pieces(batches: Iterator[pa.RecordBatch], kept: int, kinds: tuple, names: list[str], cut: Callable[..., Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The rows that ``cut`` makes of each text and its prefix, which follow the first ``kept`` columns, a batch whenever there
+    are ``CHARS`` characters of chunks. No more than one text and one such batch are held beside what Arrow brought."""
+    for batch in batches:
+        rows: list[tuple] = []
+        chars = 0
+
+        def flushed(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            own, *rest = zip(*rows, strict=True)
+            take = pa.array(own, pa.int64())
+            return pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns[:kept]], *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]], names)
+
+        prefixes = batch.column(kept + 1) if batch.num_columns > kept + 1 else [None] * batch.num_rows
+        for i, (cell, prefix) in enumerate(zip(batch.column(kept), prefixes, strict=True)):
+            for row in cut(cell, prefix):
+                rows.append((i, *row))
+                chars += len(row[1])
+                if chars >= CHARS:
+                    yield flushed()
+                    rows, chars = [], 0
+        if rows:
+            yield flushed()
+
+
 def chunk(df: DataFrame, key: str, text: str, size: int = 4000, overlap: int = 800, least: int = 200) -> DataFrame:
     """(key, chunk_no int, chunk string) of every text; null and blank texts have none. Texts are independent of each other,
     so this is one pass without a shuffle."""
     plain = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
     schema = df.select(key).schema.add("chunk_no", "integer").add("chunk", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[int] = []
-            numbers: list[int] = []
-            chunks: list[str] = []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                for n, part in enumerate(split_text(value or "", size, overlap, least)):
-                    rows.append(i)
-                    numbers.append(n)
-                    chunks.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], schema.names)
+    def cut(cell: pa.StringScalar, _: None) -> Iterator[tuple]:
+        yield from enumerate(split_text(cell.as_py() or "", size, overlap, least))
 
-    return plain.mapInArrow(run, schema)
+    kinds = (pa.int32(), pa.string())
+    return plain.mapInArrow(lambda batches: _in_pieces(batches, 1, kinds, schema.names, cut), schema)
 
 
 def sections(df: DataFrame, key: str, section: str, text: str, prefix: Column | None = None, size: int = 4000, overlap: int = 800, least: int = 200) -> DataFrame:
@@ -79,26 +98,21 @@ def sections(df: DataFrame, key: str, section: str, text: str, prefix: Column |
     plain = df.select(F.col(key), F.col(section), F.col(text).cast("string").alias("__text"), (F.lit("") if prefix is None else F.coalesce(prefix, F.lit(""))).alias("__prefix"))
     schema = df.select(key, section).schema.add("chunk_no", "integer").add("chunk", "string").add("char_start", "integer").add("char_end", "integer").add("n_chunks", "integer")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, int, str, int, int, int]] = []
-            for i, (value, head) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if value is None or len(value) < least:
-                    continue
-                parts = list(split_text(value, max(size - len(head), 2 * least) if head else size, overlap, least))
-                begin = 0
-                for n, part in enumerate(parts):
-                    at = value.find(part[:100], begin)
-                    at = begin if at < 0 else at
-                    rows.append((i, n, head + part, at, at + len(part), len(parts)))
-                    begin = max(begin, at + len(part) - overlap)
-            own, *rest = zip(*rows, strict=True) if rows else [()] * 6
-            take = pa.array(own, pa.int64())
-            columns = [pa.array(c, pa.string() if k == 1 else pa.int32()) for k, c in enumerate(rest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], schema.names)
-
-    cut = plain.mapInArrow(run, schema)
-    return cut.select(F.concat_ws("_", F.col(key).cast("string"), F.col(section), F.col("chunk_no").cast("string")).alias("chunk_id"), *schema.names)
+    def cut(cell: pa.StringScalar, prefix: pa.StringScalar) -> Iterator[tuple]:
+        value, head = cell.as_py(), prefix.as_py()
+        if value is None or len(value) < least:
+            return
+        room = max(size - len(head), 2 * least) if head else size
+        parts, begin = list(split_text(value, room, overlap, least)), 0
+        for n, part in enumerate(parts):
+            at = value.find(part[:100], begin)
+            at = begin if at < 0 else at
+            yield n, head + part, at, at + len(part), len(parts)
+            begin = max(begin, at + len(part) - overlap)
+
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    rows = plain.mapInArrow(lambda batches: _in_pieces(batches, 2, kinds, schema.names, cut), schema)
+    return rows.select(F.concat_ws("_", F.col(key).cast("string"), F.col(section), F.col("chunk_no").cast("string")).alias("chunk_id"), *schema.names)
 
 
 def hierarchy(df: DataFrame, key: str, text: str, parent: tuple[int, int, int] = (4000, 0, 200), child: tuple[int, int, int] = (512, 64, 50)) -> DataFrame:
