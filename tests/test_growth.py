@@ -60,3 +60,19 @@ def test_chunks_in_bounded_batches():
     assert len(out) > 3 and max(sizes) < chunking.CHARS + 1000
     rows = [(i, n, c) for b in out for i, n, c in zip(*(b[k].to_pylist() for k in range(3)), strict=True)]
     assert rows == [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(chunking.split_text(t or "", 1000, 200, 100))]
+
+
+def test_scan_finds_what_the_index_finds(spark, monkeypatch):
+    """Without an index nothing of the texts is written or bucketed, and the same is found, by words and by stems."""
+    rows = [(i, " ".join(w for j, w in enumerate(["The", "trading,", "trades", "trade", "of", "oil", "zinc"]) if (i >> j) & 1) + " pad" * (i % 5)) for i in range(128)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "?!"), (503, "the oil " * 5000)], "id long, text string")
+    asked = [(1, "the oil"), (2, "traded zinc"), (3, "trades of oil"), (4, "unknown oil"), (5, None), (6, "the"), (7, "zinc ZINC")]
+    queries = spark.createDataFrame(asked, "qid long, text string")
+    built = {english: textindex.build(docs, english=english) for english in (False, True)}
+    want = {e: {(r["qid"], r["id"]): round(r["score"], 9) for r in textindex.search(i, queries).collect()} for e, i in built.items()}
+    monkeypatch.setattr(textindex, "build", None)
+    for english, index in built.items():
+        got = textindex.scan(docs, queries, english=english).collect()
+        assert {(r["qid"], r["id"]): round(r["score"], 9) for r in got} == want[english] and len(got) == len(want[english]) > 50
+        assert textindex.scan(docs.limit(0), queries, english=english).count() == 0 == textindex.scan(docs, queries.limit(0), english=english).count()
+        index.drop()
