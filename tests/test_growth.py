@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from verdigris.functions import screen
 from verdigris.operators import chunking, entities, nearest, retrieval, textindex
+from verdigris.plans import catalog
 from verdigris.sources import shared
 
 
@@ -76,3 +78,15 @@ def test_scan_finds_what_the_index_finds(spark, monkeypatch):
         assert {(r["qid"], r["id"]): round(r["score"], 9) for r in got} == want[english] and len(got) == len(want[english]) > 50
         assert textindex.scan(docs.limit(0), queries, english=english).count() == 0 == textindex.scan(docs, queries.limit(0), english=english).count()
         index.drop()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_question_is_put_together_once(spark):
+    """The plan has a question's parts once, however many phrases are looked for, and the parts don't stay in a file's few tasks."""
+    df = spark.createDataFrame([("top 5 tech", "in Japan"), (None, None)], "a string, b string").select(screen.build(F.concat_ws(" ~ ", "a", "b")).alias("s"))
+    assert _plan(df).count("concat_ws( ~ ") == 1
+    assert [r["s"] for r in df.collect()] == [f"SCREEN({screen.UNIVERSE},TR.HQCountryCode=JP,IN(TR.TRBCEconSectorCode,57),TOP(TR.CompanyMarketCap,5,nnumber),CURN=USD)", None]
+    assert "RepartitionByExpression [p_partkey" in _plan(catalog.queries()["screen_build"](spark, "/root/testdata/sf0.001"))

@@ -9,7 +9,7 @@ from verdigris.functions import fiscal, screen
 from verdigris.operators import filters as P
 from verdigris.operators import upserts as U
 from verdigris.sources.shared import new_folder
-from verdigris.sources.tables import table
+from verdigris.sources.tables import spread, table
 
 _EXPRESSIONS = ("-1D", "3M", "-2Y", "FY0", "FY-1", "FY2023", "FQ0", "FQ-3", "FQ22024", "2024-02-29", "2024-02-31", "-1W", " 12M ", "nonsense")
 
@@ -58,7 +58,7 @@ def cron_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def screen_build(spark: SparkSession, folder: str) -> DataFrame:
     """Questions put together from the parts table."""
-    p = table(spark, folder, "part")
+    p = spread(table(spark, folder, "part").select("p_partkey", "p_size"), "p_partkey")
     country = F.element_at(F.array(F.lit("in the UK"), F.lit("from Japan"), F.lit("worldwide")), (F.col("p_partkey") % 3 + 1).cast("int"))
     question = F.concat_ws(" ", F.lit("Top"), F.col("p_size").cast("string"), F.when(F.col("p_size") > 25, "tech").otherwise("energy"), F.lit("firms"), country, F.lit("with PE below"), (F.col("p_partkey") % 40).cast("string"), F.when(F.col("p_size") % 2 == 0, "by revenue").otherwise("please"), F.when(F.col("p_partkey") % 4 == 0, "ROE below 30 and above 5, ROE over 5.5, dividend yield below 6, dividend yield more than 2"), F.when(F.col("p_partkey") % 5 == 0, "positive FCF that beat estimates by 10%"))
     return p.select("p_partkey", screen.build(question).alias("screen"))
