@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from verdigris.functions import screen
+from verdigris.functions import screen, similarity
 from verdigris.operators import chunking, entities, nearest, retrieval, textindex
 from verdigris.plans import catalog
 from verdigris.sources import shared
@@ -90,3 +90,15 @@ def test_question_is_put_together_once(spark):
     assert _plan(df).count("concat_ws( ~ ") == 1
     assert [r["s"] for r in df.collect()] == [f"SCREEN({screen.UNIVERSE},TR.HQCountryCode=JP,IN(TR.TRBCEconSectorCode,57),TOP(TR.CompanyMarketCap,5,nnumber),CURN=USD)", None]
     assert "RepartitionByExpression [p_partkey" in _plan(catalog.queries()["screen_build"](spark, "/root/testdata/sf0.001"))
+
+
+def test_runs_of_words_by_one_pattern(spark):
+    """Runs of words are those of a plain loop, also in odd texts, and nothing is worked out for each word by itself."""
+    texts = ["a b c d", "A  b\tc\nA b c a b", "", " \n ", "one", None, "x\u00a0y z \u3000 $1 \\s (? [", "w" * 100_000, "é É \u2028 b", "a b " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for n in (1, 2, 3, 5):
+        made = df.select("i", similarity.word_ngrams(similarity.tokens(F.col("t")), n).alias("runs"), similarity.tokens(F.col("t")).alias("w"))
+        assert "lambda" not in _plan(made)
+        for r in made.collect():
+            w = r["w"]
+            assert r["runs"] == (None if w is None else list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))), (r["i"], n)
