@@ -76,5 +76,16 @@ def test_claims_late_and_forgotten(spark, tmp_path):
     assert held[-1] <= 1 and max(held) <= 6  # all but the newest event's task are forgotten
 
 
+def test_tasks_share_buckets(spark, tmp_path):
+    """Many tasks in a few rows of the state, one without a name and one named 0 among them: each is folded by itself."""
+    rng = random.Random(5)
+    names = [None, 0, *(10**17 + i for i in range(40))]
+    events = [(rng.choice(names), rng.randrange(300), i, rng.choice(["fetch", "fetch", "ack", "nack"]), rng.randrange(3)) for i in range(200)]
+    events.append((99, 420, 1000, "ack", 0))
+    arrival = sorted(events, key=lambda e: e[1])
+    got, held = run(spark, str(tmp_path), [arrival[:70], arrival[70:150], arrival[150:]], late="20 seconds", idle_seconds=20, consumers=3, buckets=4)
+    assert got == brute(events, 400, 20, 3, 3) and len({r[0] for r in got}) > 35 and max(held) <= 4
+
+
 def test_no_events(spark, tmp_path):
     assert run(spark, str(tmp_path), [[(1, None, 0, "nack", 0)]])[0] == []

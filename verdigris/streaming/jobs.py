@@ -57,7 +57,10 @@ def once_per_key(events: DataFrame, key: str, late: str = "60 days") -> DataFram
 
 
 _ROUTES = "task long, micros long, route string, failures long, handovers int, consumer int"
-_HELD = "at array<long>, seq array<long>, event array<string>, consumer array<int>, failures long, handovers int, holder int, since long, last long"
+_HELD = (
+    "task array<long>, failures array<long>, handovers array<int>, holder array<int>, since array<long>, last array<long>, "
+    "of array<int>, at array<long>, seq array<long>, event array<string>, consumer array<int>"
+)
 _NEVER = -1
 
 
@@ -112,7 +115,22 @@ class _Task:
         return min(times, default=self.last + forget)
 
 
-def work_queue(log: DataFrame, late: str = "1 hour", idle_seconds: int = 60, consumers: int = 2, max_attempts: int = 3, forget_days: int = 60) -> DataFrame:
+def _held(tasks: dict[int | None, _Task]) -> tuple:
+    """A bucket's tasks as a row of lists; a waiting event has the place of its task."""
+    kept = list(zip(*((n, t.failures, t.handovers, t.holder, t.since, t.last) for n, t in tasks.items()), strict=True))
+    events = list(zip(*((i, *e) for i, t in enumerate(tasks.values()) for e in t.waiting), strict=True)) or [()] * 5
+    return tuple(list(c) for c in (*kept, *events))
+
+
+def _restored(held: tuple) -> dict[int | None, _Task]:
+    names, *kept = held[:6]
+    out = [_Task(set(), *k) for k in zip(*kept, strict=True)]
+    for of, *event in zip(*held[6:], strict=True):
+        out[of].waiting.add(tuple(event))
+    return dict(zip(names, out, strict=True))
+
+
+def work_queue(log: DataFrame, late: str = "1 hour", idle_seconds: int = 60, consumers: int = 2, max_attempts: int = 3, forget_days: int = 60, buckets: int = 4096) -> DataFrame:
     """What becomes of the tasks of a work queue, as its log of events arrives: (task, at, route, failures, handovers, consumer).
 
     log: (task long, ts timestamp, seq long, event, consumer int), events enqueue, fetch, ack, nack; seq tells events of one time
@@ -125,34 +143,37 @@ def work_queue(log: DataFrame, late: str = "1 hour", idle_seconds: int = 60, con
     that is sent again (the same in all columns) counts once. A null event or consumer counts as enqueue and 0.
 
     A task is forgotten with its ack, or ``forget_days`` after its last event, which also ends its count of failures, so that
-    the state has a row for each open task and never more events than ``late`` and one batch cover. Bound a batch by the
+    the state has each open task and never more events than ``late`` and one batch cover. Tasks are kept by ``buckets`` of a
+    hash, as a call of Python for each task costs far more than folding its events; a bucket's tasks lie in one row of the state,
+    which is written anew when one of them changes. The number stays as it is over a checkpoint's life. Bound a batch by the
     source's ``maxFilesPerTrigger``; with many open tasks set ``spark.sql.streaming.stateStore.providerClass`` to RocksDB's."""
     idle, forget = idle_seconds * 1_000_000, forget_days * 86_400_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        task = _Task(set(zip(*old[:4], strict=True)), *old[4:]) if old else _Task(set())
+        tasks = _restored(state.get) if state.exists else {}
         for b in batches:
-            task.waiting.update(zip(b["micros"].tolist(), b["seq"].tolist(), b["event"].tolist(), b["consumer"].tolist(), strict=True))
+            names = [n if known else None for n, known in zip(b["task"].tolist(), b["named"].tolist(), strict=True)]
+            for n, *e in zip(names, b["micros"].tolist(), b["seq"].tolist(), b["event"].tolist(), b["consumer"].tolist(), strict=True):
+                tasks.setdefault(n, _Task(set())).waiting.add(tuple(e))
         watermark = state.getCurrentWatermarkMs()
-        rows = [(key[0], *r) for r in task.routes(watermark * 1000 + 999, idle, forget, consumers, max_attempts)]
-        if task.finished():
-            if state.exists:
-                state.remove()
-        else:
-            held = [list(c) for c in zip(*task.waiting, strict=True)] or [[], [], [], []]
-            state.update((*held, task.failures, task.handovers, task.holder, task.since, task.last))
-            state.setTimeoutTimestamp(max(task.wakes(idle, forget) // 1000 - 1, watermark + 1))
-        columns = ["task", "micros", "route", "failures", "handovers", "consumer"]
-        if rows:
-            yield pd.DataFrame(rows, columns=columns).astype({"task": "Int64", "micros": "int64", "failures": "int64", "handovers": "int32", "consumer": "Int32"})
+        rows = [(n, *r) for n, t in tasks.items() for r in t.routes(watermark * 1000 + 999, idle, forget, consumers, max_attempts)]
+        tasks = {n: t for n, t in tasks.items() if not t.finished()}
+        if tasks:
+            state.update(_held(tasks))
+            state.setTimeoutTimestamp(max(min(t.wakes(idle, forget) for t in tasks.values()) // 1000 - 1, watermark + 1))
+        elif state.exists:
+            state.remove()
+        types = {"task": "Int64", "micros": "int64", "route": "object", "failures": "int64", "handovers": "int32", "consumer": "Int32"}
+        if rows:  # typed column by column: large numbers beside nulls would pass through doubles else
+            yield pd.DataFrame({name: pd.array(column, dtype=kind) for (name, kind), column in zip(types.items(), zip(*rows, strict=True), strict=True)})
 
     # Watermarks and timers count in milliseconds: times are cut to these for them, the full ones order the events.
     known = log.where("ts IS NOT NULL").select(
-        "task", F.date_trunc("millisecond", "ts").alias("ts"), F.unix_micros("ts").alias("micros"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
+        F.pmod(F.xxhash64("task"), F.lit(buckets)).cast("int").alias("bucket"), F.coalesce("task", F.lit(0)).cast("long").alias("task"), F.col("task").isNotNull().alias("named"),
+        F.date_trunc("millisecond", "ts").alias("ts"), F.unix_micros("ts").alias("micros"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
         F.coalesce("event", F.lit("enqueue")).alias("event"), F.coalesce("consumer", F.lit(0)).cast("int").alias("consumer"),
     )
-    routes = known.withWatermark("ts", late).groupBy("task").applyInPandasWithState(step, _ROUTES, _HELD, "append", "EventTimeTimeout")
+    routes = known.withWatermark("ts", late).groupBy("bucket").applyInPandasWithState(step, _ROUTES, _HELD, "append", "EventTimeTimeout")
     return routes.select("task", F.timestamp_micros("micros").cast("timestamp_ntz").alias("at"), "route", "failures", "handovers", "consumer")
 
 
