@@ -24,13 +24,16 @@ _TOKEN = rf"(?s){_TEXT}:?|true|false|null|."
 _BEFORE_NUMBER = rf"(?s)\G((?:[^\"0-9-]|{_TEXT})*+)(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)"
 #: Texts that are read as numbers.
 _DIGITS = r"\d+(?:_\d+)*"
+_LIKE_NUMBER = r'^"s(?:\s|\\[tnrf])*+[+-]?\.?\d'
 _NUMBER = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
 #: Values that don't count as a name.
 _NO_NAME = r'^(?:null|false|\[\]|\{\}|"s"|"#-?0(?:\.0+)?(?:[eE].*)?")$'
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    """The tokens of a JSON text, each with its value as a number, read here once and not for each comparison."""
+    cut = lambda t: F.when(t.startswith("{") | t.startswith("["), F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))).when(t.isNotNull(), F.array(t))
+    return F.transform(let(text, cut), lambda t: F.struct(t.alias("text"), _value(t).alias("number")))
 
 
 def _parsed(text: Column) -> Column:
@@ -53,27 +56,28 @@ def _list(value: Column, path: str = "$") -> Column:
 
 
 def _value(token: Column) -> Column:
-    """A value's token as a number; null for other tokens and texts that are none."""
-    body = F.regexp_replace(F.substr(token, F.lit(3), F.length(token) - 3), r"\\[tnrf]", " ")
-    return F.when(token == "true", 1.0).when(token == "false", 0.0).when(token.startswith('"') & ~token.endswith(":") & body.rlike(_NUMBER), F.replace(body, F.lit("_"), F.lit("")).try_cast("double"))
+    """A value's token as a number; null for other tokens and texts that are none. Only texts that begin like one are read by
+    patterns, as this is done for each token."""
+    body = F.substr(token, F.lit(3), F.length(token) - 3)
+    plain = F.when(F.contains(token, F.lit("\\")), F.regexp_replace(body, r"\\[tnrf]", " ")).otherwise(body)
+    read = let(plain, lambda t: F.when(t.rlike(_NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double")))
+    text = F.when(~token.endswith(":") & token.rlike(_LIKE_NUMBER), read)
+    return F.when(token.startswith('"#'), body.try_cast("double")).when(token.startswith('"'), text).when(token == "true", 1.0).when(token == "false", 0.0)
 
 
 def _near(want: Column, got: Column) -> Column:
-    kind, real = F.substring(want, 1, 2), "[.eE]"
-
-    def close(v: Column) -> Column:
-        a, b = v["a"], v["b"]
-        comparable = (kind != F.substring(got, 1, 2)) | ((kind == '"#') & (want.rlike(real) | got.rlike(real) | ((a == 0) & (b == 0))))
-        return F.when(a == 0, F.abs(b) <= TOLERANCE).otherwise((F.abs(a) < float("inf")) & (F.abs(a - b) <= TOLERANCE * F.abs(a))) & comparable
-
-    return (want == got) | F.coalesce(let(F.struct(_value(want).alias("a"), _value(got).alias("b")), close), F.lit(False))
+    a, b = want["number"], got["number"]
+    kind, real = F.substring(want["text"], 1, 2), "[.eE]"
+    close = F.when(a == 0, F.abs(b) <= TOLERANCE).otherwise((F.abs(a) < float("inf")) & (F.abs(a - b) <= TOLERANCE * F.abs(a)))
+    comparable = (kind != F.substring(got["text"], 1, 2)) | ((kind == '"#') & (want["text"].rlike(real) | got["text"].rlike(real) | ((a == 0) & (b == 0))))
+    return (want["text"] == got["text"]) | (F.coalesce(close, F.lit(False)) & comparable)
 
 
 def _alike(want: Column, got: Column) -> Column:
     """Whether two values, as tokens, are equal: numbers in text form taken as numbers, a relative tolerance where one isn't a
     whole number, ordered lists and unordered objects; null equals null alone. The first token that differs ends it."""
-    places = F.sequence(F.lit(0), F.size(want) - 1)
-    return (want == got) | ((F.size(want) == F.size(got)) & F.forall(places, lambda i: _near(F.get(want, i), F.get(got, i))))
+    pairs = F.zip_with(want, got, lambda w, g: F.struct(w.alias("w"), g.alias("g")))
+    return (F.size(want) == F.size(got)) & F.forall(pairs, lambda p: _near(p["w"], p["g"]))
 
 
 def _identity(tokens: Column) -> Column:
@@ -85,7 +89,7 @@ def _identity(tokens: Column) -> Column:
         real = F.concat(F.lit('"#'), F.when(is_whole, number.cast("long").cast("string")).otherwise(number.cast("string")), F.lit('"'))
         return F.when(t == "true", '"#1"').when(t == "false", '"#0"').when(t.rlike('^"#(?:-0"|.*[.eE])'), real).otherwise(t)
 
-    return F.array_join(F.transform(tokens, plain), "")
+    return F.array_join(F.transform(tokens, lambda t: plain(t["text"])), "")
 
 
 def _calls(parsed: Column) -> Column:
@@ -95,8 +99,7 @@ def _calls(parsed: Column) -> Column:
 
     def fields(m: Column) -> Column:
         json = lambda key: F.to_json(F.try_element_at(m, F.lit(key)))
-        first = json("stool_name")
-        name = F.when(first.isNull() | first.rlike(_NO_NAME), json("sname")).otherwise(first)
+        name = let(json("stool_name"), lambda first: F.when(first.isNull() | first.rlike(_NO_NAME), json("sname")).otherwise(first))
         return F.struct(name.alias("name"), F.when(F.map_contains_key(m, "sarguments"), json("sarguments")).otherwise("{}").alias("arguments"))
 
     def items(m: Column) -> Column:
@@ -116,7 +119,7 @@ def _matched(want: Column, got: Column) -> Column:
     """struct(free, matched, n, differing) after the expected calls have chosen in order: a perfect match if there is one, else
     the first free call of the same name."""
     start = F.struct(
-        F.filter(F.sequence(F.lit(0), F.size(got)), lambda i: i < F.size(got)).alias("free"), F.array().cast("array<struct<name:string,tokens:array<string>>>").alias("matched"), F.lit(0).alias("n"), F.lit(0).alias("differing")
+        F.filter(F.sequence(F.lit(0), F.size(got)), lambda i: i < F.size(got)).alias("free"), F.array().cast("array<struct<name:string,tokens:array<struct<text:string,number:double>>>>").alias("matched"), F.lit(0).alias("n"), F.lit(0).alias("differing")
     )
 
     def choose(state: Column, call: Column) -> Column:
