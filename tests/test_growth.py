@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verdigris.functions import screen, similarity
-from verdigris.operators import chunking, entities, nearest, retrieval, textindex
+from verdigris.operators import chunking, entities, nearest, retrieval, textindex, toolcalls
 from verdigris.plans import catalog
 from verdigris.sources import shared
 
@@ -102,3 +102,9 @@ def test_runs_of_words_by_one_pattern(spark):
         for r in made.collect():
             w = r["w"]
             assert r["runs"] == (None if w is None else list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))), (r["i"], n)
+
+
+def test_numbers_are_read_once_a_token(spark):
+    """Comparing two tokens reads no numbers, and lines of calls don't stay in a file's few tasks."""
+    assert "CAST" not in str(toolcalls._near(F.col("a"), F.col("b"))).upper()
+    assert "RepartitionByExpression [l_orderkey" in _plan(catalog.queries()["args_diff"](spark, "/root/testdata/sf0.001"))

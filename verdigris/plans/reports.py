@@ -13,7 +13,7 @@ from verdigris.operators import upserts as U
 from verdigris.operators import windows
 from verdigris.sources import formats
 from verdigris.sources.shared import new_folder
-from verdigris.sources.tables import table
+from verdigris.sources.tables import spread, table
 
 _COUNTED = ("documents", "pages", "benchmark")
 _ALL = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -174,7 +174,7 @@ def sink_copy(spark: SparkSession, folder: str) -> DataFrame:
 
 def args_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Arguments of which some are missing, added, or of another value."""
-    line, n = table(spark, folder, "lineitem"), F.col("l_linenumber")
+    line, n = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey"), F.col("l_linenumber")
     want = F.to_json(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")))
     got = F.to_json(F.struct(F.when(n % 3 != 0, F.col("l_partkey").cast("string")).alias("part"), (F.col("l_quantity") + F.when(n % 2 == 0, 1).otherwise(0)).alias("qty"), F.when(n == 5, 1).alias("extra")))
     d = toolcalls.diff_arguments(line.select("l_orderkey", "l_linenumber", want.alias("want"), got.alias("got")), "want", "got")
