@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verdigris.functions import screen, similarity
-from verdigris.operators import chunking, entities, nearest, retrieval, textindex, toolcalls
+from verdigris.operators import chunking, entities, nearest, retrieval, setjoin, textindex, toolcalls
 from verdigris.plans import catalog
 from verdigris.sources import shared
 
@@ -108,3 +108,23 @@ def test_numbers_are_read_once_a_token(spark):
     """Comparing two tokens reads no numbers, and lines of calls don't stay in a file's few tasks."""
     assert "CAST" not in str(toolcalls._near(F.col("a"), F.col("b"))).upper()
     assert "RepartitionByExpression [l_orderkey" in _plan(catalog.queries()["args_diff"](spark, "/root/testdata/sf0.001"))
+
+
+def test_pairs_of_copies_are_made_last(spark):
+    """All pairs of copies of similar names: different texts are compared and rounded once, by more tasks than one, and copies
+    stay in lists of bounded length until the last step."""
+    words = ["acme corporation", "Acme corporation ltd", "zeta holdings", "acme korporation", None, ""]
+    n = [(None if i == 7 else i, words[i % 6] if i < 60 else words[0]) for i in range(4000)] + [(1, "acme corp")] * 3
+    q = [(i, ["acme corporatin", "zeta holding", "no such thing", None, "acme corporation"][i % 5]) for i in range(200)]
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.lower().split() for i in range(len(w) + 1)}
+    alike = {(a, b): len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in {t for _, t in q if t} for b in {t for _, t in n if t}}
+    want = sorted((i, -1 if e is None else e, round(alike[a, b], 3)) for i, a in q for e, b in n if a and b and alike[a, b] > 0.3)
+    queries, names = spark.createDataFrame(q, "qid long, query string"), spark.createDataFrame(n, "eid long, name string")
+    got = entities.trigram_pairs(queries, names, 0.3, 3)
+    assert sorted((r["qid"], -1 if r["eid"] is None else r["eid"], r["similarity"]) for r in got.collect()) == want
+    assert len(want) > 300_000 and got.rdd.getNumPartitions() > 1
+    lists = entities._lists(names.where("name IS NOT NULL"), "name", "eid", 64)
+    sizes = [r["k"] for r in lists.select(F.size("ids").alias("k")).collect()]
+    assert sum(sizes) == sum(t is not None for _, t in n) and max(sizes) < 128
+    assert "round(" not in _plan(catalog.queries()["join_theta_trigram"](spark, "/root/testdata/sf0.001"))
+    assert setjoin.similar_sets(spark.createDataFrame([(1, ["a", "b"])], "id long, items array<string>"), spark.createDataFrame([(i, ["a", "b"]) for i in range(200)], "id long, items array<string>"), 0.3).rdd.getNumPartitions() > 1
