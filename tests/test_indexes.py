@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import entities, setjoin, textindex, vectorindex
+from verdigris.plans import catalog
 from verdigris.plans import retrieval as plans
 
 SETS = "id long, items array<string>"
@@ -31,6 +32,33 @@ def test_similar_sets(spark, least):
     assert setjoin.similar_sets(a.limit(0), b, least).count() == setjoin.similar_sets(a, b.limit(0), least).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.75])
+def test_best_sets(spark, monkeypatch, least):
+    """Blocks of few sets: the most similar set of each, of equals the smallest id, as by comparing all."""
+    monkeypatch.setattr(setjoin, "RIGHT", 40)
+    monkeypatch.setattr(setjoin, "LEFT", 16)
+    rng = random.Random(7)
+    draw = lambda: sorted({rng.choice("aabbcdefghijklmnop") for _ in range(rng.randrange(0, 12))} | ({"z"} if rng.random() < 0.8 else set()))
+    left, right = [(i, draw()) for i in range(60)] + [(60, None), (61, ["?"])], [(i // 2, draw()) for i in range(150)] + [(150, None), (151, [])]
+    want = {}
+    for i, x in left:
+        alike = [(len(set(x) & set(y)) / len(set(x) | set(y)), -j) for j, y in right if x and y]
+        if alike and max(alike)[0] > least:
+            want[i] = (-max(alike)[1], max(alike)[0])
+    a, b = spark.createDataFrame(left, SETS), spark.createDataFrame(right, SETS)
+    got = setjoin.best_sets(a, b, least).collect()
+    assert len(got) == len(want) > 5 and {r["left_id"]: (r["right_id"], r["similarity"]) for r in got} == want
+    assert setjoin.best_sets(a.limit(0), b, least).count() == setjoin.best_sets(a, b.limit(0), least).count() == 0
+
+
+def test_every_question_is_resolved(spark):
+    """Each live part's ticker or plain name, asked by the part itself, has an answer, not only those of some keys."""
+    folder = "/root/testdata/sf0.001"
+    asked = spark.read.parquet(f"{folder}/part.parquet").where("p_size > 5 AND p_partkey % 3 != 0").select("p_partkey").collect()
+    found = {r["qid"] for r in catalog.queries()["entity_resolve_batch"](spark, folder).collect()}
+    assert len(asked) > 100 and {r[0] for r in asked} <= found
+
+
 def test_trigram_pairs(spark):
     q = spark.createDataFrame([(1, "Acme Corp"), (2, "acme corp"), (3, None), (4, ""), (5, "Acme Corp")], "qid long, query string")
     n = spark.createDataFrame([(1, "acme corporation"), (1, "Acme Corp"), (2, "Zeta"), (3, None), (4, "")], "eid long, name string")
