@@ -51,6 +51,21 @@ def test_best_sets(spark, monkeypatch, least):
     assert setjoin.best_sets(a.limit(0), b, least).count() == setjoin.best_sets(a, b.limit(0), least).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.75])
+def test_close_sets(spark, monkeypatch, least):
+    """Blocks of few sets: all pairs that the join of prefixes finds, each once."""
+    monkeypatch.setattr(setjoin, "RIGHT_ALL", 40)
+    monkeypatch.setattr(setjoin, "LEFT_ALL", 16)
+    rng = random.Random(8)
+    draw = lambda: sorted({rng.choice("aabbcdefghijklmnop") for _ in range(rng.randrange(0, 12))} | ({"z"} if rng.random() < 0.8 else set()))
+    a = spark.createDataFrame([(i, draw()) for i in range(60)] + [(60, None), (61, ["?"])], SETS)
+    b = spark.createDataFrame([(i, draw()) for i in range(150)] + [(150, None), (151, [])], SETS)
+    want = {(r["left_id"], r["right_id"], r["similarity"]) for r in setjoin.similar_sets(a, b, least).collect()}
+    got = setjoin.close_sets(a, b, least).collect()
+    assert len(got) == len(want) > 20 and {tuple(r) for r in got} == want
+    assert setjoin.close_sets(a.limit(0), b, least).count() == setjoin.close_sets(a, b.limit(0), least).count() == 0
+
+
 def test_every_question_is_resolved(spark):
     """Each live part's ticker or plain name, asked by the part itself, has an answer, not only those of some keys."""
     folder = "/root/testdata/sf0.001"
@@ -59,6 +74,14 @@ def test_every_question_is_resolved(spark):
     assert len(asked) > 100 and {r[0] for r in asked} <= found
 
 
+def test_every_name_is_compared(spark):
+    """Each part's plain name, asked by the part itself, is similar to its name, not only those of some keys."""
+    folder = "/root/testdata/sf0.001"
+    asked = spark.read.parquet(f"{folder}/part.parquet").where("p_partkey % 3 = 2").select("p_partkey").collect()
+    found = {r["qid"] for r in catalog.queries()["join_theta_trigram"](spark, folder).where("qid = eid").collect()}
+    assert len(asked) > 50 and {r[0] for r in asked} <= found
+
+
 def test_trigram_pairs(spark):
     q = spark.createDataFrame([(1, "Acme Corp"), (2, "acme corp"), (3, None), (4, ""), (5, "Acme Corp")], "qid long, query string")
     n = spark.createDataFrame([(1, "acme corporation"), (1, "Acme Corp"), (2, "Zeta"), (3, None), (4, "")], "eid long, name string")
