@@ -128,3 +128,25 @@ def test_pairs_of_copies_are_made_last(spark):
     assert sum(sizes) == sum(t is not None for _, t in n) and max(sizes) < 128
     assert "round(" not in _plan(catalog.queries()["join_theta_trigram"](spark, "/root/testdata/sf0.001"))
     assert setjoin.similar_sets(spark.createDataFrame([(1, ["a", "b"])], "id long, items array<string>"), spark.createDataFrame([(i, ["a", "b"]) for i in range(200)], "id long, items array<string>"), 0.3).rdd.getNumPartitions() > 1
+
+
+def test_texts_stay_one_row(spark, monkeypatch):
+    """The index has a row a text, not a row a word, and a search puts no row a word through a shuffle; the same is found where
+    texts are counted few at a time and asked words are too many to be sent to all tasks."""
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("the the"), *[F.concat(F.lit(f"w{k}x"), F.col("id") % (k + 2)) for k in range(40)]).alias("text"))
+    queries = spark.createDataFrame([(1, "the"), (2, "w1x2 the w5x3"), (3, "w0x1 unknown"), (4, None), (5, "w38x39 w3x4")], "qid long, text string")
+    found = []
+    for words, small in ((2_000_000, 1_000_000), (100, 0)):
+        monkeypatch.setattr(textindex, "WORDS", words)
+        monkeypatch.setattr(textindex, "SMALL", small)
+        index = textindex.build(docs)
+        table = spark.table(index.table)
+        assert table.count() == 300 == index.texts and table.selectExpr("sum(aggregate(tfs, 0, (s, x) -> s + x))").first()[0] == 300 * 42
+        assert index.asked(queries)[1].count() == 300
+        got = textindex.search(index, queries, 7)
+        assert small == 0 or "Generate explode(words" not in _plan(got)
+        found.append(sorted((r["qid"], r["id"], round(r["score"], 9)) for r in got.collect()))
+        every = {(r["qid"], r["id"]) for r in textindex.search(index, queries).collect()}
+        assert every == {(1, i) for i in range(300)} | {(2, i) for i in range(300) if i % 3 == 2 and i % 7 == 3} | {(5, i) for i in range(300) if i % 40 == 39 and i % 5 == 4}
+        index.drop()
+    assert found[0] == found[1] and [(q, i) for q, i, _ in found[0]][:7] == [(1, i) for i in range(7)] and len(found[0]) == 7 * 3
