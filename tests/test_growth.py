@@ -150,3 +150,23 @@ def test_texts_stay_one_row(spark, monkeypatch):
         assert every == {(1, i) for i in range(300)} | {(2, i) for i in range(300) if i % 3 == 2 and i % 7 == 3} | {(5, i) for i in range(300) if i % 40 == 39 and i % 5 == 4}
         index.drop()
     assert found[0] == found[1] and [(q, i) for q, i, _ in found[0]][:7] == [(1, i) for i in range(7)] and len(found[0]) == 7 * 3
+
+
+def test_children_are_scored_in_blocks(spark, monkeypatch):
+    """Vectors and words are added up within a block: no search for all matches, and the same parents and children as by one, also
+    for queries without words, unknown words, odd vectors, and copies that all match."""
+    monkeypatch.setattr(nearest, "TEXTS", 64)
+    monkeypatch.setattr(nearest, "STEP_QUERIES", 4)
+    rng = np.random.default_rng(6)
+    vectors = {i: [float(x) for x in rng.normal(size=5)] for i in range(240)} | {i: [1.0, 0.0, 2.0, 0.0, 1.0] for i in range(300, 360)} | {400: None, 401: [0.0] * 5, 402: [1.0], 403: [None] * 5}
+    rows = [(i, i // 10 if i % 17 else None, v, f"the w{i % 4} x{i % 9} " + "pad " * (i % 5) if i % 6 else None) for i, v in vectors.items()]
+    children = spark.createDataFrame(rows, "id long, parent long, vector array<double>, text string")
+    asked = [(q, vectors[q], f"w{q % 4} the") for q in range(0, 60, 4)] + [(300, vectors[300], "the"), (400, None, "the"), (401, [0.0] * 5, "x1 the"), (402, vectors[3], None), (403, vectors[4], "unknown the"), (404, vectors[5], "x5")]
+    queries = spark.createDataFrame(asked, "qid long, vector array<double>, text string")
+    index, search = textindex.build(children.select("id", "text")), textindex.search
+    seen = lambda words, least: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in retrieval.small_to_big(queries, children, words, 4, 12, least).select("qid", "rank", "id", "is_parent", "matched", "score").collect())
+    want = seen(lambda q, limit, items: search(index, q, limit, items), 0.6)
+    monkeypatch.setattr(textindex, "search", None)
+    assert seen(index, 0.6) == want and len(want) > 60 and {r[3] for r in want} == {True, False}
+    assert retrieval._by_both(queries, children.select("id", "vector").where("id < 300"), index, 12, 0.7).count() < 21 * 12 * 12
+    index.drop()
